@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import simhash
+from plumbline.llm import decontaminate, langid, mixing, simhash, tokenfile
+
+
+#: The tokenizer of the registered queries; every operator takes its path as a parameter.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +22,30 @@ def op2_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op2(_table(spark, sf_dir, "documents"))
 
 
+def op3_tiling_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_token_ids_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.op5(_table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op6_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op6(_table(spark, sf_dir, "documents"))
+
+
+def op10_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op10(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dup": op2_simhash_near_dup,
+    "op3_tiling_decontamination": op3_tiling_decontamination,
+    "op5_token_ids_rans": op5_token_ids_rans,
+    "op6_systematic_mix": op6_systematic_mix,
+    "op10_crf_language": op10_crf_language,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_systematic_mix": mixing.OP6_SQL,
+}
