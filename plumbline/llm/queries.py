@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontaminate, langid, mixing, simhash, tokenfile
+from plumbline.llm import chat, decontaminate, langid, media, mixing, sharding, simhash, substrings, tokenfile, tokens
 
 
 #: The tokenizer of the registered queries; every operator takes its path as a parameter.
@@ -18,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.section_counts(_table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op2_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op2(_table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,10 @@ def op3_tiling_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.op4(_table(spark, sf_dir, "documents"))
+
+
 def op5_token_ids_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.op5(_table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -34,18 +42,36 @@ def op6_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op6(_table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+def op8_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.op8(_table(spark, sf_dir, "conversations"))
+
+
+def op9_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.op9(_table(spark, sf_dir, "documents"))
+
+
 def op10_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op10(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_attribution": op1_token_attribution,
     "op2_simhash_near_dup": op2_simhash_near_dup,
     "op3_tiling_decontamination": op3_tiling_decontamination,
+    "op4_audio_features": op4_audio_features,
     "op5_token_ids_rans": op5_token_ids_rans,
     "op6_systematic_mix": op6_systematic_mix,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_prefix_targets": op8_prefix_targets,
+    "op9_minimax_shards": op9_minimax_shards,
     "op10_crf_language": op10_crf_language,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_systematic_mix": mixing.OP6_SQL,
+    "op8_prefix_targets": chat.OP8_SQL,
 }
