@@ -68,36 +68,45 @@ def _order(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(-steps[order], -np.arange(steps.max(initial=0)), side="left")
 
 
-def encode(ids: np.ndarray, table: Table) -> bytes:
-    """A block of ids."""
-    n = len(ids)
-    sizes = np.diff(np.append(np.arange(0, n, SEGMENT), n)) if n else np.zeros(0, np.int64)
-    words, counts, states = [], np.zeros(len(sizes), np.int64), np.full((len(sizes), LANES), LOW, np.uint64)
+def encode(blocks: list[np.ndarray], table: Table) -> list[bytes]:
+    """The block of each array of ids. The segments of all blocks are coded side by side."""
+    per = np.array([-(-len(x) // SEGMENT) for x in blocks], np.int64)
+    number = np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)
+    sizes = np.minimum(SEGMENT, np.repeat([len(x) for x in blocks], per) - number * SEGMENT).astype(np.int64)
+    ids = np.concatenate([*blocks, np.zeros(0, np.uint16)])
+    begin = np.cumsum(sizes) - sizes
+    states, words, counts = np.full((len(sizes), LANES), LOW, np.uint64), [b""] * len(sizes), np.zeros(len(sizes), np.int64)
     bits = np.uint64(table.bits)
-    for at in range(0, len(sizes), ABREAST):
-        own = sizes[at : at + ABREAST]
-        block = np.full((len(own), SEGMENT), table.pad, np.int64)
-        part = ids[at * SEGMENT : at * SEGMENT + int(own.sum())]
-        block.reshape(-1)[: len(part)] = part  # only the last segment of a block can be short
-        steps = -(-int(own[0]) // LANES)
-        symbols = block.reshape(len(own), SEGMENT // LANES, LANES)
-        x = np.full((len(own), LANES), LOW, np.uint64)
-        out, put = np.zeros((steps, len(own), LANES), np.uint32), np.zeros((steps, len(own), LANES), bool)
-        active = _order(own)[1]
+    order, active = _order(sizes)
+    for at in range(0, len(order), ABREAST):
+        own = order[at : at + ABREAST]
+        symbols = np.full((SEGMENT, len(own)), table.pad, np.int32)
+        for i, k in enumerate(own.tolist()):
+            symbols[: sizes[k], i] = ids[begin[k] : begin[k] + sizes[k]]
+        symbols = symbols.reshape(SEGMENT // LANES, LANES, len(own))
+        steps = -(-int(sizes[own[0]]) // LANES)
+        x = np.full((LANES, len(own)), LOW, np.uint64)
+        out, put = np.zeros((steps, LANES, len(own)), np.uint32), np.zeros((steps, LANES, len(own)), bool)
         for t in range(steps - 1, -1, -1):
-            k = active[t]
-            s, y = symbols[:k, t], x[:k]
+            k = min(max(int(active[t]) - at, 0), len(own))
+            s, y = symbols[t, :, :k], x[:, :k]
+            f = table.freq[s]
             full = y >= table.limit[s]
-            out[t, :k], put[t, :k] = (y & MASK).astype(np.uint32), full
+            out[t, :, :k] = y.astype(np.uint32)  # the low 32 bits
+            put[t, :, :k] = full
             y = np.where(full, y >> WORD, y)
-            f = table.freq[s]
             q = y // f
-            x[:k] = (q << bits) + (y - q * f) + table.start[s]
-        put = put.transpose(1, 0, 2)
-        words.append(out.transpose(1, 0, 2)[put])
-        counts[at : at + ABREAST], states[at : at + ABREAST] = put.sum(axis=(1, 2)), x
-    head = struct.pack("<4sII", MAGIC, table.bits, len(sizes))
-    return b"".join((head, sizes.astype("<u4").tobytes(), counts.astype("<u4").tobytes(), states.astype("<u8").tobytes(), *(w.astype("<u4").tobytes() for w in words)))
+            x[:, :k] = (q << bits) + (y - q * f) + table.start[s]
+        for i, k in enumerate(own.tolist()):
+            w = out[:, :, i][put[:, :, i]]
+            words[k], counts[k], states[k] = w.astype("<u4").tobytes(), len(w), x[:, i]
+    made, last = [], 0
+    for n in per.tolist():
+        part = slice(last, last + n)
+        last += n
+        head = struct.pack("<4sII", MAGIC, table.bits, n)
+        made.append(b"".join((head, sizes[part].astype("<u4").tobytes(), counts[part].astype("<u4").tobytes(), states[part].astype("<u8").tobytes(), *words[part])))
+    return made
 
 
 def _opened(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -19,69 +19,91 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.ans import Table, decode, encode
 from plumbline.llm.common import arrow_map, slices, work_path, written
-from plumbline.llm.tokens import Encoder
+from plumbline.llm.tokens import SLICE, Encoder
 
 #: Ids of a block, as a block ends with the document that reaches them; ids of a part.
 BLOCK, PART = 1 << 16, 1 << 24
+#: Blocks coded side by side.
+ABREAST_BLOCKS = 32
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, n_tokens, ids): whole texts as ids, end_id after each; ids are little-endian integers."""
+    """(doc_id, n_tokens, ids, counts): whole texts as ids, end_id after each; ids are little-endian integers.
+
+    Each task adds a row of its own whose counts (64 bits an id) say how often it used each id; they are null elsewhere.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.at(tokenizer)
-        end, width = np.array([end_id], encoder.dtype).tobytes(), encoder.dtype.itemsize
+        encoder = Encoder.at_path(tokenizer)
+        used = np.zeros(max(encoder.tokenizer.get_vocab_size(), end_id + 1), np.int64)
+        names = ["doc_id", "n_tokens", "ids", "counts"]
         for b in batches:
-            for s in slices(b.column(1)):
-                ids = [x + end for x in encoder.encode([t or "" for t in b.column(1)[s.start : s.stop].to_pylist()])]
-                yield pa.RecordBatch.from_arrays([b.column(0)[s.start : s.stop], pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            for s in slices(b.column(1), SLICE):
+                ids, n = encoder.encode(b.column(1)[s.start : s.stop])
+                ends = np.cumsum(n)
+                ids = np.insert(ids, ends, end_id)
+                n = n + 1
+                used += np.bincount(ids, minlength=len(used))
+                offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int64) * ids.itemsize
+                raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([b.column(0)[s.start : s.stop], pa.array(n), raw, pa.nulls(len(n), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([used.tobytes()], pa.binary())], names)
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_tokens long, ids binary")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_tokens long, ids binary, counts binary")
 
 
 def _dtype(tokenizer: str) -> np.dtype:
-    return Encoder.at(tokenizer).dtype
+    return Encoder.at_path(tokenizer).dtype
 
 
-def id_counts(ids: DataFrame, dtype: np.dtype) -> DataFrame:
-    """(id, n) over all documents; each task adds up its own first."""
+def id_counts(ids: DataFrame) -> DataFrame:
+    """(id, n) over all documents, from the tasks' counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
             for x in b.column(0):
-                n = np.bincount(np.frombuffer(x.as_buffer(), dtype), minlength=len(total))
-                n[: len(total)] += total
-                total = n
+                n = np.frombuffer(x.as_buffer(), np.int64)
+                total = n.copy() if not len(total) else total + n
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(total[seen])], ["id", "n"])
 
-    return arrow_map(ids.select("ids"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return arrow_map(ids.where("counts IS NOT NULL").select("counts"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def _coder(table: Table, dtype: np.dtype):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, before = TaskContext.get().partitionId(), 0, 0
-        doc_ids: list[int | None] = []
-        held: list[np.ndarray] = []
+        doc_ids: list[list[int | None]] = [[]]
+        held: list[list[np.ndarray]] = [[]]
         waiting = 0
 
         def put() -> pa.RecordBatch:
+            """The blocks that are held, coded side by side."""
             nonlocal block, before, doc_ids, held, waiting
-            ids = np.concatenate(held)
-            row = [[part], [block], [before], [len(ids)], [doc_ids], [[len(x) for x in held]], [zlib.crc32(ids.astype("<u4").tobytes())], [encode(ids, table)]]
+            if not held[-1]:
+                doc_ids.pop(), held.pop()
+            ids = [np.concatenate(x) for x in held]
+            n = [len(x) for x in ids]
+            first = (np.cumsum(n) - n + before).tolist()
+            crcs = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
+            cols = [[part] * len(n), list(range(block, block + len(n))), first, n, doc_ids, [[len(x) for x in docs] for docs in held], crcs, encode(ids, table)]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
-            block, before, doc_ids, held, waiting = block + 1, before + len(ids), [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["part", "block", "first_token", "n_tokens", "doc_ids", "doc_tokens", "ids_crc32", "payload"])
+            block, before, doc_ids, held, waiting = block + len(n), before + sum(n), [[]], [[]], 0
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds)], ["part", "block", "first_token", "n_tokens", "doc_ids", "doc_tokens", "ids_crc32", "payload"])
 
         for b in batches:
             for doc_id, x in zip(b.column(0).to_pylist(), b.column(1)):
-                doc_ids.append(doc_id)
-                held.append(np.frombuffer(x.as_buffer(), dtype))
-                waiting += len(held[-1])
+                doc_ids[-1].append(doc_id)
+                held[-1].append(np.frombuffer(x.as_buffer(), dtype))
+                waiting += len(held[-1][-1])
                 if waiting >= BLOCK:
-                    yield put()
-        if held:
+                    doc_ids.append([])
+                    held.append([])
+                    waiting = 0
+                    if len(held) > ABREAST_BLOCKS:
+                        yield put()
+        if len(held) > 1 or held[-1]:
             yield put()
 
     return run
@@ -95,7 +117,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
     """
     spark, dtype = docs.sparkSession, _dtype(tokenizer)
     ids = written(encoded(docs, tokenizer, end_id), "token-ids")
-    found = id_counts(ids, dtype).collect()  # as many rows as the vocabulary has ids, at most
+    found = id_counts(ids).collect()  # as many rows as the vocabulary has ids, at most
     counts = np.zeros(max((r["id"] for r in found), default=0) + 1, np.int64)
     for r in found:
         counts[r["id"]] = r["n"]
@@ -103,7 +125,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
     freq = [(int(i), int(table.freq[i])) for i in np.flatnonzero(table.freq)]
     spark.createDataFrame(freq, "id long, freq long").coalesce(1).write.parquet(f"{path}/freq")
     parts = max(1, -(-int(counts.sum()) // PART))
-    ordered = ids.repartitionByRange(parts, "doc_id", "n_tokens").sortWithinPartitions("doc_id", "n_tokens", "ids")
+    ordered = ids.where("counts IS NULL").select("doc_id", "n_tokens", "ids").repartitionByRange(parts, "doc_id", "n_tokens").sortWithinPartitions("doc_id", "n_tokens", "ids")
     blocks = arrow_map(ordered.select("doc_id", "ids"), _coder(table, dtype), "part int, block int, first_token long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, ids_crc32 long, payload binary")
     blocks.write.option("compression", "zstd").parquet(f"{path}/blocks")
 
@@ -122,8 +144,8 @@ def read(spark: SparkSession, path: str, *, with_ids: bool = False) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, len(b), 16):
-                rows = b.slice(at, 16).to_pylist()
+            for at in range(0, len(b), ABREAST_BLOCKS):
+                rows = b.slice(at, ABREAST_BLOCKS).to_pylist()
                 for row, ids in zip(rows, decode([r["payload"] for r in rows], table)):
                     raw = ids.astype("<u4").tobytes()
                     if zlib.crc32(raw) != row["ids_crc32"]:

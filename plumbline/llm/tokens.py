@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,20 +14,46 @@ from tokenizers import Tokenizer
 
 from plumbline.llm.common import arrow_map, slices
 
-#: A space that has white space or an end of the text beside it.
-_LOOSE = re.compile(r"\s |^ | (?:\s|\Z)")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Pieces remembered by a worker, in each of two generations.
-REMEMBERED = 250_000
+#: Bytes of text encoded at once.
+SLICE = 2_000_000
+#: Slots of a worker's table of pieces, most pieces it holds, and bytes of the longest.
+SLOTS, HELD, LONGEST = 1 << 22, 2_500_000, 256
+#: A text over this many bytes is encoded in one go.
+ONE_GO = 1 << 24
 _encoders: dict[str, Encoder] = {}
+_BASE = 0x9E3779B97F4A7C15
+
+
+class _Powers:
+    """Powers of an odd base and of its inverse modulo 2 ** 64."""
+
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+            up[0] = down[0] = 1
+            cls.up, cls.down = np.cumprod(up), np.cumprod(down)
+        return cls.up[:n], cls.down[:n]
+
+
+def _runs(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run, end to end."""
+    return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+
+
+def _is_space(b: np.ndarray) -> np.ndarray:
+    return (b == 32) | ((b >= 9) & (b <= 13)) | ((b >= 28) & (b <= 31))
 
 
 class Encoder:
     """Encodes whole texts.
 
     A byte-level tokenizer that cuts words by the usual pattern never joins the characters on both sides of a
-    space between two non-spaces, so its ids are those of the pieces between such spaces, and pieces seen
-    before are not encoded again. Other tokenizers encode each text in one go.
+    space between two non-spaces, so its ids are those of the pieces that begin at such spaces. A worker
+    remembers the pieces it met, by a 64-bit hash, in a table of fixed size; all pieces of a slice of texts are
+    looked up at once, and the new ones encoded. Other tokenizers encode each text in one go.
     """
 
     def __init__(self, path: str):
@@ -39,47 +64,139 @@ class Encoder:
         self.byte_level = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not any(a["lstrip"] or a["rstrip"] or " " in a["content"] for a in spec["added_tokens"])
         self.by_piece = self.byte_level and pre.get("use_regex", True)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.lengths = self.byte_lengths() if self.byte_level else None
+        self.key = np.zeros(SLOTS if self.by_piece else 0, np.uint64)
+        self.at, self.size = np.zeros(len(self.key), np.int32), np.zeros(len(self.key), np.uint16)
+        self.flat, self.used, self.count = np.zeros(1 << 16, self.dtype), 0, 0
 
     @staticmethod
-    def at(path: str) -> Encoder:
+    def at_path(path: str) -> Encoder:
         """One for each worker and path."""
         if path not in _encoders:
             _encoders[path] = Encoder(path)
         return _encoders[path]
 
-    def _batch(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian integers of self.dtype."""
-        if not self.by_piece:
-            return self._batch(texts)
-        pieces = [t.split(" ") if not _LOOSE.search(t) else _CUT.split(t) for t in texts]
-        first = self._batch([p.pop(0) for p in pieces])
-        known, old, missing = self.new.get, self.old, set()
-        got = [[*map(known, p)] for p in pieces]
-        again = []
-        for i, (p, g) in enumerate(zip(pieces, got)):
-            if None in g:
-                again.append(i)
-                missing.update(w for w, x in zip(p, g) if x is None)
-        if missing:
-            if len(self.new) + len(missing) > REMEMBERED:
-                self.old, self.new = self.new, {}
-                old, known, again = self.old, self.new.get, [i for i, g in enumerate(got) if g]
-                missing = set().union(*pieces)
-            fresh = []
-            for w in missing:
-                if (x := old.get(w)) is None:
-                    fresh.append(w)
-                else:
-                    self.new[w] = x
-            self.new.update(zip(fresh, self._batch([f" {w}" for w in fresh])))
-            for i in again:
-                got[i] = map(known, pieces[i])
-        return [b"".join((a, *g)) for a, g in zip(first, got)]
+    def _batch(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and how many each has."""
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("")
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        if not self.by_piece or int(sizes.sum()) > ONE_GO:
+            ids = self._batch(texts.to_pylist())
+            return np.concatenate([*ids, np.zeros(0, self.dtype)]), np.array([len(x) for x in ids], np.int64)
+        data, offsets = texts.buffers()[2], np.frombuffer(texts.buffers()[1], np.int32 if texts.type == pa.string() else np.int64)
+        low = int(offsets[texts.offset])
+        b = np.frombuffer(data, np.uint8)[low : low + int(sizes.sum())] if data else np.zeros(0, np.uint8)
+        begin = np.cumsum(sizes) - sizes
+        start = self._cuts(b, begin[sizes > 0])
+        at, size = self._ids(b, start)
+        piece = np.append(np.searchsorted(start, begin), len(start))
+        total = np.concatenate(([0], np.cumsum(size)))
+        return self.flat[_runs(at, size)], np.diff(total[piece])
+
+    @staticmethod
+    def _cuts(b: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Where pieces begin: at each text's begin, and at spaces whose neighbours in the text are no white space."""
+        n = len(b)
+        p = np.flatnonzero(b == 32)
+        edge = np.zeros(n + 1, bool)
+        edge[begin] = True
+        edge[n] = True
+        p = p[~edge[p] & ~edge[p + 1]]
+        before, after = b[p - 1], b[p + 1]
+        # C2 and E1 to E3 lead all white space beyond ASCII, and much else that is left uncut here.
+        loose = _is_space(before) | _is_space(after) | (after == 0xC2) | ((after >= 0xE1) & (after <= 0xE3))
+        wide = before >= 0x80
+        third = b[np.maximum(p - 3, 0)]
+        loose |= wide & ((b[np.maximum(p - 2, 0)] == 0xC2) | ((third >= 0xE1) & (third <= 0xE3)))
+        edge[p[~loose]] = True
+        return np.flatnonzero(edge[:n])
+
+    def _ids(self, b: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each piece stand in flat, and how many."""
+        if not len(start):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        end = np.append(start[1:], len(b))
+        up, down = _Powers.to(len(b))
+        x = b.astype(np.uint64)
+        x += np.uint64(1)
+        x *= up
+        np.cumsum(x, out=x)
+        h = x[end - 1]
+        h[1:] -= x[start[1:] - 1]
+        h *= down[start]
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= (h >> np.uint64(32)) ^ (end - start).astype(np.uint64) << np.uint64(56)
+        h[h == 0] = 1
+        slot, found = self._find(h)
+        if found.all():
+            return self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
+        _, first = np.unique(h[~found], return_index=True)
+        first = np.flatnonzero(~found)[first]
+        if self.count + len(first) > HELD:
+            self.key[:] = 0
+            self.used = self.count = 0
+            if len(first) > HELD:
+                raise ValueError("a slice of texts has more pieces than the table holds")
+            return self._ids(b, start)
+        first = first[np.lexsort((first, b[start[first]] == 32))]  # those without a leading space, then the others
+        at, size = self._fresh(b, start[first], end[first])
+        self._insert(h[first], at, size)
+        slot, _ = self._find(h)
+        return self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
+
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mask = np.uint64(SLOTS - 1)
+        slot = (h & mask).astype(np.int64)
+        there = self.key[slot]
+        found = there == h
+        going = np.flatnonzero(~found & (there != 0))
+        while len(going):
+            slot[going] = (slot[going] + 1) & (SLOTS - 1)
+            there = self.key[slot[going]]
+            found[going] = there == h[going]
+            going = going[(there != h[going]) & (there != 0)]
+        return slot, found
+
+    def _insert(self, h: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
+        self.count += len(h)
+        slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        going = np.arange(len(h))
+        while len(going):
+            free = going[self.key[slot[going]] == 0]
+            self.key[slot[free]] = h[free]
+            self.at[slot[free]], self.size[slot[free]] = at[free], size[free]
+            won = free[self.key[slot[free]] == h[free]]
+            self.at[slot[won]], self.size[slot[won]] = at[won], size[won]
+            going = np.setdiff1d(going, won, assume_unique=True)
+            slot[going] = (slot[going] + 1) & (SLOTS - 1)
+
+    def _fresh(self, b: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes pieces and appends their ids to flat. Pieces that begin with a space can follow each other in a text."""
+        n = end - start
+        joins = b[start] == 32
+        text = b[_runs(start, n)].tobytes()
+        ends = np.cumsum(n)
+        alone = int(np.count_nonzero(~joins))
+        cut = [0, *ends[:alone].tolist()]
+        last = cut[-1]
+        for e in ends[alone:].tolist():
+            if e - last > 1 << 14:
+                cut.append(e)
+                last = e
+        if cut[-1] != len(text):
+            cut.append(len(text))
+        ids = np.concatenate(self._batch([text[x:y].decode() for x, y in zip(cut, cut[1:])]))
+        size = np.diff(np.concatenate(([0], np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1)))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        at = self.used + np.cumsum(size) - size
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        return at, size
 
     def byte_lengths(self) -> np.ndarray:
         """UTF-8 bytes that each id stands for; for byte-level tokenizers."""
@@ -87,19 +204,17 @@ class Encoder:
         special = {i: len(a.content.encode()) for i, a in self.tokenizer.get_added_tokens_decoder().items()}
         return np.array([special.get(i, len(self.tokenizer.id_to_token(i) or "")) for i in range(n)], np.int64)
 
-    def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end of each token in the text, in code points; a token of part of a character spans that character."""
+    def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of each of a text's tokens, in code points; a token of part of a character spans that character."""
         if not self.byte_level:
             at = np.array(self.tokenizer.encode(text, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
             return at[:, 0], at[:, 1]
-        if not hasattr(self, "_lengths"):
-            self._lengths = self.byte_lengths()
-        ends = np.cumsum(self._lengths[np.frombuffer(self.encode([text])[0], self.dtype)])
+        ends = np.cumsum(self.lengths[ids])
+        starts = np.concatenate(([0], ends))[:-1]
         if text.isascii():
-            return np.concatenate(([0], ends))[:-1], ends
+            return starts, ends
         lead = (np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80
         of = np.cumsum(lead) - 1  # the code point of each byte
-        starts = np.concatenate(([0], ends))[:-1]
         return of[starts], of[ends - 1] + 1
 
 
@@ -129,16 +244,18 @@ def section_counts(docs: DataFrame, tokenizer: str, *, cut_after: str = "\n") ->
     cut = ord(cut_after)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.at(tokenizer)
+        encoder = Encoder.at_path(tokenizer)
         for b in batches:
-            for s in slices(b.column(1)):
-                ids = b.column(0)[s.start : s.stop]
+            for s in slices(b.column(1), SLICE):
+                ids, own = b.column(0)[s.start : s.stop], b.column(1)[s.start : s.stop]
+                tokens, counted = encoder.encode(own)
+                of_text = np.split(tokens, np.cumsum(counted)[:-1])
                 rows, number, lo, hi, n, total = [], [], [], [], [], []
-                for i, text in enumerate(b.column(1)[s.start : s.stop].to_pylist()):
+                for i, text in enumerate(own.to_pylist()):
                     text = text or ""
                     chars = np.frombuffer(text.encode("utf-32-le"), np.uint32)
                     cuts = np.concatenate(([0], np.flatnonzero(chars[:-1] == cut) + 1, [len(chars)]))
-                    counts = attribute(*encoder.spans(text), cuts) if text else np.zeros(1, np.int64)
+                    counts = attribute(*encoder.spans(text, of_text[i]), cuts) if text else np.zeros(1, np.int64)
                     rows.append(np.full(len(counts), i))
                     number.append(np.arange(len(counts)))
                     lo.append(cuts[:-1])
