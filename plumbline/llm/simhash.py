@@ -247,10 +247,16 @@ def op2(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each near-duplicate group: the one with the smallest doc_id.
+    """docs with one document of each near-duplicate group: the one with the smallest doc_id; columns stay as they are.
 
-    Of rows that repeat that doc_id one stays; columns stay as they are. Rows without a doc_id go.
+    Rows that share a doc_id are one document, and one of them stays. Rows without a doc_id go.
     """
-    found = near_duplicates(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = written(found, "simhash-kept")
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    found = written(near_duplicates(docs, **options).where("doc_id IS NOT NULL"), "simhash-found")
+    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct()
+    own = docs.where("doc_id IS NOT NULL")
+    own = own.join(dropped, own["doc_id"] == dropped["_other"], "left_anti")
+    again = written(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "simhash-again")
+    if again.isEmpty():
+        return own
+    shared = own["doc_id"] == again["_again"]
+    return own.join(again, shared, "left_anti").unionByName(own.join(again, shared, "left_semi").dropDuplicates(["doc_id"]))
