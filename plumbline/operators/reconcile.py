@@ -25,7 +25,7 @@ def columns(documented: DataFrame, live: DataFrame) -> DataFrame:
     """
     key = lambda df, p: df.select(F.lower("view").alias("v"), F.lower("column_name").alias("c"), F.col("data_type").alias(p))
     both = key(documented, "d").join(key(live, "l"), ["v", "c"], "full_outer").join(documented.select(F.lower("view").alias("v")).distinct().withColumn("known", F.lit(True)), "v", "left")
-    found = F.when(F.col("l").isNull(), "documented_missing_live").when(F.col("d").isNull() & F.col("known"), "undocumented_live_column").when(type_family(F.col("d")) != type_family(F.col("l")), "type_mismatch")
+    found = F.when(F.col("l").isNull(), "documented_missing_live").when(F.col("d").isNull(), F.when(F.col("known"), "undocumented_live_column")).when(type_family(F.col("d")) != type_family(F.col("l")), "type_mismatch")
     return both.select(F.col("v").alias("view"), F.col("c").alias("column_name"), found.alias("discrepancy")).where("discrepancy IS NOT NULL")
 
 
