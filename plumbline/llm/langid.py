@@ -24,33 +24,47 @@ from plumbline.llm.common import arrow_map, slices
 
 RUN = 64
 #: Rows of the weight table; words whose scores a worker remembers.
-HASHED, REMEMBERED = 1 << 18, 300_000
+HASHED, REMEMBERED = 1 << 18, 500_000
 UNDETERMINED = "und"
 
 
-def features(word: str) -> list[int]:
-    """Hashed features of a word; none if it has no letter."""
+def cleaned(word: str) -> bytes:
+    """What features look at: the lower-cased word without outer punctuation; empty if it has no letter."""
     w = word.lower().strip(".,;:!?\"'()[]{}<>|*_-#")
-    if not any(map(str.isalpha, w)):
-        return []
-    b = f"^{w}$"
-    n = len(b)
-    named = ["w" + w, *("p" + w[:k] for k in (1, 2, 3)), *("s" + w[-k:] for k in (1, 2, 3)), *(b[i : i + 2] for i in range(n - 1)), *(b[i : i + 3] for i in range(n - 2)), *(b[i : i + 4] for i in range(n - 3))]
-    digest = xxhash.xxh32_intdigest
-    return [digest(f) & (HASHED - 1) for f in named]
-
-
-def _scores(words: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each word's label scores - the mean of its features' weights, times the root of their number - and whether it has letters."""
-    lists = [features(w) for w in words]
-    n = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter((x for f in lists for x in f), np.int64, int(n.sum()))
-    out = np.zeros((len(words), weights.shape[1]))
-    some = n > 0
-    if some.any():
-        sums = np.add.reduceat(weights[flat], (np.cumsum(n) - n)[some], axis=0)
-        out[some] = sums / np.sqrt(n[some])[:, None]
-    return out, some
+    return w.encode() if w.isalpha() or any(map(str.isalpha, w)) else b""
+
+
+def features(words: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashed features of cleaned words, as parts (features end to end, how many each word has).
+
+    The lexicon entry, then n-grams of 2, 3 and 4 bytes of the word between two marks; those that hold a mark are its affixes.
+    """
+    some = np.fromiter(map(bool, words), bool, len(words))
+    entry = np.fromiter((xxhash.xxh32_intdigest(w) & (HASHED - 1) for w in words if w), np.int64, int(some.sum()))
+    parts = [(entry, some.astype(np.int64))]
+    b = np.frombuffer(b"".join(b"\2%b\3" % w for w in words if w), np.uint8).astype(np.uint64)
+    n = np.zeros(len(words), np.int64)
+    n[some] = np.fromiter((len(w) + 2 for w in words if w), np.int64, len(entry))
+    left = np.repeat(np.cumsum(n), n) - np.arange(len(b))  # bytes from here to the end of the word
+    for k in (2, 3, 4):
+        at = np.flatnonzero(left >= k)
+        h = np.full(len(at), k, np.uint64)
+        for j in range(k):
+            h = (h ^ b[at + j]) * np.uint64(0x100000001B3)
+        h ^= h >> np.uint64(21)
+        parts.append(((h & np.uint64(HASHED - 1)).astype(np.int64), np.where(some, np.maximum(n - k + 1, 0), 0)))
+    return parts
+
+
+def _scores(words: list[bytes], weights: np.ndarray) -> np.ndarray:
+    """Label scores of cleaned words: the sum of their features' weights over the root of their number."""
+    out, total = np.zeros((len(words), weights.shape[1])), np.zeros(len(words), np.int64)
+    for flat, n in features(words):
+        some = n > 0
+        if some.any():
+            out[some] += np.add.reduceat(weights[flat], (np.cumsum(n) - n)[some], axis=0)
+            total += n
+    return out / np.sqrt(np.maximum(total, 1))[:, None]
 
 
 def runs_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,9 +78,9 @@ def runs_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(step < left[:, None], begin[:, None] + step, -1), text, number
 
 
-def marginals(scores: np.ndarray, lengths: np.ndarray, start: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+def marginals(scores: np.ndarray, lengths: np.ndarray, start: np.ndarray, trans: np.ndarray, moves: bool = False) -> tuple[np.ndarray, float, np.ndarray]:
     """Forward-backward over texts laid end to end: each word's label probabilities, the log of the product of the
-    texts' partition functions, and the expected number of each transition."""
+    texts' partition functions, and, if moves are asked for, the expected number of each transition."""
     at, text, number = runs_of(lengths)
     k, runs = scores.shape[1], len(at)
     if not runs:
@@ -116,7 +130,7 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, start: np.ndarray, trans:
         gamma[:, t] = g
         back = emit[:, t] * beta
         inner = live if t else live & ~begins
-        if inner.any():
+        if moves and inner.any():
             prev = alpha[inner, t - 1] if t else into[inner]
             pair = prev[:, :, None] * a[None] * back[inner][:, None, :]
             expected += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
@@ -136,12 +150,15 @@ class Model:
         """Row of each word in table and letters."""
         if len(self.known) > REMEMBERED:
             self.known, self.table, self.letters = {}, self.table[:0], self.letters[:0]
-        fresh = list(dict.fromkeys(w for w in words if w not in self.known))
+        rows = list(map(self.known.get, words))
+        fresh = list({w for w, r in zip(words, rows) if r is None})
         if fresh:
-            scores, letters = _scores(fresh, self.weights)
+            clean = list(map(cleaned, fresh))
             self.known.update(zip(fresh, range(len(self.table), len(self.table) + len(fresh))))
-            self.table, self.letters = np.concatenate((self.table, scores)), np.concatenate((self.letters, letters))
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            self.table = np.concatenate((self.table, _scores(clean, self.weights)))
+            self.letters = np.concatenate((self.letters, np.fromiter(map(bool, clean), bool, len(clean))))
+            rows = map(self.known.__getitem__, words)
+        return np.fromiter(rows, np.int64, len(words))
 
     def label(self, texts: list[str | None]) -> tuple[list[str], list[float], list[list[tuple[int, int, str]]]]:
         """Language and score of each whole text, and its runs (first word, end, language)."""
@@ -168,7 +185,7 @@ class Model:
         return langs, scores, runs
 
 
-def train(texts: list[str], langs: list[str], *, steps: int = 40, rate: float = 0.5, l2: float = 1e-5, seed: int = 0) -> Model:
+def train(texts: list[str], langs: list[str], *, steps: int = 25, rate: float = 0.7, l2: float = 1e-5, seed: int = 0) -> Model:
     """Fits a model by AdaGrad on the conditional log-likelihood.
 
     The texts give sequences of RUN words; every third one is spliced from pieces of two texts, which
@@ -201,19 +218,18 @@ def train(texts: list[str], langs: list[str], *, steps: int = 40, rate: float =
     y = gold.argmax(axis=1) if len(words) else np.zeros(0, int)
     moves = np.zeros((k, k))
     np.add.at(moves, (y[:-1][inner[1:]], y[1:][inner[1:]]), 1)
-    lists = [features(w) for w in vocabulary]
-    n = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter((x for f in lists for x in f), np.int64, int(n.sum()))
-    owner = np.repeat(np.arange(len(lists)), n)
-    scale = 1 / np.sqrt(np.maximum(n, 1))
+    parts = features(list(map(cleaned, vocabulary)))
+    flat = np.concatenate([f for f, _ in parts])
+    owner = np.concatenate([np.repeat(np.arange(len(vocabulary)), n) for _, n in parts])
+    scale = 1 / np.sqrt(np.maximum(sum(n for _, n in parts), 1))
     used, flat = np.unique(flat, return_inverse=True)
     weights, start, trans = np.zeros((len(used), k)), np.zeros(k), np.zeros((k, k))
     sums = [np.full_like(p, 1e-8) for p in (weights, start, trans)]
     for _ in range(steps if len(words) else 0):
-        scores = np.column_stack([np.bincount(owner, weights[flat, c], len(lists)) for c in range(k)]) * scale[:, None]
-        gamma, _, expected = marginals(scores[at], lengths, start, trans)
+        scores = np.column_stack([np.bincount(owner, weights[flat, c], len(vocabulary)) for c in range(k)]) * scale[:, None]
+        gamma, _, expected = marginals(scores[at], lengths, start, trans, moves=True)
         rest = (gold - gamma) / len(words)
-        by_word = np.column_stack([np.bincount(at, rest[:, c], len(lists)) for c in range(k)]) * scale[:, None]
+        by_word = np.column_stack([np.bincount(at, rest[:, c], len(vocabulary)) for c in range(k)]) * scale[:, None]
         by_feature = np.column_stack([np.bincount(flat, by_word[owner, c], len(used)) for c in range(k)])
         for p, s, g in zip((weights, start, trans), sums, (by_feature - l2 * weights / len(used), rest[firsts].sum(axis=0), (moves - expected) / len(words))):
             s += g * g
@@ -228,7 +244,7 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, *, per_language: int = 150, max_languages: int = 64) -> Model:
+def fit(docs: DataFrame, *, per_language: int = 100, max_languages: int = 64) -> Model:
     """A model from a bounded sample: per_language rows, the first by a hash of doc_id, of each language.
 
     Only rows with a text, a doc_id and a lang that aren't held out count. The driver gets
