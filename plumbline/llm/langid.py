@@ -298,7 +298,7 @@ def op10(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
-def keep_languages(docs: DataFrame, *, min_score: float = 0.5) -> DataFrame:
+def keep_languages(docs: DataFrame, *, min_score: float = 0.4) -> DataFrame:
     """docs whose text has a language: letters, and a score of min_score or more. Columns stay as they are."""
     clash = {"lang_pred", "lang_score", "lang_runs"} & set(docs.columns)
     if clash:
