@@ -30,6 +30,8 @@ SEED = 42
 BITS = 64
 #: Node pairs expanded at once; bounds the memory of a traversal.
 PAIRS_AT_ONCE = 1 << 19
+#: No subtree of so few free bits that they name SMALL fingerprints at most is cut further.
+SMALL = 1 << 18
 #: Subtrees up to this size are leaves of the traversal.
 LEAF = 8
 ONE = np.uint64(1)
@@ -116,7 +118,7 @@ def trie_links(sorted_keys: np.ndarray, roots: list[tuple[int, int]] | np.ndarra
         if not len(front):
             continue
         bit = ONE << np.uint64(BITS - 1 - d)
-        above = ~((bit << ONE) - ONE)
+        above = ~(bit | (bit - ONE))
 
         def cut(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
             """Where the child with a one begins in each range."""
@@ -196,30 +198,33 @@ def links(fps: DataFrame, max_bits: int = 2, max_subtree: int = 1 << 18) -> Data
     fps: one column fp of distinct fingerprints.
     """
     parts = max_bits + 1
-    tries = [(str(k), lead, [p for p in range(BITS) if p not in lead]) for k, lead in enumerate(_spread(list(range(BITS)), parts))]
 
-    def dealt(df: DataFrame, ways: list[tuple[str, list[int], list[int]]]) -> DataFrame:
-        each = [F.struct(F.lit(int(name, parts) + parts ** len(name)).cast("long").alias("trie"), _lead(lead).alias("key")) for name, lead, _ in ways]
-        return df.select("fp", F.inline(F.array(*each)))
+    def ways(name: int, lead: list[int], free: list[int]) -> list[tuple[int, list[int], list[int]]]:
+        """The tries that lead with a further part of the free bits: number, leading bits, free bits."""
+        return [(name * parts + k, lead + more, [p for p in free if p not in more]) for k, more in enumerate(_spread(free, parts))]
 
-    rows, ready = dealt(fps, tries), None
+    def dealt(df: DataFrame, found: list[tuple[int | None, list[tuple[int, list[int], list[int]]]]]) -> DataFrame:
+        """(trie, key, fp) of the rows of each trie (None: of all) in its further tries."""
+        each = [F.when(F.lit(True) if of is None else F.col("trie") == of, F.struct(F.lit(n).cast("long").alias("trie"), _lead(lead).alias("key"))) for of, own in found for n, lead, _ in own]
+        return df.select("fp", F.inline(F.filter(F.array(*each), lambda x: x.isNotNull())))
+
+    tries = {n: (lead, free) for n, lead, free in ways(1, [], list(range(BITS)))}
+    rows = written(dealt(fps.select("fp"), [(None, [(n, *t) for n, t in tries.items()])]), "trie-rows")
+    ready = None
     while True:
-        size = rows.groupBy("trie", "key").count()
-        large = size.where(F.col("count") > max_subtree).drop("count")
-        if min(len(free) for *_, free in tries) < parts * 4 or large.isEmpty():
+        large = rows.groupBy("trie", "key").count().where(F.col("count") > max_subtree).drop("count")
+        hot_tries = []
+        if 1 << min(len(free) for _, free in tries.values()) > SMALL:  # else no subtree is larger than that
+            large = written(large, "trie-large")  # few: each holds over max_subtree fingerprints
+            hot_tries = sorted(r["trie"] for r in large.select("trie").distinct().collect())  # as many as there are tries
+        if not hot_tries:
             ready = rows if ready is None else ready.unionByName(rows)
             break
-        # Few subtrees are large: each holds over max_subtree fingerprints.
         small = rows.join(large, ["trie", "key"], "left_anti")
         ready = small if ready is None else ready.unionByName(small)
-        hot = rows.join(large, ["trie", "key"], "left_semi")
-        deeper, cut = [], None
-        for name, lead, free in tries:
-            ways = [(name + str(k), lead + more, [p for p in free if p not in more]) for k, more in enumerate(_spread(free, parts))]
-            deeper += ways
-            more = dealt(hot.where(F.col("trie") == int(name, parts) + parts ** len(name)).select("fp"), ways)
-            cut = more if cut is None else cut.unionByName(more)
-        rows, tries = cut, deeper
+        deeper = [(n, ways(n, *tries[n])) for n in hot_tries]
+        rows = written(dealt(rows.join(large, ["trie", "key"], "left_semi"), deeper), "trie-rows")
+        tries = {n: (lead, free) for _, own in deeper for n, lead, free in own}
     return arrow_map(ready.select("trie", "key", "fp").repartition("trie", "key"), _walk(max_bits), "u long, v long")
 
 
