@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plumbline import checks
 from plumbline.operators import calibration, execute, feedback, findings, profile, reconcile, registry
 from plumbline.plans.document import from_dict
-from plumbline.sources import tables
+from plumbline.sources import documents, tables
 from plumbline.sources.guard import Source
 from plumbline.views import table, view, views, with_views
 
@@ -524,6 +524,11 @@ def q_surface_recon(spark, sf_dir):
     return reconcile.surface(exported, live)
 
 
+@query("SELECT * FROM (VALUES ('book-recall', 'Book a recall'), ('verify-invoice', 'Verify invoice'), ('raise-recall-task', 'Raise recall task')) t(code, title)")
+def q_actions(spark, sf_dir):
+    return documents.actions(spark).where("code IN ('book-recall', 'verify-invoice', 'raise-recall-task')").select("code", "title")
+
+
 @query("SELECT 'o_gone' AS column_name")
 def q_drift(spark, sf_dir):
     gone = execute.drift(["o_orderkey", "o_gone", "O_CUSTKEY"], table(spark, sf_dir, "orders").columns)

@@ -6,6 +6,7 @@ from plumbline.operators import drafts, narrate, profile, reconcile
 from plumbline.operators.review import Gate
 from plumbline.plans.document import CheckError, from_dict
 from plumbline.sources import catalog as catalogs
+from plumbline.sources import documents
 from plumbline.sources.guard import Source
 
 NOW = datetime(2024, 6, 30)
@@ -89,6 +90,30 @@ def test_catalog_to_drafts_to_review(spark, visits, tmp_path):
     assert all("FirstName" != c["name"] or not c["values"] for v in drafts.redacted(found) for c in v["columns"])
 
 
+def test_profiling_resumes(spark, visits, tmp_path):
+    one = drafts.catalog(spark, {"app.visits": visits}, as_of=NOW, resume=str(tmp_path), watermarks={"app.visits": ["SeenAt"]})
+    again = drafts.catalog(spark, {"app.visits": visits.limit(0)}, as_of=NOW, resume=str(tmp_path))
+    assert one["views"][0]["row_count"] == again["views"][0]["row_count"] == 300
+    assert one["views"][0]["watermarks"][0]["fit"] and one["views"][0]["cost_ms"] > 0
+
+
+def test_documents_in_and_out(spark, visits, tmp_path):
+    (tmp_path / "h.json").write_text('{"views": [{"view": "V", "columns": [{"name": "A", "type": "int"}]}], "relations": [{"view_a": "V", "view_b": "W"}]}')
+    columns, relations = documents.hypotheses(spark, f"file://{tmp_path}/h.json")
+    live = spark.createDataFrame([("v", "PatientID", "int"), ("w", "patientid", "int")], "view string, column_name string, data_type string")
+    assert columns.first()["data_type"] == "int" and reconcile.relations(relations, live).first()["shared"] == ["patientid"]
+    (tmp_path / "n.txt").write_text("a.b # first\n\nc.d\n")
+    assert [r["view"] for r in documents.export_names(spark, f"file://{tmp_path}/n.txt").collect()] == ["a.b", "c.d"]
+    prose = spark.createDataFrame([("V", "Columns:\n| Name | varchar(10) |\nx | int\nno row")], "view string, t string")
+    assert [tuple(r)[1:] for r in documents.documented_columns(prose, "view", "t").collect()] == [("Name", "varchar(10)"), ("x", "int")]
+    assert documents.actions(spark).count() == 9
+    found = documents.environment(Source(spark, {"app.visits": visits}), {"app.visits": ["SeenAt"]}, NOW)
+    documents.write_environment(str(tmp_path / "env.json"), found)
+    assert documents.baselines(str(tmp_path / "env.json"))["app.visits"]["SeenAt"].year == 2024 and "app.visits | 300" in (tmp_path / "env.md").read_text()
+    documents.record_prompt(str(tmp_path / "p"), "ask", "answer", "names_only")
+    assert "names_only" in (tmp_path / "p").read_text()
+
+
 def test_slugs():
     assert [drafts.slug(x) for x in ("dbo.DiseaseID", "ScheduleDate", "o_orderkey")] == ["disease-id", "schedule-date", "o-orderkey"]
 
