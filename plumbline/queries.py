@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import checks
-from plumbline.operators import calibration, execute, feedback, findings, profile, reconcile, registry
+from plumbline.operators import calibration, dashboard, execute, feedback, findings, profile, reconcile, registry
 from plumbline.plans.document import from_dict
 from plumbline.sources import documents, tables
 from plumbline.sources.guard import Source
@@ -556,6 +556,24 @@ def q_dash_active(spark, sf_dir):
     return e.groupBy("status", "source").agg(F.count("*").alias("checks"), F.countDistinct("practice_id").alias("practices"))
 
 
+@query("SELECT event_type AS check_id, event_id AS dedupe_key, ts AS occurred_at FROM events ORDER BY ts DESC, event_type, event_id LIMIT 20")
+def q_dash_recent(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("check_id"), F.col("event_id").alias("dedupe_key"), F.col("ts").alias("occurred_at"))
+    return dashboard.recent_events(e)
+
+
+@query(f"{PRECISION_SQL} SELECT practice_id, check_id, precision FROM s ORDER BY precision, practice_id, check_id LIMIT 10", "clinic.feedback")
+def q_dash_precision(spark, sf_dir):
+    stats = calibration.precision(view(spark, sf_dir, "clinic.feedback")).withColumn("computed_at", F.lit(EVENTS_AS_OF))
+    return dashboard.lowest_precision(stats).select("practice_id", "check_id", "precision")
+
+
+@query("SELECT user_id % 7 AS practice_id, count(*) FILTER (user_id % 4 = 0) AS open, count(*) FILTER (user_id % 4 = 2) AS acknowledged, count(*) FILTER (user_id % 4 = 1) AS dismissed, count(*) FILTER (user_id % 4 = 3) AS resolved_system FROM events GROUP BY 1")
+def q_dash_practices(spark, sf_dir):
+    old = F.element_at(F.array(*map(F.lit, ("open", "dismissed", "acknowledged", "resolved_system"))), (F.col("user_id") % 4 + 1).cast("int"))
+    return dashboard.findings_by_practice(table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("practice_id"), old.alias("status")))
+
+
 @query(A_SQL.format(as_of="2001-12-31", lag=7).replace("SELECT id, practice, patient, schedule_date, ", "SELECT practice AS practice_id, count(*) AS n, 'Appointment ' || min(id) || ' on ' || strftime(min(schedule_date), '%Y-%m-%d') || ' has no invoice.' AS text FROM (SELECT id, practice, patient, schedule_date, ") + ") WHERE tri_state = 'fail' GROUP BY practice", *A_VIEWS)
 def q_render(spark, sf_dir):
     from plumbline.operators import narrate

@@ -138,3 +138,14 @@ def test_stream_of_rows(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/state")
     start(stream, "clinic.appointments", {"clinic.invoices": v["clinic.invoices"]}, [checks.load("appointment-unknown-status")], store, as_of=NOW, checkpoint=f"{tmp_path}/cp").awaitTermination()
     assert store.read("findings", findings.FINDINGS).where("check_id = 'appointment-unknown-status'").count() == 2
+
+
+def test_dashboard(spark):
+    from plumbline.operators import dashboard
+
+    config = spark.createDataFrame([(1, "c", True, "low"), (2, "c", False, None)], "practice_id int, check_id string, demoted boolean, demotion_reason string")
+    checks_ = spark.createDataFrame([("c", "A check", "active", "manual")], "check_id string, title string, status string, source string")
+    assert [tuple(r) for r in dashboard.demoted_pairs(config, checks_).collect()] == [(1, "c", "A check", "low")]
+    assert dashboard.checks_by_status(checks_).first()["checks"] == 1
+    runs = spark.createDataFrame([("r1", "c", 5, 1), ("r2", "c", 6, 2), ("r2", "d", 1, 0)], "run_id string, check_id string, n_examined long, n_fail long")
+    assert [tuple(r) for r in dashboard.last_runs(runs, 1).collect()] == [("r2", 7, 2, 2)]
