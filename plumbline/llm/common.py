@@ -7,8 +7,9 @@ a re-run of its tasks and nothing else.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
-import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,10 +20,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word: a maximal run of bytes other than space, tab and the four line controls.
+#: A word: a maximal run of bytes other than space, tab and the four line controls; bytes.split() gives the same words.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
-#: bytes.split() without arguments splits at exactly the bytes that WORD excludes.
 _REPO = str(Path(__file__).resolve().parents[2])
 
 
@@ -52,14 +52,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow(f, schema), with this package on the Python workers' path."""
+    """df.mapInArrow(f, schema), with this package on the Python workers' path.
+
+    A worker lives on between tasks and operators; at the end of a task it gives back what the task has freed.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
     env = df.sparkSession.sparkContext.environment
     if _REPO not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_REPO, env.get("PYTHONPATH", "")) if x)
-    return df.mapInArrow(f, schema)
+    return df.mapInArrow(run, schema)
+
 
+def give_back() -> None:
+    """Returns freed memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
-def slices(texts: pa.Array, budget: int = 8_000_000) -> Iterator[slice]:
+
+def slices(texts: pa.Array, budget: int = 4_000_000) -> Iterator[slice]:
     """Slices of a batch that hold about budget bytes of text each, one row at least."""
     start, held = 0, 0
     for i, n in enumerate(pc.binary_length(texts).to_pylist()):
@@ -74,7 +93,3 @@ def slices(texts: pa.Array, budget: int = 8_000_000) -> Iterator[slice]:
 def n_words(text: str = "text"):
     """Number of words of a text column; null has none."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def plain(name: str) -> str:
-    return re.sub(r"\W", "_", name)

@@ -19,12 +19,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm.common import arrow_map, slices
 
 RUN = 64
 #: Rows of the weight table; words whose scores a worker remembers.
-HASHED, REMEMBERED = 1 << 18, 500_000
+HASHED, REMEMBERED = 1 << 18, 200_000
 UNDETERMINED = "und"
 
 
@@ -260,13 +261,15 @@ def fit(docs: DataFrame, *, per_language: int = 100, max_languages: int = 64) ->
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred, lang_score and lang_runs (array of first word, end, lang). Only the text is looked at.
+RUNS = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType()), T.StructField("lang", T.StringType())]))
+
+
+def predict(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("lang_pred", "lang_score", "lang_runs")) -> DataFrame:
+    """docs with a language, its score and the runs (array of first word, end, lang) under these names. Only the text is looked at.
 
     A null text, or one without a letter, is `und` with score 0 and no runs; with no learned language all are.
     """
-    names = docs.columns
-    at = names.index("text")
+    at = docs.columns.index("text")
     sent = docs.sparkSession.sparkContext.broadcast((model.labels, model.weights.astype(np.float32), model.start, model.trans))
     kept: list[Model] = []
 
@@ -274,7 +277,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         if not kept:
             kept.append(Model(*sent.value))
         for b in batches:
-            for s in slices(b.column(at), 3_000_000):
+            for s in slices(b.column(at), 1_000_000):
                 part = b.slice(s.start, s.stop - s.start)
                 texts = part.column(at).to_pylist()
                 if kept[0].labels:
@@ -283,9 +286,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     langs, scores, runs = [UNDETERMINED] * len(texts), [0.0] * len(texts), [[] for _ in texts]
                 kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
                 runs = pa.array([[{"first": x, "end": y, "lang": z} for x, y, z in r] for r in runs], kind)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), runs], [*part.schema.names, "lang_pred", "lang_score", "lang_runs"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), runs], [*part.schema.names, *names])
 
-    schema = ", ".join([f.simpleString().replace(":", " ", 1) if f.name.isidentifier() else f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["lang_pred string", "lang_score double", "lang_runs array<struct<first: long, end: long, lang: string>>"])
+    schema = T.StructType([*docs.schema, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], RUNS)])
     return arrow_map(docs, run, schema)
 
 
@@ -300,7 +303,5 @@ def op10(docs: DataFrame) -> DataFrame:
 
 def keep_languages(docs: DataFrame, *, min_score: float = 0.4) -> DataFrame:
     """docs whose text has a language: letters, and a score of min_score or more. Columns stay as they are."""
-    clash = {"lang_pred", "lang_score", "lang_runs"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns of docs clash with those of the prediction: {sorted(clash)}")
-    return predict(docs, fit(docs)).where((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= min_score)).select(*docs.columns)
+    lang, score, _ = names = tuple("lang_" + x + "_" * (1 + max(map(len, docs.columns))) for x in ("pred", "score", "runs"))  # longer than any other
+    return predict(docs, fit(docs), names).where((F.col(lang) != UNDETERMINED) & (F.col(score) >= min_score)).drop(*names)

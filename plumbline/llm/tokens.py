@@ -15,11 +15,11 @@ from tokenizers import Tokenizer
 from plumbline.llm.common import arrow_map, slices
 
 #: Bytes of text encoded at once.
-SLICE = 2_000_000
-#: Slots of a worker's table of pieces, most pieces it holds, and bytes of the longest.
-SLOTS, HELD, LONGEST = 1 << 22, 2_500_000, 256
-#: A text over this many bytes is encoded in one go.
-ONE_GO = 1 << 24
+SLICE = 1_000_000
+#: Slots of a worker's table of pieces, and most pieces it holds.
+SLOTS, HELD = 1 << 21, 1_300_000
+#: Bytes of pieces looked up at once; bounds the memory for a text of any length.
+AT_ONCE = 1_000_000
 _encoders: dict[str, Encoder] = {}
 _BASE = 0x9E3779B97F4A7C15
 
@@ -66,7 +66,7 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.lengths = self.byte_lengths() if self.byte_level else None
         self.key = np.zeros(SLOTS if self.by_piece else 0, np.uint64)
-        self.at, self.size = np.zeros(len(self.key), np.int32), np.zeros(len(self.key), np.uint16)
+        self.at, self.size = np.zeros(len(self.key), np.int32), np.zeros(len(self.key), np.int32)
         self.flat, self.used, self.count = np.zeros(1 << 16, self.dtype), 0, 0
 
     @staticmethod
@@ -83,7 +83,7 @@ class Encoder:
         """The ids of all texts end to end, and how many each has."""
         texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("")
         sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-        if not self.by_piece or int(sizes.sum()) > ONE_GO:
+        if not self.by_piece:
             ids = self._batch(texts.to_pylist())
             return np.concatenate([*ids, np.zeros(0, self.dtype)]), np.array([len(x) for x in ids], np.int64)
         data, offsets = texts.buffers()[2], np.frombuffer(texts.buffers()[1], np.int32 if texts.type == pa.string() else np.int64)
@@ -91,10 +91,16 @@ class Encoder:
         b = np.frombuffer(data, np.uint8)[low : low + int(sizes.sum())] if data else np.zeros(0, np.uint8)
         begin = np.cumsum(sizes) - sizes
         start = self._cuts(b, begin[sizes > 0])
-        at, size = self._ids(b, start)
+        ids, counts, i = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)], 0
+        while i < len(start):
+            j = max(i + 1, int(np.searchsorted(start, start[i] + AT_ONCE)))
+            at, size = self._ids(b[start[i] : start[j] if j < len(start) else len(b)], start[i:j] - start[i])
+            ids.append(self.flat[_runs(at, size)])
+            counts.append(size)
+            i = j
         piece = np.append(np.searchsorted(start, begin), len(start))
-        total = np.concatenate(([0], np.cumsum(size)))
-        return self.flat[_runs(at, size)], np.diff(total[piece])
+        total = np.concatenate(([0], np.cumsum(np.concatenate(counts))))
+        return np.concatenate(ids), np.diff(total[piece])
 
     @staticmethod
     def _cuts(b: np.ndarray, begin: np.ndarray) -> np.ndarray:

@@ -40,6 +40,12 @@ def test_pieces_of_any_text(texts):
         assert split(tokens.Encoder.at_path(PATH), texts) == [whole(t, x) for x in texts]
 
 
+def test_long_texts_by_parts(plain, monkeypatch):
+    monkeypatch.setattr(tokens, "AT_ONCE", 50)
+    texts = [*ODD, "y z" * 50_000, "日本" * 60_000]
+    assert split(tokens.Encoder.at_path(PATH), texts) == [whole(plain, t) for t in texts]
+
+
 def test_a_full_table_starts_again(plain, monkeypatch):
     monkeypatch.setattr(tokens, "HELD", 50)
     e = tokens.Encoder(PATH)
