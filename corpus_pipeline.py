@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 import plumbline.llm.decontaminate as decontaminate
 import plumbline.llm.langid as langid
 import plumbline.llm.mixing as mixing
+import plumbline.llm.overlap as overlap
 import plumbline.llm.simhash as simhash
 import plumbline.llm.tokenfile as tokenfile
 from plumbline.llm.common import written
@@ -23,8 +24,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-duplicates, the one with the smallest doc_id.
+
+    A group is joined by op2's links and by five-word similarities of 0.8 or more.
+    """
+    return simhash.keep_one(docs, overlap.similar_texts(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

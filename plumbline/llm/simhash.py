@@ -251,13 +251,17 @@ def op2(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def keep_one(docs: DataFrame, more: DataFrame | None = None, **options) -> DataFrame:
     """docs with one document of each near-duplicate group: the one with the smallest doc_id; columns stay as they are.
 
-    Rows that share a doc_id are one document, and one of them stays. Rows without a doc_id go.
+    Rows that share a doc_id are one document, and one of them stays. Rows without a doc_id go. more: further links
+    (u, v) of doc_ids; documents are then one group if links of either kind join them.
     """
     found = written(near_duplicates(docs, **options).where("doc_id IS NOT NULL"), "simhash-found")
     dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct()
+    if more is not None:
+        roots = connected(found.select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")).unionByName(more))
+        dropped = written(roots.where("node <> root").select(F.col("node").alias("_other")).distinct(), "simhash-dropped")
     own = docs.where("doc_id IS NOT NULL")
     own = own.join(dropped, own["doc_id"] == dropped["_other"], "left_anti")
     again = written(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "simhash-again")
