@@ -181,7 +181,8 @@ def eligible_pairs(profiles: DataFrame, cap: int = PAIR_CAP) -> DataFrame:
     the rest skipped for their cost.
     """
     keyish = (F.col("column_class") == "key") | F.col("column_name").rlike("(?i)id|code|key") | (F.col("distinct_count") >= KEY_UNIQUENESS * F.col("rows"))
-    cols = profiles.where(F.col("family").isin("numeric", "string") & ~F.col("column_class").isin("identifier_or_freetext", "measure")).select("view", "column_name", "family", F.coalesce(keyish, F.lit(False)).alias("keyish"))
+    free = (F.col("family") == "string") & (F.coalesce("max_length", F.lit(0)) > FREE_TEXT_LENGTH)
+    cols = profiles.where(F.col("family").isin("numeric", "string") & ~free & (F.col("column_class") != "measure")).select("view", "column_name", "family", F.coalesce(keyish, F.lit(False)).alias("keyish"))
     a, b = cols.alias("a"), cols.alias("b")
     on = (F.col("a.family") == F.col("b.family")) & (F.struct("a.view", "a.column_name") < F.struct("b.view", "b.column_name")) & (F.col("a.view") != F.col("b.view")) & (F.col("a.keyish") | F.col("b.keyish"))
     pairs = a.join(b, on).select(F.col("a.view").alias("view_a"), F.col("a.column_name").alias("column_a"), F.col("b.view").alias("view_b"), F.col("b.column_name").alias("column_b"))
