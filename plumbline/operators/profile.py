@@ -175,7 +175,7 @@ def candidate_keys(stats: DataFrame) -> DataFrame:
 
 
 def eligible_pairs(profiles: DataFrame, cap: int = PAIR_CAP) -> DataFrame:
-    """Column pairs worth a containment test: of two views, one type family, neither free text nor a measure, one key-like.
+    """Column pairs worth a containment test: of one view or two, one type family, neither free text nor a measure, one key-like.
 
     profiles: view and the columns of `profile`; small, a row a column. budget: the first `cap` pairs are evaluated,
     the rest skipped for their cost.
@@ -184,7 +184,7 @@ def eligible_pairs(profiles: DataFrame, cap: int = PAIR_CAP) -> DataFrame:
     free = (F.col("family") == "string") & (F.coalesce("max_length", F.lit(0)) > FREE_TEXT_LENGTH)
     cols = profiles.where(F.col("family").isin("numeric", "string") & ~free & (F.col("column_class") != "measure")).select("view", "column_name", "family", F.coalesce(keyish, F.lit(False)).alias("keyish"))
     a, b = cols.alias("a"), cols.alias("b")
-    on = (F.col("a.family") == F.col("b.family")) & (F.struct("a.view", "a.column_name") < F.struct("b.view", "b.column_name")) & (F.col("a.view") != F.col("b.view")) & (F.col("a.keyish") | F.col("b.keyish"))
+    on = (F.col("a.family") == F.col("b.family")) & (F.struct("a.view", "a.column_name") < F.struct("b.view", "b.column_name")) & (F.col("a.keyish") | F.col("b.keyish"))
     pairs = a.join(b, on).select(F.col("a.view").alias("view_a"), F.col("a.column_name").alias("column_a"), F.col("b.view").alias("view_b"), F.col("b.column_name").alias("column_b"))
     n = F.row_number().over(Window.orderBy("view_a", "column_a", "view_b", "column_b"))
     return pairs.withColumn("budget", F.when(n <= cap, "evaluated").otherwise("skipped_cost"))

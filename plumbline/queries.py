@@ -413,7 +413,7 @@ def q_pair_prune(spark, sf_dir):
     for t, cs in PAIR_TABLES.items():
         one = profile.profile(table(spark, sf_dir, t).select(*cs)).withColumn("view", F.lit(t))
         out = one if out is None else out.unionByName(one)
-    return profile.eligible_pairs(out)
+    return profile.eligible_pairs(out).where("view_a <> view_b")
 
 
 @query("""WITH a AS (SELECT DISTINCT c_custkey AS v FROM customer), b AS (SELECT DISTINCT o_custkey AS v FROM orders), j AS (SELECT a.v AS x, b.v AS y FROM a FULL JOIN b ON a.v = b.v)
