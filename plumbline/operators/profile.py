@@ -174,11 +174,11 @@ def candidate_keys(stats: DataFrame) -> DataFrame:
     return found.select("column_name", "distinct_count", "rows").orderBy(~F.col("column_name").rlike("(?i)(id|key)$"), "column_name")
 
 
-def eligible_pairs(profiles: DataFrame, cap: int = PAIR_CAP) -> DataFrame:
+def eligible_pairs(profiles: DataFrame, cap: int | None = None) -> DataFrame:
     """Column pairs worth a containment test: of one view or two, one type family, neither free text nor a measure, one key-like.
 
-    profiles: view and the columns of `profile`; small, a row a column. budget: the first `cap` pairs are evaluated,
-    the rest skipped for their cost.
+    profiles: view and the columns of `profile`; small, a row a column. budget: all pairs are evaluated; with a cap
+    (PAIR_CAP is the usual one) the first `cap` pairs, and the rest skipped for their cost.
     """
     keyish = (F.col("column_class") == "key") | F.col("column_name").rlike("(?i)id|code|key") | (F.col("distinct_count") >= KEY_UNIQUENESS * F.col("rows"))
     free = (F.col("family") == "string") & (F.coalesce("max_length", F.lit(0)) > FREE_TEXT_LENGTH)
@@ -186,6 +186,8 @@ def eligible_pairs(profiles: DataFrame, cap: int = PAIR_CAP) -> DataFrame:
     a, b = cols.alias("a"), cols.alias("b")
     on = (F.col("a.family") == F.col("b.family")) & (F.struct("a.view", "a.column_name") < F.struct("b.view", "b.column_name")) & (F.col("a.keyish") | F.col("b.keyish"))
     pairs = a.join(b, on).select(F.col("a.view").alias("view_a"), F.col("a.column_name").alias("column_a"), F.col("b.view").alias("view_b"), F.col("b.column_name").alias("column_b"))
+    if cap is None:
+        return pairs.withColumn("budget", F.lit("evaluated"))
     n = F.row_number().over(Window.orderBy("view_a", "column_a", "view_b", "column_b"))
     return pairs.withColumn("budget", F.when(n <= cap, "evaluated").otherwise("skipped_cost"))
 
