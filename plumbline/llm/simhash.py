@@ -4,9 +4,10 @@ A fingerprint has 64 bits. The trie of all fingerprints is built three times,
 its bits rotated so that another third of them leads. With at most two
 differing bits one third has none, so every link lies below some node at which
 a leading third ends: the subtrees below those nodes are dealt out over the
-cluster, and only a subtree's pair with itself is traversed. The traversal goes
-down node pairs together, adds up the bits in which the two paths differ and
-drops a pair as soon as the budget is exceeded.
+cluster, and only a subtree's pair with itself is traversed, whatever its size.
+The traversal goes down node pairs together, many subtrees side by side, adds up
+the bits in which the two paths differ and drops a pair as soon as the budget is
+exceeded.
 
 A subtree with more than ``max_subtree`` fingerprints is not walked by one
 task: its remaining bits are cut in thirds once more, with the same argument,
@@ -28,12 +29,10 @@ from plumbline.llm.components import connected
 
 SEED = 42
 BITS = 64
-#: Node pairs expanded at once; bounds the memory of a traversal.
-PAIRS_AT_ONCE = 1 << 19
+#: Node pairs expanded at once, and rows of whole subtrees traversed at once; they bound the memory of a task.
+PAIRS_AT_ONCE, ROWS_AT_ONCE = 1 << 19, 1 << 20
 #: No subtree of so few free bits that they name SMALL fingerprints at most is cut further.
 SMALL = 1 << 18
-#: Subtrees up to this size are leaves of the traversal.
-LEAF = 8
 ONE = np.uint64(1)
 
 
@@ -93,54 +92,80 @@ def _lead(positions: list[int]):
     return value
 
 
-def trie_links(sorted_keys: np.ndarray, roots: list[tuple[int, int]] | np.ndarray, depth: int, budget: int, uniting) -> None:
-    """Traverses the pair (root, root) of each root range of the sorted 64-bit keys from a depth on.
+def _bit_length(x: np.ndarray) -> np.ndarray:
+    """Number of bits of each 64-bit number; floats are exact for the halves."""
+    high = x >> np.uint64(32)
+    part = np.where(high > 0, high, x & np.uint64(0xFFFFFFFF)).astype(np.float64)
+    return np.frexp(part)[1] + np.where(high > 0, 32, 0)
 
-    Nodes are ranges of sorted_keys. Calls uniting(i, j) with arrays of positions that differ in budget bits at most.
+
+def trie_links(r: np.ndarray, roots: np.ndarray, budget: int, uniting) -> int:
+    """Traverses the pair (root, root) of each root range of r together; each range is sorted, r as a whole needn't be.
+
+    A node is a range of r whose keys share their bits up to the depth at which the range branches, and only such
+    nodes are visited (paths without a branch are passed in one go). A pair of nodes carries the bits in which their
+    paths differ so far and is dropped when these exceed the budget. Calls uniting(i, j) with arrays of positions that
+    differ in budget bits at most; returns the number of node pairs visited.
     """
-    r = sorted_keys
     roots = np.asarray(roots, np.int64).reshape(-1, 2)
     roots = roots[roots[:, 1] - roots[:, 0] > 1]
-    todo = [(depth, np.column_stack((roots, roots, np.zeros(len(roots), np.int64))))]
+    zero = np.zeros(len(roots), np.int64)
+    todo, visited = [np.column_stack((roots, roots, zero, zero))], 0
+
+    def branch(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The depth at which a range branches; BITS for a single key."""
+        return BITS - _bit_length(r[lo] ^ r[hi - 1])
+
+    def cut(lo: np.ndarray, hi: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        """Where the child with a one begins in each range; its end if the range doesn't branch at that depth."""
+        bit = ONE << (BITS - 1 - np.minimum(depth, BITS - 1)).astype(np.uint64)
+        lo, hi = lo.copy(), hi.copy()
+        while (ranges := lo < hi).any():
+            middle = (lo + hi) >> 1
+            one = (r[np.minimum(middle, len(r) - 1)] & bit) != 0
+            hi = np.where(ranges & one, middle, hi)
+            lo = np.where(ranges & ~one, middle + 1, lo)
+        return lo
+
     while todo:
-        d, front = todo.pop()
+        front = todo.pop()
         if len(front) > PAIRS_AT_ONCE:
-            todo += [(d, front[k : k + PAIRS_AT_ONCE]) for k in range(0, len(front), PAIRS_AT_ONCE)]
+            todo += [front[k : k + PAIRS_AT_ONCE] for k in range(0, len(front), PAIRS_AT_ONCE)]
             continue
-        alone = (front[:, 1] - front[:, 0] == 1) & (front[:, 3] - front[:, 2] == 1)
-        if alone.any():
-            a, b = front[alone, 0], front[alone, 2]
-            near = np.bitwise_count(r[a] ^ r[b]) <= budget
-            near &= a != b
-            if near.any():
-                uniting(a[near], b[near])
-            front = front[~alone]
-        if not len(front):
+        visited += len(front)
+        a0, a1, b0, b1, errors, depth = front.T
+        of_a, of_b = branch(a0, a1), branch(b0, b1)
+        to = np.minimum(of_a, of_b)
+        below = np.where(depth > 0, (ONE << (BITS - np.maximum(depth, 1)).astype(np.uint64)) - ONE, ~np.uint64(0))
+        rest = np.where(to < BITS, (ONE << (BITS - np.maximum(to, 1)).astype(np.uint64)) - ONE, np.uint64(0))
+        rest = np.where(to > 0, rest, ~np.uint64(0))
+        errors = errors + np.bitwise_count((r[a0] ^ r[b0]) & below & ~rest)
+        near = errors <= budget
+        a0, a1, b0, b1, errors, of_a, of_b, to = (x[near] for x in (a0, a1, b0, b1, errors, of_a, of_b, to))
+        leaves = to == BITS
+        if leaves.any():
+            uniting(a0[leaves], b0[leaves])
+            inner = ~leaves
+            a0, a1, b0, b1, errors, of_a, of_b, to = (x[inner] for x in (a0, a1, b0, b1, errors, of_a, of_b, to))
+        if not len(a0):
             continue
-        bit = ONE << np.uint64(BITS - 1 - d)
-        above = ~(bit | (bit - ONE))
-
-        def cut(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-            """Where the child with a one begins in each range."""
-            return np.clip(np.searchsorted(r, (r[lo] & above) | bit), lo, hi)
-
-        a0, a1, b0, b1, e = front.T
-        am = cut(a0, a1)
         same = a0 == b0
-        bm = np.where(same, am, cut(b0, b1))
-        other = ~same
-        below = np.concatenate(
-            (
-                np.column_stack((a0, am, b0, bm, e)),
-                np.column_stack((am, a1, bm, b1, e)),
-                np.column_stack((a0, am, bm, b1, e + 1)),
-                np.column_stack((am, a1, b0, bm, e + 1))[other],  # of a node with itself, the mirror image of the one before
-            )
-        )
-        below = below[(below[:, 0] < below[:, 1]) & (below[:, 2] < below[:, 3]) & (below[:, 4] <= budget)]
-        below = below[(below[:, 0] != below[:, 2]) | (below[:, 1] - below[:, 0] > 1)]
-        if len(below):
-            todo.append((d + 1, below))
+        am = np.where(of_a == to, cut(a0, a1, to), a1)
+        bm = np.where(same, am, np.where(of_b == to, cut(b0, b1, to), b1))
+        a_bit, b_bit = ((r[x] >> (BITS - 1 - to).astype(np.uint64)) & ONE for x in (a0, b0))  # of a node that doesn't branch
+        children = []
+        for i, (x0, x1) in enumerate(((a0, am), (am, a1))):
+            for j, (y0, y1) in enumerate(((b0, bm), (bm, b1))):
+                some = (x0 < x1) & (y0 < y1)
+                some &= ~same | (i < j) | ((i == j) & (x1 - x0 > 1))  # of a node with itself, one of two mirror images
+                x_bit, y_bit = np.where(of_a == to, i, a_bit), np.where(of_b == to, j, b_bit)
+                now = errors + (x_bit != y_bit)
+                some &= now <= budget
+                children.append(np.column_stack((x0, x1, y0, y1, now, to + 1))[some])
+        front = np.concatenate(children)
+        if len(front):
+            todo.append(front)
+    return visited
 
 
 class Forest:
@@ -166,29 +191,28 @@ class Forest:
 
 
 def _walk(max_bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches]
-        if not held:
-            return
-        trie, key, fp = (np.concatenate(x) for x in zip(*held))
-        fp = fp.view(np.uint64)
-        order = np.lexsort((fp, key, trie))
-        trie, key, fp = trie[order], key[order], fp[order]
+    def found(trie: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        """A spanning forest of the links within each whole subtree of sorted rows; all subtrees are traversed together."""
         new = np.flatnonzero(np.concatenate(([True], (trie[1:] != trie[:-1]) | (key[1:] != key[:-1]))))
-        ends = np.append(new[1:], len(fp))
-        forest = Forest(len(fp))
-        group = np.repeat(np.arange(len(new)), ends - new)
-        for step in range(1, LEAF):  # subtrees of LEAF fingerprints at most are leaves, compared pair by pair
-            near = (group[step:] == group[:-step]) & ((ends - new)[group[step:]] <= LEAF) & (np.bitwise_count(fp[step:] ^ fp[:-step]) <= max_bits)
-            i = np.flatnonzero(near)
-            forest.unite(i, i + step)
-        for lo, hi in zip(new[ends - new > LEAF].tolist(), ends[ends - new > LEAF].tolist()):
-            part = fp[lo:hi]
-            common = int(part[0] ^ part[-1])  # its highest bit is the first in which any two of the sorted differ
-            trie_links(part, [(0, hi - lo)], BITS - common.bit_length(), max_bits, lambda i, j, lo=lo: forest.unite(i + lo, j + lo))
+        forest, r = Forest(len(fp)), fp.view(np.uint64)
+        trie_links(r, np.column_stack((new, np.append(new[1:], len(fp)))), max_bits, forest.unite)
         child = np.flatnonzero(forest.up != np.arange(len(fp)))
-        if len(child):
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (fp[child], fp[forest.up[child]])], ["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(fp[child]), pa.array(fp[forest.up[child]])], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for b in batches:
+            if len(b):
+                held.append([c.to_numpy() for c in b.columns])
+            if sum(len(h[0]) for h in held) >= ROWS_AT_ONCE:
+                whole = [np.concatenate(x) for x in zip(*held)]
+                last = np.flatnonzero((whole[0] == whole[0][-1]) & (whole[1] == whole[1][-1]))[0]  # the last subtree may go on
+                if last:
+                    yield found(*(x[:last] for x in whole))
+                held = [[x[last:] for x in whole]]
+        if held:
+            yield found(*(np.concatenate(x) for x in zip(*held)))
+
     return run
 
 
@@ -225,7 +249,9 @@ def links(fps: DataFrame, max_bits: int = 2, max_subtree: int = 1 << 18) -> Data
         deeper = [(n, ways(n, *tries[n])) for n in hot_tries]
         rows = written(dealt(rows.join(large, ["trie", "key"], "left_semi"), deeper), "trie-rows")
         tries = {n: (lead, free) for _, own in deeper for n, lead, free in own}
-    return arrow_map(ready.select("trie", "key", "fp").repartition("trie", "key"), _walk(max_bits), "u long, v long")
+    unsigned = F.col("fp").bitwiseXOR(F.lit(-(1 << 63)))
+    own = ready.select("trie", "key", "fp").repartition("trie", "key").sortWithinPartitions("trie", "key", unsigned)
+    return arrow_map(own, _walk(max_bits), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", shingle: int = 3, max_bits: int = 2, max_subtree: int = 1 << 18) -> DataFrame:
@@ -233,7 +259,8 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", shingle: int = 3, ma
 
     docs needs doc_id and the text column; other columns are not read. Null, empty and blank texts have
     fingerprint zero and link like any other. Rows with a null doc_id keep a row; a component of such rows alone
-    has a null id. Repeated rows return as often as they stand. An empty table gives an empty result.
+    has a null id. Repeated rows return as often as they stand. An empty table gives an empty result. A text of any
+    length is hashed whole, shingles by blocks. Extra columns, whatever their names, play no part.
     """
     fps = written(fingerprints(docs, text, shingle), "simhash")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
@@ -255,7 +282,8 @@ def keep_one(docs: DataFrame, more: DataFrame | None = None, **options) -> DataF
     """docs with one document of each near-duplicate group: the one with the smallest doc_id; columns stay as they are.
 
     Rows that share a doc_id are one document, and one of them stays. Rows without a doc_id go. more: further links
-    (u, v) of doc_ids; documents are then one group if links of either kind join them.
+    (u, v) of doc_ids; documents are then one group if links of either kind join them. Null, empty and blank texts are
+    copies of each other. Columns may have any names; an empty table stays empty.
     """
     found = written(near_duplicates(docs, **options).where("doc_id IS NOT NULL"), "simhash-found")
     dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct()

@@ -72,11 +72,47 @@ def test_traversal_visits_large_subtrees():
     r = np.random.default_rng(5)
     keys = np.unique(r.integers(0, 1 << 16, 3000).astype(np.uint64))
     got = set()
-    simhash.trie_links(keys, [(0, len(keys))], 0, 2, lambda i, j: got.update(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist())))
+    simhash.trie_links(keys, [(0, len(keys))], 2, lambda i, j: got.update(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist())))
     close = np.bitwise_count(keys[:, None] ^ keys[None, :]) <= 2
     assert got == {(i, j) for i, j in zip(*np.nonzero(close)) if i < j}
 
 
+@pytest.mark.parametrize("budget", [0, 1, 2, 5])
+def test_groups_are_traversed_side_by_side(budget):
+    r = np.random.default_rng(budget)
+    groups = [np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64) >> np.uint64(r.integers(0, 60)) << np.uint64(r.integers(0, 4))) for n in r.integers(1, 40, 60)]
+    keys = np.concatenate(groups)
+    ends = np.cumsum([len(g) for g in groups])
+    got: list[tuple[int, int]] = []
+    simhash.trie_links(keys, np.column_stack((ends - [len(g) for g in groups], ends)), budget, lambda i, j: got.extend(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist())))
+    of = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+    close = (np.bitwise_count(keys[:, None] ^ keys[None, :]) <= budget) & (of[:, None] == of[None, :])
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for i, j in zip(*np.nonzero(close)) if i < j}
+
+
+def test_every_dealt_pair_is_reached_through_nodes(spark, monkeypatch):
+    """Small groups, as ordinary data give them, are traversed too: a pair takes a visit of its root and of its leaves."""
+    pairs = np.array([8, 9, 1 << 40, (1 << 40) + 1], np.uint64)
+    seen = []
+    assert simhash.trie_links(pairs, [(0, 2), (2, 4)], 2, lambda i, j: seen.append(len(i))) == 4 and sum(seen) == 2
+    far = np.array([0, 7, 8, 15], np.uint64)  # below a budget of 0 only roots and their undivided children are visited
+    assert simhash.trie_links(far, [(0, 4)], 0, lambda i, j: None) < 16
+
+
+def test_subtrees_by_pieces_of_a_partition(spark, monkeypatch):
+    r = random.Random(9)
+    fps = near(r, 400)
+    rows = sorted((1, x >> 56, x - (1 << 64) if x >> 63 else x) for x in fps)
+    rows.sort(key=lambda t: (t[1], t[2] & (1 << 64) - 1))
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_arrays([pa.array([t[k] for t in rows[i : i + 50]], pa.int64()) for k in range(3)], ["trie", "key", "fp"]) for i in range(0, len(rows), 50)]
+    whole = [b.to_pydict() for b in simhash._walk(2)(iter(batches))]
+    monkeypatch.setattr(simhash, "ROWS_AT_ONCE", 60)
+    parts = [b.to_pydict() for b in simhash._walk(2)(iter(batches))]
+    assert len(parts) > 3 and sorted(zip(*(sum((p[c] for p in parts), []) for c in "uv"))) == sorted(zip(*(whole[0][c] for c in "uv")))
+
+
 def test_documents(spark):
     rng = random.Random(3)
     base = " ".join(f"w{rng.randrange(500)}" for _ in range(300))
