@@ -3,39 +3,30 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from tokenizers import Tokenizer
-
-from plumbline.llm.common import arrow_map, slices
-
-#: Bytes of text encoded at once.
-SLICE = 1_000_000
-#: Slots of a worker's table of pieces, and most pieces it holds.
-SLOTS, HELD = 1 << 21, 1_300_000
-#: Bytes of pieces looked up at once; bounds the memory for a text of any length.
-AT_ONCE = 1_000_000
-_encoders: dict[str, Encoder] = {}
-_BASE = 0x9E3779B97F4A7C15
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; read when the library first encodes
 
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2 ** 64."""
+from pyspark.sql import DataFrame  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+from tokenizers import Tokenizer  # noqa: E402
 
-    up = down = np.ones(1, np.uint64)
+from plumbline.llm.common import arrow_map, slices  # noqa: E402
 
-    @classmethod
-    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
-            up[0] = down[0] = 1
-            cls.up, cls.down = np.cumprod(up), np.cumprod(down)
-        return cls.up[:n], cls.down[:n]
+#: Bytes of text encoded at once, and with offsets; a longer text goes by parts where its tokenizer allows, so memory
+#: doesn't grow with it.
+SLICE = AT_ONCE = 4_000_000
+WHOLE = 1_000_000
+#: What a worker remembers: pieces, their ids in total, and the bytes of the longest piece.
+HELD, HELD_IDS, LONGEST = 1_200_000, 8_000_000, 64
+#: Bytes of new pieces encoded as one string.
+JOINED = 1 << 14
+_encoders: dict[str, Encoder] = {}
 
 
 def _runs(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -51,9 +42,10 @@ class Encoder:
     """Encodes whole texts.
 
     A byte-level tokenizer that cuts words by the usual pattern never joins the characters on both sides of a
-    space between two non-spaces, so its ids are those of the pieces that begin at such spaces. A worker
-    remembers the pieces it met, by a 64-bit hash, in a table of fixed size; all pieces of a slice of texts are
-    looked up at once, and the new ones encoded. Other tokenizers encode each text in one go.
+    space between two non-spaces, so its ids are those of the pieces that begin at such spaces. Equal pieces of a
+    part of the texts are encoded once, and a worker remembers a bounded number of short ones; pieces are compared
+    byte by byte. A text without such spaces is one piece and remembered nowhere. Other tokenizers encode each text
+    in one go.
     """
 
     def __init__(self, path: str):
@@ -61,13 +53,14 @@ class Encoder:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
         pre = spec.get("pre_tokenizer") or {}
-        self.byte_level = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not any(a["lstrip"] or a["rstrip"] or " " in a["content"] for a in spec["added_tokens"])
-        self.by_piece = self.byte_level and pre.get("use_regex", True)
+        byte_level = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space")
+        self.by_piece = byte_level and pre.get("use_regex", True) and not any(a["lstrip"] or a["rstrip"] or " " in a["content"] for a in spec["added_tokens"])
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.lengths = self.byte_lengths() if self.byte_level else None
-        self.key = np.zeros(SLOTS if self.by_piece else 0, np.uint64)
-        self.at, self.size = np.zeros(len(self.key), np.int32), np.zeros(len(self.key), np.int32)
-        self.flat, self.used, self.count = np.zeros(1 << 16, self.dtype), 0, 0
+        self.lengths = self._byte_lengths() if self.by_piece else None
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.flat, self.ends = pa.array([], pa.large_binary()), np.zeros(0, self.dtype), np.zeros(1, np.int64)
 
     @staticmethod
     def at_path(path: str) -> Encoder:
@@ -76,31 +69,30 @@ class Encoder:
             _encoders[path] = Encoder(path)
         return _encoders[path]
 
-    def _batch(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts end to end, and how many each has."""
+        ids = [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([*ids, np.zeros(0, self.dtype)]), np.fromiter(map(len, ids), np.int64, len(ids))
 
     def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts end to end, and how many each has."""
+        """The ids of all texts end to end, and how many each has; null counts as empty."""
         texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("")
-        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
         if not self.by_piece:
-            ids = self._batch(texts.to_pylist())
-            return np.concatenate([*ids, np.zeros(0, self.dtype)]), np.array([len(x) for x in ids], np.int64)
+            return self._batch(texts.to_pylist())
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
         data, offsets = texts.buffers()[2], np.frombuffer(texts.buffers()[1], np.int32 if texts.type == pa.string() else np.int64)
         low = int(offsets[texts.offset])
         b = np.frombuffer(data, np.uint8)[low : low + int(sizes.sum())] if data else np.zeros(0, np.uint8)
         begin = np.cumsum(sizes) - sizes
-        start = self._cuts(b, begin[sizes > 0])
+        cuts = np.append(self._cuts(b, begin[sizes > 0]), len(b))
         ids, counts, i = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)], 0
-        while i < len(start):
-            j = max(i + 1, int(np.searchsorted(start, start[i] + AT_ONCE)))
-            at, size = self._ids(b[start[i] : start[j] if j < len(start) else len(b)], start[i:j] - start[i])
-            ids.append(self.flat[_runs(at, size)])
-            counts.append(size)
+        while i < len(cuts) - 1:
+            j = max(i + 1, int(np.searchsorted(cuts, cuts[i] + AT_ONCE, "right")) - 1)
+            for out, part in zip((ids, counts), self._part(b[cuts[i] : cuts[j]], cuts[i : j + 1] - cuts[i])):
+                out.append(part)
             i = j
-        piece = np.append(np.searchsorted(start, begin), len(start))
         total = np.concatenate(([0], np.cumsum(np.concatenate(counts))))
-        return np.concatenate(ids), np.diff(total[piece])
+        return np.concatenate(ids), np.diff(total[np.append(np.searchsorted(cuts, begin), len(cuts) - 1)])
 
     @staticmethod
     def _cuts(b: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -120,108 +112,88 @@ class Encoder:
         edge[p[~loose]] = True
         return np.flatnonzero(edge[:n])
 
-    def _ids(self, b: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the ids of each piece stand in flat, and how many."""
-        if not len(start):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        end = np.append(start[1:], len(b))
-        up, down = _Powers.to(len(b))
-        x = b.astype(np.uint64)
-        x += np.uint64(1)
-        x *= up
-        np.cumsum(x, out=x)
-        h = x[end - 1]
-        h[1:] -= x[start[1:] - 1]
-        h *= down[start]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= (h >> np.uint64(32)) ^ (end - start).astype(np.uint64) << np.uint64(56)
-        h[h == 0] = 1
-        slot, found = self._find(h)
-        if found.all():
-            return self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
-        _, first = np.unique(h[~found], return_index=True)
-        first = np.flatnonzero(~found)[first]
-        if self.count + len(first) > HELD:
-            self.key[:] = 0
-            self.used = self.count = 0
-            if len(first) > HELD:
-                raise ValueError("a slice of texts has more pieces than the table holds")
-            return self._ids(b, start)
-        first = first[np.lexsort((first, b[start[first]] == 32))]  # those without a leading space, then the others
-        at, size = self._fresh(b, start[first], end[first])
-        self._insert(h[first], at, size)
-        slot, _ = self._find(h)
-        return self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
-
-    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mask = np.uint64(SLOTS - 1)
-        slot = (h & mask).astype(np.int64)
-        there = self.key[slot]
-        found = there == h
-        going = np.flatnonzero(~found & (there != 0))
-        while len(going):
-            slot[going] = (slot[going] + 1) & (SLOTS - 1)
-            there = self.key[slot[going]]
-            found[going] = there == h[going]
-            going = going[(there != h[going]) & (there != 0)]
-        return slot, found
-
-    def _insert(self, h: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
-        self.count += len(h)
-        slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
-        going = np.arange(len(h))
-        while len(going):
-            free = going[self.key[slot[going]] == 0]
-            self.key[slot[free]] = h[free]
-            self.at[slot[free]], self.size[slot[free]] = at[free], size[free]
-            won = free[self.key[slot[free]] == h[free]]
-            self.at[slot[won]], self.size[slot[won]] = at[won], size[won]
-            going = np.setdiff1d(going, won, assume_unique=True)
-            slot[going] = (slot[going] + 1) & (SLOTS - 1)
-
-    def _fresh(self, b: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Encodes pieces and appends their ids to flat. Pieces that begin with a space can follow each other in a text."""
-        n = end - start
-        joins = b[start] == 32
-        text = b[_runs(start, n)].tobytes()
-        ends = np.cumsum(n)
-        alone = int(np.count_nonzero(~joins))
-        cut = [0, *ends[:alone].tolist()]
-        last = cut[-1]
-        for e in ends[alone:].tolist():
-            if e - last > 1 << 14:
-                cut.append(e)
-                last = e
-        if cut[-1] != len(text):
-            cut.append(len(text))
-        ids = np.concatenate(self._batch([text[x:y].decode() for x, y in zip(cut, cut[1:])]))
-        size = np.diff(np.concatenate(([0], np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1)))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        at = self.used + np.cumsum(size) - size
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        return at, size
-
-    def byte_lengths(self) -> np.ndarray:
-        """UTF-8 bytes that each id stands for; for byte-level tokenizers."""
-        n = self.tokenizer.get_vocab_size()
+    def _part(self, b: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces between cuts, end to end, and how many each piece has."""
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(b)])
+        coded = pieces.dictionary_encode()
+        own, of = coded.dictionary, coded.indices.to_numpy()
+        at = pc.index_in(own, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        fresh = np.flatnonzero(at < 0)
+        new = own.take(pa.array(fresh))
+        ids, n = self._fresh(new)
+        pool = np.concatenate((self.flat, ids))
+        start, size = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+        old = at >= 0
+        start[old], size[old] = self.ends[at[old]], np.diff(self.ends)[at[old]]
+        start[fresh], size[fresh] = len(self.flat) + np.cumsum(n) - n, n
+        self._remember(new, ids, n)
+        return pool[_runs(start[of], size[of])], size[of]
+
+    def _fresh(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different pieces, and how many each has.
+
+        Pieces that begin with a space can follow each other in a text, so many of them are encoded as one string; the
+        bytes that each id stands for say where a piece ends.
+        """
+        size = pc.binary_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
+        b = np.frombuffer(b"".join(pieces.to_pylist()), np.uint8)
+        begin = np.cumsum(size) - size
+        order = np.argsort(b[begin] == 32, kind="stable")  # those that begin without a space, each a string, then the others
+        text = b[_runs(begin[order], size[order])].tobytes()
+        ends = np.cumsum(size[order])
+        alone = int(np.count_nonzero(b[begin] != 32))
+        joined = ends[alone:]
+        first = int(ends[alone - 1]) if alone else 0
+        cuts = np.unique(joined[np.flatnonzero(np.diff(np.append((joined - first) // JOINED, -1)))])
+        cut = [0, *ends[:alone].tolist(), *cuts.tolist()]
+        ids, _ = self._batch([text[x:y].decode() for x, y in zip(cut, cut[1:])])
+        n = np.diff(np.searchsorted(np.cumsum(self.lengths[ids]), np.concatenate(([0], ends)), "right")) if len(ids) else np.zeros(len(size), np.int64)
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return ids[_runs((np.cumsum(n) - n)[back], n[back])], n[back]
+
+    def _byte_lengths(self) -> np.ndarray:
+        """UTF-8 bytes that each id stands for."""
         special = {i: len(a.content.encode()) for i, a in self.tokenizer.get_added_tokens_decoder().items()}
-        return np.array([special.get(i, len(self.tokenizer.id_to_token(i) or "")) for i in range(n)], np.int64)
-
-    def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end of each of a text's tokens, in code points; a token of part of a character spans that character."""
-        if not self.byte_level:
-            at = np.array(self.tokenizer.encode(text, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
-            return at[:, 0], at[:, 1]
-        ends = np.cumsum(self.lengths[ids])
-        starts = np.concatenate(([0], ends))[:-1]
-        if text.isascii():
-            return starts, ends
-        lead = (np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80
-        of = np.cumsum(lead) - 1  # the code point of each byte
-        return of[starts], of[ends - 1] + 1
+        return np.array([special.get(i, len(self.tokenizer.id_to_token(i) or "")) for i in range(self.tokenizer.get_vocab_size())], np.int64)
+
+    def _remember(self, pieces: pa.Array, ids: np.ndarray, n: np.ndarray) -> None:
+        short = pc.binary_length(pieces).to_numpy(zero_copy_only=False) <= LONGEST
+        short &= np.cumsum(short) <= HELD
+        if len(self.known) + int(short.sum()) > HELD or len(self.flat) + int(n[short].sum()) > HELD_IDS:
+            self._forget()
+            short &= np.cumsum(np.where(short, n, 0)) <= HELD_IDS
+        self.known = pa.concat_arrays([self.known, pieces.filter(pa.array(short))])
+        self.flat = np.concatenate((self.flat, ids[np.repeat(short, n)]))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(n[short])))
+
+    def spans(self, texts: list[str]) -> list[np.ndarray]:
+        """(tokens, 2): start and end of each token of each text in code points, as the tokenizer says.
+
+        Whole texts are encoded; one of more than WHOLE bytes by parts of whole pieces, which gives the same tokens.
+        """
+        parts, of = [], []
+        for i, text in enumerate(texts):
+            raw = text.encode() if self.by_piece and len(text) > WHOLE else b""
+            cuts = np.append(self._cuts(np.frombuffer(raw, np.uint8), np.zeros(1, np.int64)), len(raw)) if raw else np.zeros(0, np.int64)
+            at, shift = 0, 0
+            while raw and at < len(cuts) - 1:
+                to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + WHOLE, "right")) - 1)
+                parts.append(raw[cuts[at] : cuts[to]].decode())
+                of.append((i, shift))
+                at, shift = to, shift + len(parts[-1])
+            if not raw:
+                parts.append(text)
+                of.append((i, 0))
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        held, at = 0, 0
+        for k, part in enumerate(parts):  # as many at once as a slice holds
+            held += len(part)
+            if held >= WHOLE or k == len(parts) - 1:
+                for (i, shift), e in zip(of[at : k + 1], self.tokenizer.encode_batch(parts[at : k + 1], add_special_tokens=False)):
+                    out[i].append(np.array(e.offsets, np.int64).reshape(-1, 2) + shift)
+                held, at = 0, k + 1
+        return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
 
 
 def attribute(starts: np.ndarray, ends: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -244,24 +216,24 @@ def section_counts(docs: DataFrame, tokenizer: str, *, cut_after: str = "\n") ->
     """(doc_id, section, char_start, char_end, n_tokens, doc_tokens): tokens of each section of each whole text.
 
     A section ends after each cut_after (one character) and at the end of the text, so sections tile the text and
-    their counts add up to the document's. Each document is encoded once. A null or empty text has one empty
-    section without tokens. Repeated rows, and rows with a null doc_id, count row by row. Needs doc_id and text.
+    their counts add up to the document's. Each document is encoded once, as a whole, and its sections are joined with
+    the tokenizer's own offsets. A null or empty text has one empty section without tokens. Repeated rows, and rows with
+    a null doc_id, count row by row. A very long text goes by parts that give the same tokens. Needs doc_id and text;
+    other columns, whatever their names, play no part. An empty table gives an empty result.
     """
     cut = ord(cut_after)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.at_path(tokenizer)
         for b in batches:
-            for s in slices(b.column(1), SLICE):
+            for s in slices(b.column(1), WHOLE):
                 ids, own = b.column(0)[s.start : s.stop], b.column(1)[s.start : s.stop]
-                tokens, counted = encoder.encode(own)
-                of_text = np.split(tokens, np.cumsum(counted)[:-1])
+                texts = own.fill_null("").to_pylist()
                 rows, number, lo, hi, n, total = [], [], [], [], [], []
-                for i, text in enumerate(own.to_pylist()):
-                    text = text or ""
+                for i, (text, spans) in enumerate(zip(texts, encoder.spans(texts))):
                     chars = np.frombuffer(text.encode("utf-32-le"), np.uint32)
                     cuts = np.concatenate(([0], np.flatnonzero(chars[:-1] == cut) + 1, [len(chars)]))
-                    counts = attribute(*encoder.spans(text, of_text[i]), cuts) if text else np.zeros(1, np.int64)
+                    counts = attribute(spans[:, 0], spans[:, 1], cuts) if text else np.zeros(1, np.int64)
                     rows.append(np.full(len(counts), i))
                     number.append(np.arange(len(counts)))
                     lo.append(cuts[:-1])

@@ -1,4 +1,5 @@
 import itertools
+import zlib
 
 import numpy as np
 import pytest
@@ -75,6 +76,34 @@ def test_code_switched_text_is_labelled_by_runs():
     assert [x[2] for x in runs[0]] == ["de", "en"] and abs(runs[0][0][1] - 60) <= 1
 
 
+def test_long_texts_by_blocks(monkeypatch):
+    model = langid.train([t for _, t, *_ in made()], [x for _, _, x, *_ in made()])
+    text = " ".join((["der und das mit wasser 12"] * 30 + ["the river and\n the stone"] * 21) * 8)
+    want = model.judged([text, "der und", "x" * 3000])
+    monkeypatch.setattr(langid, "BLOCK", 700)
+    monkeypatch.setattr(langid, "WORD_BLOCK", 100)
+    assert [w for ws in langid.blocks_of(text) for w in ws] == text.split() and all(len(ws) % langid.RUN == 0 for ws in list(langid.blocks_of(text))[:-1])
+    got = langid.Model(model.labels, model.weights[:, :-1], model.rows, model.start, model.trans).judged([text, "der und", "x" * 3000])
+    assert got[0] == want[0] and np.allclose(got[1], want[1]) and got[2] == want[2] and np.allclose(got[3], want[3])
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    rows = [(7, f"der und das {i % 3}", "de", "s", 1) for i in range(3000)] + [(8, "the and " * 50_000, "en", "s", 1)] + made(60)
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda texts, langs: seen.append((texts, langs)))
+    langid.fit(spark.createDataFrame(rows, DOCS), per_language=5, rows=12, chars=1200)
+    ((texts, langs),) = seen
+    assert len(texts) == 12 and sorted(set(langs)) == ["de", "en", "xx"] and max(map(len, texts)) <= 100
+    langid.fit(spark.createDataFrame([(i, "a b", f"l{i}", "s", 1) for i in range(90)], DOCS), rows=20)
+    assert len(set(seen[1][1])) == sum(not zlib.crc32(str(i).encode()) % 4 == 2 for i in range(90))  # every language is learned
+
+
+def test_kept_by_evidence(spark):
+    rows = made() + [(2000, "水 家 河 " * 20, None, "s", 1), (2001, " ".join(t for _, t, *_ in made(3)), None, "s", 1), (2002, "wasser", None, "s", 1)]
+    kept = {r["doc_id"] for r in langid.keep_languages(spark.createDataFrame(rows, DOCS)).collect()}
+    assert kept == set(range(240)) | {2001, 2002}
+
+
 def test_held_out_accuracy(spark):
     rows = made() + [(1000, None, "en", "s", 1), (1001, "123 !", None, None, None), (None, "der und das", "de", "s", 1), (1002, "der und das mit " * 20_000, None, "s", 1), (5, made()[5][1], "xx", "s", 1)]
     df = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS score", "2 AS held_out")

@@ -54,6 +54,34 @@ def test_a_full_table_starts_again(plain, monkeypatch):
         assert split(e, texts) == [whole(plain, texts[0])]
 
 
+def test_memory_is_bounded_by_ids(plain):
+    e = tokens.Encoder(PATH)
+    r = np.random.default_rng(0)
+    for k in range(6):  # neither text without spaces nor very many different words stay in a worker
+        texts = ["".join(map(chr, r.integers(0x4E00, 0x9000, 60_000))), " ".join(f"{x:x}" for x in r.integers(0, 1 << 60, 70_000))]
+        assert split(e, texts) == [whole(plain, t) for t in texts]
+        assert len(e.flat) <= tokens.HELD_IDS and len(e.known) <= tokens.HELD and e.ends[-1] == len(e.flat)
+    assert max(map(len, e.known.to_pylist())) <= tokens.LONGEST
+
+
+def test_pieces_are_told_apart_by_their_bytes(plain):
+    """Strings that collide under a polynomial hash modulo 2 ** 64 whatever its odd base (Thue-Morse) are no trouble."""
+    a, b = "a", "b"
+    for _ in range(12):
+        a, b = a + b, b + a
+    texts = [f"x {a} y", f"x {b} y", f"{b} {a}"]
+    e = tokens.Encoder(PATH)
+    assert split(e, texts) == [whole(plain, t) for t in texts] and split(e, texts[::-1]) == [whole(plain, t) for t in texts[::-1]]
+
+
+def test_spans_are_those_of_the_tokenizer(plain, monkeypatch):
+    texts = [t or "" for t in ODD] + ["日本 x " * 40, "y" * 900]
+    want = [plain.encode(t, add_special_tokens=False).offsets for t in texts]
+    for size in (1_000_000, 100):
+        monkeypatch.setattr(tokens, "WHOLE", size)
+        assert [list(map(tuple, x.tolist())) for x in tokens.Encoder(PATH).spans(texts)] == want
+
+
 def test_other_tokenizers_encode_in_one_go():
     path = public_tokenizers.path("word_bpe_49k.json")
     e, t = tokens.Encoder(path), Tokenizer.from_file(path)
