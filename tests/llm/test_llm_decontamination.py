@@ -38,6 +38,62 @@ def test_tiling(seed):
     assert len(used) == len(set(used)) and all(item[a : a + m] == doc[b : b + m] for a, b, m in got)
 
 
+def test_tiling_by_blocks(monkeypatch):
+    r = random.Random(50)
+    item, doc = ([r.randrange(1, 3) for _ in range(n)] for n in (40, 90))
+    want = d.tile(np.array(item), np.array(doc), 3)
+    monkeypatch.setattr(d, "AT_ONCE", 7)
+    assert d.tile(np.array(item), np.array(doc), 3) == want and sum(t[2] for t in want) == brute_tiles(item, doc, 3)
+
+
+def test_one_repeated_word():
+    item, doc = np.ones(2_000, np.int64), np.ones(60_000, np.int64)
+    assert d.tile(item, doc, 5) == [(0, 0, 2_000)]
+
+
+def brute(texts, items, k, coverage):
+    out = []
+    for n, t in enumerate(texts):
+        for i, x in enumerate(items):
+            doc, item = d.words(t), d.words(x)
+            if item:
+                m = brute_tiles(item, doc, min(k, len(item)))
+                if m >= coverage * len(item) - 1e-9:
+                    out.append((n, i, len(item), m))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_search_against_every_pair(seed, monkeypatch):
+    """Few words, items with a common beginning, equal items, short items: coverage and matched words of every pair."""
+    r = random.Random(seed)
+    if seed % 2:
+        monkeypatch.setattr(d, "AT_ONCE", 11)
+    letters = [f"w{i}" for i in range(r.choice([2, 4, 30]))]
+    some = lambda n: [r.choice(letters) for _ in range(n)]
+    common = some(8)
+    items = [" ".join(common * r.randrange(2) + some(r.randrange(1, 18))) for _ in range(12)] + ["", "w0", "w1 w0 w1", None]
+    items += items[:2]
+    texts = [" ".join(some(r.randrange(0, 30)) + d.words(r.choice(items)) + some(r.randrange(0, 9)) + d.words(r.choice(items))) for _ in range(14)] + [None, "", "Other words"]
+    index = d.Index([(str(i), x) for i, x in enumerate(items)], 4, 0.8)
+    assert sorted(x[:4] for x in index.find(texts)) == brute(texts, items, 4, 0.8)
+
+
+def test_many_items_with_a_common_question():
+    """Candidates are the documents' own items, not all that begin alike."""
+    items = [(str(i), "which of the following words is right " + " ".join(f"a{i}b{j}" for j in range(40))) for i in range(4_000)]
+    index = d.Index(items, 5, 0.8)
+    texts = ["which of the following words is right about this " + items[i][1] for i in (5, 77)] + ["which of the following words is right then"] * 200
+    looked = []
+    inner = d.tile
+    try:
+        d.tile = lambda *a: looked.append(1) or inner(*a)
+        assert sorted(x[:2] for x in index.find(texts)) == [(0, 5), (1, 77)]
+    finally:
+        d.tile = inner
+    assert len(looked) == 2
+
+
 def text(words):
     return " ".join(words)
 
@@ -78,6 +134,15 @@ def test_contaminated(spark, made, block):
     assert sorted(r["doc_id"] for r in clean.collect()) == [2, 5, 6, 7] and clean.columns == docs.columns
 
 
+def test_figures_of_the_query(spark, made):
+    rows, bench = made
+    docs, items = frames(spark, made)
+    got = sorted({(str(r["doc_id"]), r["item_id"], r["item_words"], r["matched_words"], r["coverage"]) for r in d.contaminated(docs, items).collect()})
+    small = [(i, t) for i, t in rows if len(t or "") < 5_000]  # the slow version takes cubic time
+    want = {(str(small[n][0]), bench[i][0], w, m, round(m / w, 6)) for n, i, w, m in brute([t for _, t in small], [t for _, t in bench], 5, 0.8)}
+    assert got == sorted(want | {("8", 5, 30, 30, 1.0)})
+
+
 def test_empty(spark, made):
     docs, bench = frames(spark, made)
     assert d.contaminated(docs.limit(0), bench).count() == 0 and d.contaminated(docs, bench.limit(0)).count() == 0
