@@ -77,8 +77,12 @@ PROBE = "\\### Assistant: </turn> ok"
 
 
 def op8(conversations: DataFrame) -> DataFrame:
-    """Rows of op8_prefix_targets, read back from the written examples."""
-    probe = conversations.sparkSession.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, ASSISTANT, PROBE)], "conv_id long, turn long, role string, text string")
+    """Rows of op8_prefix_targets, read back from the written examples.
+
+    Rows that have conv_id -7 already are further turns of that conversation. Nulls, ties and repeated turns are as for
+    `examples`; a very long text makes its conversation's examples long. Extra columns, whatever their names, play no part.
+    """
+    probe = conversations.sparkSession.range(1).select(F.inline(F.array(*(F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(n).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(PROBE).alias("text")) for n, role in enumerate(("user", ASSISTANT))))))
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     return read_back(written(examples(rows.unionByName(probe)), "chat-examples"))
 

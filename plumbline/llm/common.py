@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -23,26 +23,51 @@ from pyspark.sql import functions as F
 #: A word: a maximal run of bytes other than space, tab and the four line controls; bytes.split() gives the same words.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
-_REPO = str(Path(__file__).resolve().parents[2])
+_PACKAGE = Path(__file__).resolve().parents[1]
+#: Paths of intermediate tables that are still there.
+_paths: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; a temporary one only where none is set, as in tests."""
+    """The shared folder for intermediate tables; a temporary one only where none is set and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def _at(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, removed when the driver ends."""
+    """A fresh path below the shared folder, removed when the driver ends, or by `forget`."""
     path = f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    fs, at = _at(spark, path)
+    fs.deleteOnExit(at)
+    _paths.append(path)
     return path
 
 
+def held() -> int:
+    """How many intermediate tables there are; a mark for `forget`."""
+    return len(_paths)
+
+
+def forget(spark: SparkSession, mark: int, keep: DataFrame) -> None:
+    """Removes the intermediate tables made since a mark, once all that reads them is written; keep's own files stay."""
+    files = keep.inputFiles()[:1]
+    for path in _paths[mark:]:
+        if not any(path.split("/plumbline/")[-1] in f for f in files):
+            fs, at = _at(spark, path)
+            fs.delete(at, True)
+            _paths.remove(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a written table: computed once, its lineage cut."""
     spark = df.sparkSession
@@ -51,6 +76,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once a Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_plumbline", None) is None:
+        path = Path(tempfile.mkdtemp(prefix="plumbline-"), "plumbline.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(_PACKAGE.rglob("*.py")):
+                z.write(f, f.relative_to(_PACKAGE.parent))
+        sc.addPyFile(str(path))
+        sc._plumbline = str(path)
+
+
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """df.mapInArrow(f, schema), with this package on the Python workers' path.
 
@@ -63,9 +100,7 @@ def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         finally:
             give_back()
 
-    env = df.sparkSession.sparkContext.environment
-    if _REPO not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (_REPO, env.get("PYTHONPATH", "")) if x)
+    _ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

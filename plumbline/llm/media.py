@@ -152,7 +152,8 @@ def tensor_stream(file: bytes) -> tuple[bytes, int, list[tuple[float, float]]]:
 def stored(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): every whole text as a WAV file, written to the shared folder and read back.
 
-    A null text counts as empty. Rows that repeat, or have no doc_id, are stored row by row.
+    A null text counts as empty. Rows that repeat, or have no doc_id, are stored row by row. A very long text is one long
+    file. Extra columns, whatever their names, play no part. An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +169,8 @@ def features(media: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, frames, spans, tensors) of stored files.
 
     tensors is an Arrow IPC stream of start_ms, end_ms and log_mel, a fixed-shape tensor of PATCH x MELS; spans are
-    those of activity, in milliseconds.
+    those of activity, in milliseconds. Each row is judged alone, so repeated rows and rows without a doc_id give what
+    their file gives; a file that is no 8-bit WAV file of one channel is refused. An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,8 @@ goes by size class first, so the copies spread evenly over short and long docume
 the target, and by a hash of doc_id within a class.
 
 No source is put in order by one task. A source is cut in runs of that order - a size class and the leading hex
-digits of the hash - and a document's rank is the number of documents in earlier runs plus its rank in its own run.
+digits of the hash, and for rows without a doc_id, which share a hash, the size and leading digits of a hash of the text -
+and a document's rank is the number of documents in earlier classes and runs plus its rank in its own run.
 """
 
 from __future__ import annotations
@@ -46,25 +47,36 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     return sources.select("source", "source_size", F.least(F.col("weight") * F.lit(float(level)), F.col("cap").cast("double")).alias("target"))
 
 
+def _mark() -> Column:
+    """Tells apart the texts of rows that share a doc_id, so that ties have one order."""
+    return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def with_copies(docs: DataFrame, sizes: DataFrame, *, seed: int = 0, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """docs (with a column size) and how often each row is taken: source_size, target, copies.
+    """docs (with columns size and mark) and how often each row is taken: source_size, target, copies.
 
-    sizes: doc_id, source and size of the same rows, a written table.
+    sizes: doc_id, source, size and mark of the same rows, a written table.
     """
 
     def ordered(df: DataFrame) -> DataFrame:
-        bits = F.bin("size")
-        return df.withColumns({"_class": (F.length(bits) * 2**BITS + F.conv(F.substring(bits, 1, BITS), 2, 10).cast("int")).cast("int"), "_hash": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))}).withColumn("_run", F.substring("_hash", 1, DIGITS))
+        bits, none = F.bin("size"), F.md5(F.lit(""))
+        hashed = df.withColumns({"_class": (F.length(bits) * 2**BITS + F.conv(F.substring(bits, 1, BITS), 2, 10).cast("int")).cast("int"), "_hash": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))})
+        spread = F.concat(F.lit("1"), F.lpad(F.col("size").cast("string"), 19, "0"), F.substring("mark", 1, DIGITS))
+        own = F.when(F.col("doc_id").isNull(), spread).when(F.col("_hash") < none, "0").otherwise("2")  # where rows without a doc_id stand
+        return hashed.withColumn("_run", F.concat(F.substring("_hash", 1, DIGITS), own))
 
     goal = targets(sizes, weights, most).withColumnRenamed("source", "_source")
     runs = ordered(sizes).groupBy(F.col("source").alias("_of"), F.col("_class").alias("_c"), F.col("_run").alias("_r")).count()
-    before = F.sum("count").over(Window.partitionBy("_of").orderBy("_c", "_r").rowsBetween(Window.unboundedPreceding, -1))  # a row a run
-    runs = runs.select("_of", "_c", "_r", F.coalesce(before, F.lit(0)).alias("_before"))
+    earlier = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    classes = runs.groupBy(F.col("_of").alias("_of2"), F.col("_c").alias("_c2")).agg(F.sum("count").alias("n"))
+    classes = classes.select("_of2", "_c2", F.coalesce(F.sum("n").over(earlier("_of2", "_c2")), F.lit(0)).alias("_lower"))  # a row a class
+    runs = runs.select("_of", "_c", "_r", F.coalesce(F.sum("count").over(earlier("_of", "_c", "_r")), F.lit(0)).alias("_within"))  # a row a run
+    runs = runs.join(classes, F.col("_of").eqNullSafe(F.col("_of2")) & (F.col("_c") == F.col("_c2"))).select("_of", "_c", "_r", (F.col("_lower") + F.col("_within")).alias("_before"))
     runs = runs.join(goal, F.col("_of").eqNullSafe(F.col("_source"))).drop("_source")
     mark = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("source"), F.lit("")), F.when(F.col("source").isNull(), "\0").otherwise("")))
     offset = sum((_hex(F.substring(mark, k + 1, 1)) * 16 ** (3 - k) for k in range(4)), F.lit(0)) / F.lit(65536.0)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rank = F.col("_before") + F.row_number().over(Window.partitionBy("source", "_class", "_run").orderBy("_hash", "doc_id", "size"))
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy("source", "_class", "_run").orderBy("_hash", "doc_id", "size", "mark"))
     joined = ordered(docs).join(runs, F.col("source").eqNullSafe(F.col("_of")) & (F.col("_class") == F.col("_c")) & (F.col("_run") == F.col("_r")))
     placed = joined.withColumns({"_rank": rank, "_rate": rate, "_offset": offset})
     copies = F.floor(F.col("_offset") + F.col("_rank") * F.col("_rate")) - F.floor(F.col("_offset") + (F.col("_rank") - 1) * F.col("_rate"))
@@ -72,23 +84,27 @@ def with_copies(docs: DataFrame, sizes: DataFrame, *, seed: int = 0, weights: tu
 
 
 def _sizes(docs: DataFrame) -> DataFrame:
-    return written(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words().alias("size")), "mix-sizes")
+    return written(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words().alias("size"), _mark().alias("mark")), "mix-sizes")
 
 
 def op6(docs: DataFrame, *, seed: int = 0) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every row of docs; needs doc_id, source and text.
 
     Words of a null text: none. A null source is a source of its own, the last. Rows without words are taken by the
-    same rule and add none. Rows that repeat each other rank one after the other. Reruns with a seed agree.
-    An empty table gives an empty result.
+    same rule and add none. Rows that repeat each other rank one after the other; rows that share a doc_id and a size
+    rank by a hash of their texts. Reruns with a seed agree. Texts of any length are counted whole. Extra columns,
+    whatever their names, play no part. An empty table gives an empty result.
     """
     sizes = _sizes(docs)
     return with_copies(sizes, sizes, seed=seed).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, *, seed: int = 0, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """The mix itself: every row of docs as often as it is taken, columns as they are."""
-    own = docs.withColumn("_row", F.struct(*docs.columns)).select("_row", "doc_id", F.col("source").cast("string").alias("source"), n_words().alias("size"))
+    """The mix itself: every row of docs as often as it is taken, columns as they are, whatever their names.
+
+    Null texts, null and repeated doc_ids, ties and reruns are as for `op6`; an empty table stays empty.
+    """
+    own = docs.withColumn("_row", F.struct(*docs.columns)).select("_row", "doc_id", F.col("source").cast("string").alias("source"), n_words().alias("size"), _mark().alias("mark"))
     taken = with_copies(own, _sizes(docs), seed=seed, weights=weights, most=most).where("copies > 0")
     return taken.select(F.explode(F.array_repeat("_row", F.col("copies").cast("int"))).alias("_row")).select("_row.*")
 

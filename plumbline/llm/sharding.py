@@ -118,11 +118,11 @@ def plan(groups: DataFrame, shards: int) -> Cuts:
 def placed(rows: DataFrame, shard: Column, shards: int) -> DataFrame:
     """rows with shard and slot, slots gapless from 0 in each shard; rows: a written table with doc_id and h.
 
-    A shard is not numbered by one task: its rows are dealt by a hash of doc_id, numbered there, and shifted by
-    the number of rows dealt before.
+    A shard is not numbered by one task: its rows are dealt by a hash of doc_id and text, numbered there, and shifted by
+    the number of rows dealt before. Rows without a doc_id are dealt by their texts.
     """
     dealt = max(16, rows.count() // (250_000 * shards) + 1)
-    own = rows.withColumns({"shard": shard, "_deal": F.pmod(F.xxhash64("doc_id", "size"), F.lit(dealt)).cast("int")})
+    own = rows.withColumns({"shard": shard, "_deal": F.pmod(F.xxhash64("doc_id", "size", "h"), F.lit(dealt)).cast("int")})
     before = F.sum("count").over(Window.partitionBy("shard").orderBy("_deal").rowsBetween(Window.unboundedPreceding, -1))
     shifts = own.groupBy("shard", "_deal").count().select(F.col("shard").alias("_s"), F.col("_deal").alias("_d"), F.coalesce(before, F.lit(0)).alias("_before"))
     number = F.row_number().over(Window.partitionBy("shard", "_deal").orderBy("doc_id", "h"))
@@ -133,7 +133,9 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of every row; law `bytes`: the largest shard is as small as whole groups allow.
 
     size is the text's UTF-8 bytes plus 1. A null text has no bytes and checksum 0, and all null texts are a group.
-    Rows without a doc_id and repeated rows are placed like any other. An empty table gives an empty result.
+    Rows without a doc_id and repeated rows are placed like any other. A very long text is a large group, and has a
+    shard of its own if it is larger than an even share. Extra columns, whatever their names, play no part. An empty
+    table gives an empty result.
     """
     text = F.col("text").cast("string")
     rows = docs.select("doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"), F.xxhash64(text).alias("h"))

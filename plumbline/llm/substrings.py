@@ -10,9 +10,9 @@ share an anchor - ANCHOR = WINDOW - PERIOD + 1 words at a cover position - that
 3. The words under repeated windows go.
 
 Texts that equal each other are one place: they are counted apart, by a 128-bit hash of the text, so a group of copies
-is looked at once in a slice of a task's rows. Of a hash that a slice holds more than twice only two places leave the
-task under that hash; the others are known to repeat, and are dealt out by a hash of their own place. So a passage in
-a third of all documents gives no task more than two rows a slice.
+is looked at once in a slice of a task's rows. A hash that a task has met at two places is known to repeat from then
+on: the two rows leave under the hash, all others are dealt out by a hash of their own place. So a passage in a third of
+all documents gives the task that its hash is dealt to two rows from each task that read documents.
 """
 
 from __future__ import annotations
@@ -31,8 +31,11 @@ from plumbline.llm.common import arrow_map, slices, written
 WINDOW, PERIOD = 35, 21
 COVER = (3, 6, 7, 12, 14)
 ANCHOR = WINDOW - PERIOD + 1
-#: Bits of the filter that keeps texts without a kept anchor out of step 2: a broadcast of 2 MB at most, at any size.
+#: Bits of the filter that keeps texts without a kept anchor out of step 2: a broadcast of a row of two longs for each 64
+#: bits, 262,144 rows at most. With more texts than an eighth of the bits it would keep out few, so all texts are joined.
 FILTER_BITS = 1 << 24
+#: Hashes that a task remembers as known to repeat; beyond, more rows leave under their hash.
+PROVEN = 1 << 20
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -54,13 +57,33 @@ def _windows(h: np.ndarray, at: np.ndarray, width: int, base: np.uint64) -> np.n
     return _mixed(out)
 
 
-def _put(keys: list[np.ndarray], t1: np.ndarray, t2: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    """Rows of hashed places. Of one key, all but two rows get a key of their place and are marked as known."""
+class _Proven:
+    """Keys that this task has put out at two places."""
+
+    def __init__(self, keys: int):
+        self.keys = np.zeros((keys, 0), np.uint64)
+
+    def holds(self, keys: list[np.ndarray]) -> np.ndarray:
+        if not self.keys.shape[1]:
+            return np.zeros(len(keys[0]), bool)
+        at = np.minimum(np.searchsorted(self.keys[0], keys[0]), self.keys.shape[1] - 1)
+        return np.all([own[at] == k for own, k in zip(self.keys, keys)], axis=0)
+
+    def add(self, keys: list[np.ndarray]) -> None:
+        if self.keys.shape[1] < PROVEN:
+            all_ = np.concatenate((self.keys, np.stack(keys)), axis=1)
+            self.keys = all_[:, np.unique(all_[0], return_index=True)[1]][:, :PROVEN]
+
+
+def _put(keys: list[np.ndarray], t1: np.ndarray, t2: np.ndarray, pos: np.ndarray, proven: _Proven) -> pa.RecordBatch:
+    """Rows of hashed places. Rows of a proven key, and of another all but two, get a key of their place and are marked as known."""
     order = np.lexsort((pos, t1, *keys[::-1]))
     keys, t1, t2, pos = [k[order] for k in keys], t1[order], t2[order], pos[order]
-    known = np.zeros(len(pos), bool)
-    if len(pos) > 2:
-        known[2:] = np.all([k[2:] == k[:-2] for k in keys], axis=0)
+    known = proven.holds(keys)
+    again = np.zeros(len(pos), bool)
+    again[1:] = np.all([k[1:] == k[:-1] for k in keys], axis=0)
+    proven.add([k[again & ~known] for k in keys])
+    known[2:] |= again[2:] & again[1:-1]
     place = _mixed(t1[known].view(np.uint64) ^ _mixed(t2[known].view(np.uint64) + pos[known].astype(np.uint64)))
     for k in keys:
         k[known] = place
@@ -76,6 +99,7 @@ def anchors(texts: DataFrame) -> DataFrame:
     """(k0, t1, t2, pos, known) of the anchors of (t1, t2, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        proven = _Proven(1)
         for b in batches:
             for s in slices(b.column(2)):
                 t1, t2 = (b.column(i)[s.start : s.stop].to_numpy() for i in (0, 1))
@@ -88,7 +112,7 @@ def anchors(texts: DataFrame) -> DataFrame:
                 at = np.flatnonzero(np.isin(pos % PERIOD, COVER) & (pos + ANCHOR <= np.repeat(n, n)) & np.repeat(n >= WINDOW, n))
                 of = np.array(rows, np.int64)[np.searchsorted(begin + n, at, "right")]
                 if len(at):
-                    yield _put([_windows(h, at, ANCHOR, _BASES[0])], t1[of], t2[of], pos[at])
+                    yield _put([_windows(h, at, ANCHOR, _BASES[0])], t1[of], t2[of], pos[at], proven)
 
     return arrow_map(texts, run, "k0 long, t1 long, t2 long, pos int, known boolean")
 
@@ -97,6 +121,7 @@ def candidate_windows(texts: DataFrame) -> DataFrame:
     """(k0, k1, t1, t2, pos, known) of the windows of (t1, t2, text, at) that hold an anchor at a position of at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        proven = _Proven(2)
         for b in batches:
             for s in slices(b.column(2)):
                 t1, t2 = (b.column(i)[s.start : s.stop].to_numpy() for i in (0, 1))
@@ -115,7 +140,7 @@ def candidate_windows(texts: DataFrame) -> DataFrame:
                 start, of = np.concatenate(start, axis=1), np.concatenate(of)
                 if len(of):
                     h = np.concatenate(h)
-                    yield _put([_windows(h, start[0], WINDOW, _BASES[0]), _windows(_mixed(h), start[0], WINDOW, _BASES[1])], t1[of], t2[of], start[1])
+                    yield _put([_windows(h, start[0], WINDOW, _BASES[0]), _windows(_mixed(h), start[0], WINDOW, _BASES[1])], t1[of], t2[of], start[1], proven)
 
     return arrow_map(texts, run, "k0 long, k1 long, t1 long, t2 long, pos int, known boolean")
 
@@ -129,7 +154,9 @@ def _repeated(places: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _maybe(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """docs without most of the rows whose text isn't in texts; a filter of FILTER_BITS bits, so of bounded size."""
+    """docs without most of the rows whose text isn't in texts (a written table); the filter is of bounded size."""
+    if texts.count() > FILTER_BITS // 8:
+        return docs
     slot = F.pmod("t1", F.lit(FILTER_BITS))
     bits = texts.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("_bits"))
     own = docs.withColumn("_s", slot).withColumn("_w", F.shiftright("_s", 6))
@@ -192,7 +219,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     A null text has no words; with no words, or none left, kept_sha256 is that of the empty string. Rows that repeat a
     text, with the same doc_id or not, are copies of each other: with WINDOW words or more, all their words go. Texts
-    of fewer words stay whole. An empty table gives an empty result.
+    of fewer words stay whole. Texts of any length are read whole. Rows without a doc_id keep a row. Extra columns,
+    whatever their names, play no part. An empty table gives an empty result.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text"))

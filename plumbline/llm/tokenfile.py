@@ -21,8 +21,8 @@ from plumbline.llm.ans import Table, decode, encode
 from plumbline.llm.common import arrow_map, slices, work_path, written
 from plumbline.llm.tokens import SLICE, Encoder
 
-#: Ids of a block, as a block ends with the document that reaches them; ids of a part.
-BLOCK, PART = 1 << 16, 1 << 24
+#: Ids of a block, as a block ends with the document that reaches them; ids of a part, and most parts: beyond, they grow.
+BLOCK, PART, PARTS = 1 << 16, 1 << 24, 20_000
 #: Blocks coded side by side.
 ABREAST_BLOCKS = 32
 
@@ -113,7 +113,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
     """Writes all whole texts of docs (doc_id, text) as token ids below path.
 
     A null text counts as empty and gives the end id alone. Rows without a doc_id come first; rows that repeat a
-    doc_id all stand, in the order of their ids' bytes.
+    doc_id all stand, in the order of their ids' bytes. Texts of any length are encoded whole. Extra columns, whatever
+    their names, play no part. An empty table gives files without blocks.
     """
     spark, dtype = docs.sparkSession, _dtype(tokenizer)
     ids = written(encoded(docs, tokenizer, end_id), "token-ids")
@@ -124,7 +125,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
     table = Table.of(counts)
     freq = [(int(i), int(table.freq[i])) for i in np.flatnonzero(table.freq)]
     spark.createDataFrame(freq, "id long, freq long").coalesce(1).write.parquet(f"{path}/freq")
-    parts = max(1, -(-int(counts.sum()) // PART))
+    parts = min(PARTS, max(1, -(-int(counts.sum()) // PART)))
     ordered = ids.where("counts IS NULL").select("doc_id", "n_tokens", "ids").repartitionByRange(parts, "doc_id", "n_tokens").sortWithinPartitions("doc_id", "n_tokens", "ids")
     blocks = arrow_map(ordered.select("doc_id", "ids"), _coder(table, dtype), "part int, block int, first_token long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, ids_crc32 long, payload binary")
     blocks.write.option("compression", "zstd").parquet(f"{path}/blocks")
