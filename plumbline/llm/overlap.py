@@ -2,8 +2,11 @@
 
 Prefix filter: shingles have one order over all texts. Of n shingles the first n - ceil(t n) + 1 are a text's prefix,
 and texts of similarity t or more share one of their prefixes at least, whatever the order is. Shingles that a sample of
-the texts shows to be common come last, so few texts meet by them; the sample has an effect on cost only. Pairs that meet
-and can still reach t by their sizes and positions are then counted out on their whole sets: none is lost or guessed.
+the texts shows to be common come last, so few texts meet by them; the sample has an effect on cost only. Of two similar
+texts, the smaller one meets the other within the first n - ceil(2 t n / (1 + t)) + 1 of its shingles (Xiao et al., 2008),
+so only such rows look for partners, among the larger texts that have the shingle, and shingles without such a row are
+left out before anything is dealt. Pairs that meet and can still reach t by their sizes and positions are then counted
+out on their whole sets: none is lost or guessed.
 """
 
 from __future__ import annotations
@@ -112,7 +115,8 @@ def _meetings(similar: float, every: bool):
         ends = np.append(new[1:], len(s))
         size = np.repeat(ends - new, ends - new)
         start, end = np.repeat(new, ends - new), np.repeat(ends, ends - new)
-        some, kept = np.flatnonzero(size > 1), []
+        looks = n - pos >= np.ceil(2 * similar / (1 + similar) * n - 1e-9)  # as the smaller of two texts
+        some, kept = np.flatnonzero((size > 1) & looks), []
 
         def take(i: np.ndarray, j: np.ndarray) -> None:
             need = np.ceil((n[i] + n[j]) * similar / (1 + similar) - 1e-9)
@@ -165,10 +169,13 @@ def similar_texts(docs: DataFrame, *, similar: float = SIMILAR, shingle: int = S
         shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("c"), (F.size("x") + F.size("y")).alias("n"))
         return shared.where(F.col("c") >= F.lit(similar) * (F.col("n") - F.col("c")) - 1e-9).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
-    first = arrow_map(rows.withColumn("comp", F.col("key")).repartition("s"), _meetings(similar, False), "a long, b long")
+    looks = F.col("n") - F.col("pos") >= F.ceil(F.lit(2 * similar / (1 + similar)) * F.col("n") - F.lit(1e-9))
+    shared = rows.groupBy("s").agg(F.count("*").alias("size"), F.count_if(looks).alias("looking")).where("size > 1 AND looking > 0")
+    shared = written(shared.select("s", "size"), "overlap-shared")
+    met = written(rows.join(shared, "s"), "overlap-met")
+    first = arrow_map(met.drop("size").withColumn("comp", F.col("key")).repartition("s"), _meetings(similar, False), "a long, b long")
     links = written(checked(first), "overlap-links")
-    groups = rows.groupBy("s").count().where(F.col("count") > FEW).select("s")
-    large = rows.join(written(groups, "overlap-large"), "s", "left_semi")
+    large = met.where(F.col("size") > FEW).drop("size")
     labels = connected(links).select(F.col("node").alias("key"), "root")
     large = written(large.join(labels, "key", "left").select("s", "key", "n", "pos", F.coalesce("root", "key").alias("comp")), "overlap-rest")
     mixed_groups = large.groupBy("s").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("s")
