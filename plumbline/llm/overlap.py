@@ -4,14 +4,17 @@ Prefix filter: shingles have one order over all texts. Of n shingles the first n
 and texts of similarity t or more share one of their prefixes at least, whatever the order is. Shingles that a sample of
 the texts shows to be common come last, so few texts meet by them; the sample has an effect on cost only. Of two similar
 texts, the smaller one meets the other within the first n - ceil(2 t n / (1 + t)) + 1 of its shingles (Xiao et al., 2008),
-so only such rows look for partners, among the larger texts that have the shingle, and shingles without such a row are
-left out before anything is dealt. Pairs that meet and can still reach t by their sizes and positions are then counted
-out on their whole sets: none is lost or guessed.
+so only such rows look for partners, among the larger texts that have the shingle, and shingles without such a row
+are left out. Pairs that meet and can still reach t by their sizes and positions are compared by bitmaps - each bit is the
+parity of the shingles that hash to it, so two sets differ in at least as many shingles as their bitmaps in bits (Sandes et
+al., 2020) - then by their prefixes, which have to share what the rest of the sets can't, and then counted out on their
+whole sets: none is lost or guessed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,9 @@ SIMILAR, SHINGLE = 0.8, 5
 SAMPLED, COMMON = 5_000, 50_000
 #: Texts that meet by a shingle are all paired up to this number; beyond, most are linked by a few pairs first.
 FEW = 32
+#: Rows of whole groups looked at together in a task, and 64-bit parts of a bitmap.
+ROWS_AT_ONCE, LONGS = 1 << 20, 8
+BITMAP = [f"b{i}" for i in range(LONGS)]
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -54,8 +60,8 @@ def shingles(text: bytes | None, shingle: int = SHINGLE, known: dict[bytes, int]
     return np.unique(out)
 
 
-def sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, key, sh) of every row of (doc_id, text) with words: its shingles, and a hash that tells sets apart."""
+def _by_text(docs: DataFrame, made, schema: str) -> DataFrame:
+    """Rows of (doc_id, text) with words, as made(ids, shingle sets) gives them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
@@ -63,14 +69,57 @@ def sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             for s in slices(b.column(1), 1_000_000):
                 if len(known) > 100_000:
                     known.clear()
-                found = [shingles(x, shingle, known) for x in b.column(1)[s.start : s.stop].cast(pa.binary()).to_pylist()]
-                keys = np.fromiter((xxhash.xxh64_intdigest(x.tobytes()) for x in found), np.uint64, len(found))
-                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                sh = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
-                out = pa.RecordBatch.from_arrays([b.column(0)[s.start : s.stop], pa.array(keys.view(np.int64)), sh], ["doc_id", "key", "sh"])
-                yield out.filter(pa.array(np.diff(ends) > 0))
+                found = [shingles(x, made.shingle, known) for x in b.column(1)[s.start : s.stop].cast(pa.binary()).to_pylist()]
+                some = [i for i, x in enumerate(found) if len(x)]
+                if some:
+                    yield made(b.column(0)[s.start : s.stop].take(pa.array(some)), [found[i] for i in some])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, key long, sh array<long>")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(np.concatenate(parts).view(np.int64)))
+
+
+def _keys(found: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.fromiter((xxhash.xxh64_intdigest(h.tobytes()) for h in found), np.uint64, len(found)).view(np.int64))
+
+
+@dataclass(frozen=True)
+class _Sets:
+    """(key, sh): the shingles, and a hash that tells sets apart."""
+
+    shingle: int
+
+    def __call__(self, ids: pa.Array, found: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([_keys(found), _lists(found)], ["key", "sh"])
+
+
+@dataclass(frozen=True)
+class _Sketches:
+    """(doc_id, key, n, b0, ..., prefix): the set's hash, the number of shingles, the bitmap, the prefix.
+
+    common: common shingles, the less common first.
+    """
+
+    shingle: int
+    similar: float
+    common: np.ndarray
+
+    def __call__(self, ids: pa.Array, found: list[np.ndarray]) -> pa.RecordBatch:
+        by = np.argsort(self.common)
+        ordered, bits, first = self.common[by], [], []
+        for h in found:
+            bits.append(np.packbits((np.bincount((h >> np.uint64(7)).astype(np.int64) & (64 * LONGS - 1), minlength=64 * LONGS) & 1).astype(bool)).view(np.int64))
+            own = h.view(np.int64)
+            rank = np.zeros(len(h), np.int64)
+            if len(ordered):
+                at = np.minimum(np.searchsorted(ordered, own), len(ordered) - 1)
+                rank = np.where(ordered[at] == own, by[at] + 1, 0)
+            first.append(own[np.lexsort((own, rank))[: len(h) - int(least(np.array(len(h)), self.similar)) + 1]])
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        cols = [ids, _keys(found), pa.array(n), *(pa.array(x) for x in np.stack(bits, axis=1)), _lists(first)]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "n", *BITMAP, "prefix"])
 
 
 def least(n: np.ndarray, similar: float) -> np.ndarray:
@@ -78,71 +127,81 @@ def least(n: np.ndarray, similar: float) -> np.ndarray:
     return np.ceil(similar * n - 1e-9).astype(np.int64)
 
 
-def prefixes(found: DataFrame, common: np.ndarray, similar: float) -> DataFrame:
-    """(s, key, n, pos) of the shingles in each set's prefix. common: common shingles, the less common first."""
-    by = np.argsort(common)
-    ordered = common[by]
+def _pieces(batches: Iterator[pa.RecordBatch], *, split: bool) -> Iterator[tuple[list[np.ndarray], int | None]]:
+    """The columns of whole groups (rows are sorted by the first column), about ROWS_AT_ONCE rows at a time.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = []
-            for key, sh in zip(b.column(0).to_numpy(), b.column(1)):
-                h = sh.values.to_numpy()
-                rank = np.zeros(len(h), np.int64)
-                if len(ordered):
-                    at = np.minimum(np.searchsorted(ordered, h), len(ordered) - 1)
-                    rank = np.where(ordered[at] == h, by[at] + 1, 0)
-                m = len(h) - int(least(np.array(len(h)), similar)) + 1
-                first = h[np.lexsort((h, rank))[:m]]
-                parts.append((first, np.full(m, key), np.full(m, len(h)), np.arange(m)))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], ["s", "key", "n", "pos"])
-
-    return arrow_map(found.select("key", "sh"), run, "s long, key long, n long, pos long")
+    split: a group of more than FEW rows may be cut; then comes the key of the group that the piece goes on with.
+    """
+    held: list[list[np.ndarray]] = []
+    going = None
+    for b in batches:
+        if len(b):
+            held.append([c.to_numpy() for c in b.columns])
+        if sum(len(h[0]) for h in held) >= ROWS_AT_ONCE:
+            whole = [np.concatenate(x) for x in zip(*held)]
+            cut = int(np.searchsorted(whole[0], whole[0][-1]))  # where the last group begins; it may go on
+            if split and (len(whole[0]) - cut > FEW or whole[0][-1] == going):
+                yield whole, going
+                going, held = whole[0][-1], []
+            elif cut:
+                yield [x[:cut] for x in whole], going
+                going, held = None, [[x[cut:] for x in whole]]
+            else:
+                held = [whole]
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)], going
 
 
 def _meetings(similar: float, every: bool):
-    """Pairs of sets that meet by a shingle and may be similar. every: all pairs of different comp, else of large groups a few a set."""
+    """Pairs of sets that meet by a shingle and may be similar; rows are sorted by it.
+
+    every: all pairs of different comp. Else all pairs of groups of FEW rows or fewer; of a larger group a few a row, and
+    its rows themselves.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[c.to_numpy() for c in b.columns] for b in batches]
-        if not held:
-            return
-        s, key, n, pos, comp = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((key, n, s))
-        s, key, n, pos, comp = (x[order] for x in (s, key, n, pos, comp))
-        new = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-        ends = np.append(new[1:], len(s))
-        size = np.repeat(ends - new, ends - new)
-        start, end = np.repeat(new, ends - new), np.repeat(ends, ends - new)
-        looks = n - pos >= np.ceil(2 * similar / (1 + similar) * n - 1e-9)  # as the smaller of two texts
-        some, kept = np.flatnonzero((size > 1) & looks), []
-
-        def take(i: np.ndarray, j: np.ndarray) -> None:
-            need = np.ceil((n[i] + n[j]) * similar / (1 + similar) - 1e-9)
-            can = np.minimum(n[i] - pos[i], n[j] - pos[j])  # shingles from here on
-            ok = (key[i] != key[j]) & (comp[i] != comp[j]) & (can >= need) & (np.minimum(n[i], n[j]) >= similar * np.maximum(n[i], n[j]) - 1e-9)
-            if ok.any():
-                a, b = key[i[ok]], key[j[ok]]
-                kept.append(np.unique(np.column_stack((np.minimum(a, b), np.maximum(a, b))), axis=0))
-                if sum(map(len, kept)) > 2_000_000:
-                    kept[:] = [np.unique(np.concatenate(kept), axis=0)]
-
-        near, step = some if every else some[size[some] <= FEW], 1
-        while len(near):  # sets of a group by size: once a set is too large for one, so are those behind it
-            near = near[near + step < end[near]]
-            near = near[n[near] >= similar * n[near + step] - 1e-9]
-            for at in range(0, len(near), 1 << 20):
-                take(near[at : at + (1 << 20)], near[at : at + (1 << 20)] + step)
-            step += 1
-        if not every:
-            large = some[size[some] > FEW]
-            for turn in range(3):  # the next in size, and others of its group that differ from shingle to shingle
-                other = mixed(key[large].view(np.uint64) ^ s[large].view(np.uint64) ^ np.uint64(turn)) % size[large].astype(np.uint64)
-                take(large, np.where(turn == 0, np.minimum(large + 1, end[large] - 1), start[large] + other.astype(np.int64)))
-        if kept:
-            found = np.unique(np.concatenate(kept), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
+        for columns, going in _pieces(batches, split=not every):
+            s, key, n, pos, comp = columns if every else (*columns, columns[1])
+            order = np.lexsort((key, n, s))
+            s, key, n, pos, comp = (x[order] for x in (s, key, n, pos, comp))
+            new = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+            ends = np.append(new[1:], len(s))
+            size, start, end = (np.repeat(x, ends - new) for x in (ends - new, new, ends))
+            looks = n - pos >= np.ceil(2 * similar / (1 + similar) * n - 1e-9)  # as the smaller of two texts
+            worth = np.repeat(np.add.reduceat(looks, new) > 0, ends - new)
+            large = (size > FEW) | (s == going if going is not None else False)
+            kept: list[np.ndarray] = []
+
+            def take(i: np.ndarray, j: np.ndarray) -> None:
+                need = np.ceil((n[i] + n[j]) * similar / (1 + similar) - 1e-9)
+                can = np.minimum(n[i] - pos[i], n[j] - pos[j])  # shingles from here on
+                ok = (key[i] != key[j]) & (comp[i] != comp[j]) & (can >= need) & (np.minimum(n[i], n[j]) >= similar * np.maximum(n[i], n[j]) - 1e-9)
+                if ok.any():
+                    a, b = key[i[ok]], key[j[ok]]
+                    kept.append(np.unique(np.column_stack((np.minimum(a, b), np.maximum(a, b))), axis=0))
+                    if sum(map(len, kept)) > 2_000_000:
+                        kept[:] = [np.unique(np.concatenate(kept), axis=0)]
+
+            near, step = np.flatnonzero((size > 1) & looks & (every | ~large)), 1
+            while len(near):  # sets of a group by size: once a set is too large for one, so are those behind it
+                near = near[near + step < end[near]]
+                near = near[n[near] >= similar * n[near + step] - 1e-9]
+                for at in range(0, len(near), 1 << 20):
+                    take(near[at : at + (1 << 20)], near[at : at + (1 << 20)] + step)
+                step += 1
+            rows = np.zeros(0, np.int64)
+            if not every:
+                rows = np.flatnonzero(large)
+                looking = rows[looks[rows]]
+                for turn in range(3):  # the next in size, and others of its group that differ from shingle to shingle
+                    other = mixed(key[looking].view(np.uint64) ^ s[looking].view(np.uint64) ^ np.uint64(turn)) % size[looking].astype(np.uint64)
+                    take(looking, np.where(turn == 0, np.minimum(looking + 1, end[looking] - 1), start[looking] + other.astype(np.int64)))
+                rows = rows[worth[rows] | (s[rows] == s[0]) | (s[rows] == s[-1])]  # a group at the edge may look elsewhere
+            pairs = np.unique(np.concatenate(kept), axis=0) if kept else np.zeros((0, 2), np.int64)
+            some, none = len(pairs), len(rows)
+            cols = [pa.array(np.concatenate((x, np.zeros(none, np.int64))), mask=np.arange(some + none) >= some) for x in pairs.T]
+            cols += [pa.array(np.concatenate((np.zeros(some, np.int64), x[rows])), mask=np.arange(some + none) < some) for x in (s, key, n, pos)]
+            yield pa.RecordBatch.from_arrays(cols, ["a", "b", "s", "key", "n", "pos"])
 
     return run
 
@@ -152,34 +211,46 @@ def similar_texts(docs: DataFrame, *, similar: float = SIMILAR, shingle: int = S
 
     Rows without words or doc_id have no part. Sets are told apart by 64 bits, and so are shingles.
     """
-    found = written(sets(docs.where("doc_id IS NOT NULL"), shingle), "overlap-sets")
-    own = written(found.groupBy("key").agg(F.min("doc_id").alias("least")), "overlap-keys")
-    share = max(1, found.count() // SAMPLED)
-    sample = found.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0).dropDuplicates(["key"]).limit(2 * SAMPLED)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
+    share = max(1, docs.count() // SAMPLED)
+    sample = _by_text(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).limit(2 * SAMPLED), _Sets(shingle), "key long, sh array<long>").dropDuplicates(["key"])
     often = sample.select(F.explode("sh").alias("s")).groupBy("s").count().where("count > 2").orderBy(F.desc("count"), "s").limit(COMMON)
     common = np.array([r["s"] for r in often.collect()][::-1], np.int64)
-    rows = written(prefixes(found, common, similar).distinct(), "overlap-prefixes")
+    found = _by_text(docs, _Sketches(shingle, similar, common), f"doc_id long, key long, n long, {', '.join(f'{b} long' for b in BITMAP)}, prefix array<long>")
+    found = written(found, "overlap-sketches")
+    own = written(found.groupBy("key").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", *BITMAP, "prefix"))), "overlap-keys")
+
+    def dealt(rows: DataFrame, every: bool) -> DataFrame:
+        rows = rows.select("s", "key", "n", "pos", *["comp"] * every).repartition("s").sortWithinPartitions("s")
+        return arrow_map(rows, _meetings(similar, every), "a long, b long, s long, key long, n long, pos long")
 
     def checked(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs.distinct(), "overlap-pairs")
-        one = found.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", "left_semi").select("key", "doc_id", "sh")
-        one = one.join(own, (one["key"] == own["key"]) & (one["doc_id"] == own["least"]), "left_semi").dropDuplicates(["key"]).select("key", "sh")
-        one = written(one, "overlap-one")
+        """(u, v) of the pairs that are similar."""
+        side = lambda p: own.select(F.col("key").alias(p), F.col("least").alias(f"{p}_doc"), F.col("n").alias(f"{p}_n"), *(F.col(b).alias(f"{p}_{b}") for b in BITMAP))
+        differ = sum((F.bit_count(F.col(f"a_{b}").bitwiseXOR(F.col(f"b_{b}"))) for b in BITMAP), F.lit(0))
+        may = differ <= F.lit((1 - similar) / (1 + similar)) * (F.col("a_n") + F.col("b_n")) + F.lit(1e-9)
+        pairs = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(may).select("a", "b", "a_doc", "b_doc", "a_n", "b_n")
+        first = own.select("key", "prefix")
+        led = pairs.join(first.select(F.col("key").alias("a"), F.col("prefix").alias("p")), "a").join(first.select(F.col("key").alias("b"), F.col("prefix").alias("q")), "b")
+        both_need = F.ceil((F.col("a_n") + F.col("b_n")) * F.lit(similar / (1 + similar)) - F.lit(1e-9))
+        rest = F.greatest(F.col("a_n") - F.size("p"), F.col("b_n") - F.size("q"))  # of the set whose prefix ends first, what may be shared beyond it
+        pairs = written(led.where(F.size(F.array_intersect("p", "q")) >= both_need - rest).select("a", "b", "a_doc", "b_doc"), "overlap-pairs")
+        ids = written(pairs.select(F.explode(F.array("a_doc", "b_doc")).alias("id")).distinct(), "overlap-ids")  # its size decides how it is joined
+        sets = _by_text(docs.join(ids, docs["doc_id"] == ids["id"], "left_semi"), _Sets(shingle), "key long, sh array<long>")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        one = written(sets.join(wanted, "key", "left_semi").dropDuplicates(["key"]), "overlap-one")
         both = pairs.join(one.select(F.col("key").alias("a"), F.col("sh").alias("x")), "a").join(one.select(F.col("key").alias("b"), F.col("sh").alias("y")), "b")
-        shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("c"), (F.size("x") + F.size("y")).alias("n"))
-        return shared.where(F.col("c") >= F.lit(similar) * (F.col("n") - F.col("c")) - 1e-9).select(F.col("a").alias("u"), F.col("b").alias("v"))
-
-    looks = F.col("n") - F.col("pos") >= F.ceil(F.lit(2 * similar / (1 + similar)) * F.col("n") - F.lit(1e-9))
-    shared = rows.groupBy("s").agg(F.count("*").alias("size"), F.count_if(looks).alias("looking")).where("size > 1 AND looking > 0")
-    shared = written(shared.select("s", "size"), "overlap-shared")
-    met = written(rows.join(shared, "s"), "overlap-met")
-    first = arrow_map(met.drop("size").withColumn("comp", F.col("key")).repartition("s"), _meetings(similar, False), "a long, b long")
-    links = written(checked(first), "overlap-links")
-    large = met.where(F.col("size") > FEW).drop("size")
+        alike = F.size(F.array_intersect("x", "y")) * F.lit(1 + similar) >= F.lit(similar) * (F.size("x") + F.size("y")) - F.lit(1e-9)
+        return both.where(alike).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+    rows = own.select("key", "n", F.posexplode("prefix").alias("pos", "s")).withColumn("pos", F.col("pos").cast("long"))
+    first = written(dealt(rows, False), "overlap-first")
+    links = written(checked(first.where("a IS NOT NULL").select("a", "b")), "overlap-links")
     labels = connected(links).select(F.col("node").alias("key"), "root")
-    large = written(large.join(labels, "key", "left").select("s", "key", "n", "pos", F.coalesce("root", "key").alias("comp")), "overlap-rest")
+    large = first.where("s IS NOT NULL").select("s", "key", "n", "pos").join(labels, "key", "left")
+    large = written(large.select("s", "key", "n", "pos", F.coalesce("root", "key").alias("comp")), "overlap-rest")
     mixed_groups = large.groupBy("s").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("s")
-    rest = arrow_map(large.join(mixed_groups, "s", "left_semi").repartition("s"), _meetings(similar, True), "a long, b long")
+    rest = dealt(large.join(mixed_groups, "s", "left_semi"), True).select("a", "b")
     links = links.unionByName(written(checked(rest), "overlap-links"))
     ids = own.select("key", "least")
     out = links.join(ids.select(F.col("key").alias("u"), F.col("least").alias("lu")), "u").join(ids.select(F.col("key").alias("v"), F.col("least").alias("lv")), "v").select(F.col("lu").alias("u"), F.col("lv").alias("v"))
