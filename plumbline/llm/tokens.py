@@ -20,10 +20,10 @@ from plumbline.llm.common import arrow_map, slices  # noqa: E402
 
 #: Bytes of text encoded at once, and with offsets; a longer text goes by parts where its tokenizer allows, so memory
 #: doesn't grow with it.
-SLICE = AT_ONCE = 4_000_000
+SLICE = AT_ONCE = 2_000_000
 WHOLE = 1_000_000
 #: What a worker remembers: pieces, their ids in total, and the bytes of the longest piece.
-HELD, HELD_IDS, LONGEST = 1_200_000, 8_000_000, 64
+HELD, HELD_IDS, LONGEST = 300_000, 2_000_000, 64
 #: Bytes of new pieces encoded as one string.
 JOINED = 1 << 14
 _encoders: dict[str, Encoder] = {}
