@@ -65,8 +65,24 @@ def measure(name: str):
 
 
 def percentiles(values: DataFrame, p: float) -> DataFrame:
-    """(practice_id, n, learned): the p-th percentile, interpolated, of each practice's values; all practices in one job."""
-    return values.where("value IS NOT NULL").groupBy("practice_id").agg(F.count("*").alias("n"), F.expr(f"percentile_cont({p / 100!r}) WITHIN GROUP (ORDER BY value)").alias("learned"))
+    """(practice_id, n, learned): the p-th percentile, interpolated, of each practice's values; all practices in one job.
+
+    Equal values are counted before the shuffle, so a practice is as large as its number of different values.
+    """
+    own = Window.partitionBy("practice_id")
+    counts = values.where("value IS NOT NULL").groupBy("practice_id", F.col("value").cast("double").alias("value")).agg(F.count("*").alias("c"))
+    placed = counts.withColumns({"upto": F.sum("c").over(own.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(own)})
+    at = F.lit(p / 100) * (F.col("n") - 1)  # between the values of two ranks
+    there = lambda rank: F.max(F.when((F.col("upto") > rank) & (F.col("upto") - F.col("c") <= rank), F.col("value")))
+    found = placed.groupBy("practice_id", "n").agg(there(F.floor(at)).alias("low"), there(F.ceil(at)).alias("high"))
+    return found.select("practice_id", "n", (F.col("low") + (F.col("high") - F.col("low")) * (at - F.floor(at))).alias("learned"))
+
+
+def dismissals(events: DataFrame, findings: DataFrame) -> DataFrame:
+    """(practice_id, check_id, reason_code, occurred_at, event_id) of the coded dismissals among events, with their finding's practice."""
+    coded = events.where("event = 'dismissed' AND reason_code IS NOT NULL")
+    known = findings.select("check_id", "dedupe_key", "practice_id")
+    return coded.join(known, ["check_id", "dedupe_key"]).select("practice_id", "check_id", "reason_code", "occurred_at", F.concat_ws(":", "run_id", "dedupe_key").alias("event_id"))
 
 
 def learned(check: Check, views: dict[str, DataFrame], config: DataFrame, least: int = LEAST) -> DataFrame:

@@ -8,9 +8,28 @@ from pyspark.sql import functions as F
 from plumbline.operators.findings import latest
 
 
-def checks_by_status(checks: DataFrame) -> DataFrame:
-    """Checks of each status and source."""
-    return checks.groupBy("status", "source").agg(F.count("*").alias("checks"))
+def checks_by_status(checks: DataFrame, practice: str | None = None) -> DataFrame:
+    """Checks of each status and source; with a column of practices, also how many these are."""
+    more = [F.count_distinct(practice).alias("practices")] if practice else []
+    return checks.groupBy("status", "source").agg(F.count("*").alias("checks"), *more)
+
+
+def enabled_checks(config: DataFrame, checks: DataFrame) -> DataFrame:
+    """Practices in which each active check is enabled and not demoted."""
+    on = config.where("enabled AND NOT demoted").join(checks.where("status = 'active'").select("check_id", "title"), "check_id")
+    return on.groupBy("check_id", "title").agg(F.count_distinct("practice_id").alias("practices"))
+
+
+def narratives(composed: DataFrame, findings: DataFrame, checks: DataFrame, n: int = 20) -> DataFrame:
+    """The last n narratives with their finding's status and check's title, ties by finding; needs composed_at and text."""
+    own = composed.join(findings.select("check_id", "dedupe_key", F.col("status").alias("finding_status")), ["check_id", "dedupe_key"]).join(checks.select("check_id", "title"), "check_id")
+    return own.orderBy(F.desc("composed_at"), "check_id", "dedupe_key").select("check_id", "title", "dedupe_key", "finding_status", "composed_at", "text").limit(n)
+
+
+def calibrations(changes: DataFrame, checks: DataFrame, n: int = 20) -> DataFrame:
+    """The last n learned parameters with their check's title; needs check_id, practice_id, param, before, after and computed_at."""
+    own = changes.join(checks.select("check_id", "title"), "check_id")
+    return own.orderBy(F.desc("computed_at"), "check_id", "practice_id", "param").select("check_id", "title", "practice_id", "param", "before", "after", "computed_at").limit(n)
 
 
 def findings_by_practice(findings: DataFrame) -> DataFrame:

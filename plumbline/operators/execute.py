@@ -59,8 +59,8 @@ def execute(source: Source, check: Check, *, as_of: datetime, params: dict[str,
     return source.execute(compiled.sql, args, run_id=run_id)
 
 
-def run_rows(source: Source, checks: list[Check], *, as_of: datetime, params: dict[str, dict[str, Any]] | None = None, windows: dict[str, Window] | None = None, run_id: str | None = None) -> DataFrame:
-    """RUN_ROWS of many checks; checks of one view share its scan."""
+def run_rows(source: Source, checks: list[Check], *, as_of: datetime, params: dict[str, dict[str, Any]] | None = None, windows: dict[str, Window] | None = None, run_id: str | None = None, slim: bool = False) -> DataFrame:
+    """RUN_ROWS of many checks; checks of one view share its scan. slim: only check_id, practice_id and tri_state."""
     by_view: dict[str, list[Check]] = {}
     for c in checks:
         by_view.setdefault(c.view, []).append(c)
@@ -69,7 +69,7 @@ def run_rows(source: Source, checks: list[Check], *, as_of: datetime, params: di
         window = (windows or {}).get(view)
         args = {f"{n}__{k}": v for n, c in enumerate(own) for k, v in bound(c, (params or {}).get(c.id), as_of).items() if k != "as_of"}
         args |= {"as_of": as_of.isoformat(sep=" ")} | (window.args() if window else {})
-        one = source.execute(compile_fused(own, watermark=window.column if window else None), args, run_id=run_id)
+        one = source.execute(compile_fused(own, watermark=window.column if window else None, slim=slim), args, run_id=run_id)
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -109,6 +109,16 @@ def key_set_hash(rows: DataFrame, key: str = "entity_key") -> DataFrame:
     return keys.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("xor"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("total")).select("n", F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.col("xor").cast("string"), "total"), 256).alias("hash"))
 
 
+def key_set_changed(previous: str | None, current: str) -> bool:
+    """Whether a set of keys is another one than at the last run; without an earlier hash it counts as changed."""
+    return previous != current
+
+
+def escalates(watermarkable: bool, hot: bool) -> bool:
+    """A view that changes all the time and has no watermark can't be read cheaply: its owners should be asked for one."""
+    return hot and not watermarkable
+
+
 def depends_on_now(check: Check) -> bool:
     """Whether time alone can change an outcome, so that an incremental scan can't stand for a full one."""
     return ":as_of" in compile_check(check).sql

@@ -1,6 +1,7 @@
 """Findings: an idempotent, set-based upsert of judged rows, with an append-only log of events.
 
-A run's rows meet the findings in one full outer join; a row at a time is never looked up. The rules:
+A run's rows meet the findings in one full outer join; a row at a time is never looked up. Of a run only the relevant rows
+get that far: fails, and passes of an entity that has an active finding. The rules:
 
     row             finding                        new status        event             counted as
     indeterminate   any                            -                 -                 -
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 FINDINGS = "check_id string, dedupe_key string, practice_id string, entity_key string, status string, evidence string, first_seen_run string, last_seen_run string, snoozed_until timestamp_ntz"
 EVENTS = "check_id string, dedupe_key string, event string, run_id string, occurred_at timestamp_ntz, actor string, reason_code string, note string"
+#: What transitions gives.
+CHANGES = f"{FINDINGS}, event string, stat string"
 ACTIVE = ("open", "acknowledged")
 
 
@@ -38,6 +41,15 @@ def collapsed(rows: DataFrame) -> DataFrame:
     return keyed.groupBy("check_id", "dedupe_key").agg(F.min("r").alias("r")).select("check_id", "dedupe_key", F.col("r.practice_id").alias("practice_id"), F.col("r.entity_key").alias("entity_key"), F.col("r.tri_state").alias("tri_state"), F.col("r.evidence").alias("evidence"))
 
 
+def relevant(rows: DataFrame, findings: DataFrame) -> DataFrame:
+    """The rows that can change a finding: fails, and passes where a finding is active. One pass over rows."""
+    active = findings.where(F.col("status").isin(*ACTIVE)).select(F.col("check_id").alias("_check"), F.col("entity_key").alias("_key")).distinct().withColumn("_active", F.lit(True))
+    on = (F.col("check_id") == F.col("_check")) & (F.col("entity_key") == F.col("_key"))
+    fail = F.col("tri_state") == "fail"
+    kept = rows.where(F.col("tri_state").isin("fail", "pass")).join(active, on, "left").where(fail | F.col("_active"))
+    return kept.withColumn("evidence", F.when(fail, F.col("evidence"))).drop("_check", "_key", "_active")
+
+
 def transitions(rows: DataFrame, findings: DataFrame, run_id: str, *, auto_resolve: bool = True) -> DataFrame:
     """Each finding or new row, with its old and new state, event and stat (null: nothing happens)."""
     r, f = collapsed(rows).alias("r"), findings.alias("f")

@@ -192,6 +192,12 @@ def eligible_pairs(profiles: DataFrame, cap: int | None = None) -> DataFrame:
     return pairs.withColumn("budget", F.when(n <= cap, "evaluated").otherwise("skipped_cost"))
 
 
+def considered_pairs(profiles: DataFrame) -> int:
+    """How many pairs of columns there are before any is pruned."""
+    n = profiles.count()
+    return n * (n - 1) // 2
+
+
 def containment(a: DataFrame, column_a: str, b: DataFrame, column_b: str) -> DataFrame:
     """One row: distinct values on each side, those in both, orphans and containment each way.
 
@@ -207,19 +213,27 @@ def containment(a: DataFrame, column_a: str, b: DataFrame, column_b: str) -> Dat
 def containments(views: dict[str, DataFrame], pairs: list[tuple[str, str, str, str]]) -> DataFrame:
     """containment of many pairs (view_a, column_a, view_b, column_b) in one job.
 
-    Every column's distinct values meet once, grouped by value; a value then counts for each pair of columns that has it.
-    What is collected for a value is a set of columns, so it is as small as the catalog. Numbers compare as numbers.
+    A view is read once, however many of its columns are asked for. A value's columns are bits of a few numbers, which
+    combine before the one shuffle; values with the same columns are then counted together, and each such count stands
+    for all pairs of its columns. Numbers compare as numbers.
     """
     columns = list(dict.fromkeys([(v, c) for a, x, b, y in pairs for v, c in ((a, x), (b, y))]))
     spark, values = next(iter(views.values())).sparkSession, None
-    for n, (v, c) in enumerate(columns):
-        kind = family(views[v].schema[c].dataType)
-        value = F.concat(F.lit(f"{kind}:"), (F.col(c).cast("decimal(38,6)") if kind == "numeric" else F.col(c)).cast("string"))
-        one = views[v].where(F.col(c).isNotNull()).select(value.alias("value"), F.lit(n).alias("k")).distinct()
+    for v in dict.fromkeys(v for v, _ in columns):
+        each = []
+        for n, c in ((n, c) for n, (w, c) in enumerate(columns) if w == v):
+            kind = family(views[v].schema[c].dataType)
+            value = F.concat(F.lit(f"{kind}:"), (F.col(c).cast("decimal(38,6)") if kind == "numeric" else F.col(c)).cast("string"))
+            each.append(F.struct(value.alias("value"), F.lit(n).alias("k")))
+        one = views[v].select(F.inline(F.array(*each))).where("value IS NOT NULL")
         values = one if values is None else values.unionByName(one)
-    sets = values.groupBy("value").agg(F.array_sort(F.collect_set("k")).alias("ks"))
-    both = sets.select(F.explode(F.flatten(F.transform("ks", lambda a: F.transform(F.filter("ks", lambda b: b >= a), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p"))
-    counts = both.groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+    words = [f"w{i}" for i in range(-(-len(columns) // 62))]
+    bit = lambda i: F.when(F.floor(F.col("k") / 62) == i, F.expr("shiftleft(1L, k % 62)")).otherwise(F.lit(0).cast("long"))
+    masks = values.groupBy("value").agg(*(F.bit_or(bit(i)).alias(w) for i, w in enumerate(words))).groupBy(*words).count()
+    of = lambda w, i: F.transform(F.filter(F.sequence(F.lit(0), F.lit(61)), lambda p: F.getbit(F.col(w), p) == 1), lambda p: p + 62 * i)
+    sets = masks.select("count", F.flatten(F.array(*(of(w, i) for i, w in enumerate(words)))).alias("ks"))
+    both = sets.select("count", F.explode(F.flatten(F.transform("ks", lambda a: F.transform(F.filter("ks", lambda b: b >= a), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p"))
+    counts = both.groupBy("p.a", "p.b").agg(F.sum("count").alias("n"))
     at = {c: n for n, c in enumerate(columns)}
     asked = spark.createDataFrame([(a, x, b, y, at[a, x], at[b, y], min(at[a, x], at[b, y]), max(at[a, x], at[b, y])) for a, x, b, y in pairs], "view_a string, column_a string, view_b string, column_b string, ka int, kb int, low int, high int")
     own = counts.where("a = b")

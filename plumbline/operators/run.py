@@ -1,9 +1,16 @@
-"""A whole run: all active checks of all views, findings, events, executions and a report."""
+"""A whole run: all active checks of all views, findings, events, executions and a report.
+
+What a run does is written part by part under its id, and each part is written once: the transitions first, against the
+version of the findings that the run began with, then the events and executions that follow from them, then the next
+version, then the run's end. A run that is repeated - after it broke off, or as a stream's batch that is tried again -
+takes the parts that are there and adds those that are missing, so events are neither lost nor told twice.
+"""
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -14,8 +21,24 @@ from plumbline.plans.document import Check
 from plumbline.sources.guard import Source
 from plumbline.sources.state import Store
 
-EXECUTIONS = "check_id string, practice_id string, n_examined long, n_fail long, n_pass long, n_indeterminate long, indeterminate_rate double"
+TALLIES = "check_id string, practice_id string, n_examined long, n_fail long, n_pass long, n_indeterminate long, indeterminate_rate double"
+EXECUTIONS = f"{TALLIES}, strategy string, duration_ms double, status string, error string"
 WATERMARKS = "view_name string, column_name string, value timestamp_ntz"
+KEY_SETS = "view_name string, hash string"
+RUNS = "trigger string, status string, started_at timestamp_ntz, ended_at timestamp_ntz, base_version int, checks int, errors int, run_id string"
+MOST_EXPENSIVE = 5
+
+
+@dataclass(frozen=True)
+class Plan:
+    """How a view is read. column: a watermark, read from the stored mark on; else the last trailing_days by trailing_column,
+    else everything. key: skip the view as long as its set of keys stays as it was. hot: it changes all the time."""
+
+    column: str | None = None
+    trailing_column: str | None = None
+    trailing_days: int = 30
+    key: tuple[str, ...] = ()
+    hot: bool = False
 
 
 @dataclass
@@ -26,24 +49,54 @@ class Report:
     stats: dict[str, int] = field(default_factory=dict)
     executions: list[dict[str, Any]] = field(default_factory=list)
     strategies: dict[str, str] = field(default_factory=dict)
+    durations: dict[str, float] = field(default_factory=dict)
+    asks: list[str] = field(default_factory=list)
+    status: str = "completed"
+
+    def expensive(self, n: int = MOST_EXPENSIVE) -> list[tuple[str, float]]:
+        """The n views whose scans took longest, in milliseconds; the first known goes first on a tie."""
+        return sorted(self.durations.items(), key=lambda x: -x[1])[:n]
 
     def markdown(self) -> str:
         lines = [f"# Run {self.run_id}", "", "| check | practice | examined | fail | pass | indeterminate |", "|-|-|-|-|-|-|"]
         lines += [f"| {e['check_id']} | {e['practice_id']} | {e['n_examined']} | {e['n_fail']} | {e['n_pass']} | {e['n_indeterminate']} |" for e in self.executions]
         lines += ["", "Findings: " + (", ".join(f"{n} {s}" for s, n in sorted(self.stats.items())) or "no change")]
+        lines += [f"Scan of {v}: {ms:.0f} ms, {self.strategies.get(v, '')}" for v, ms in self.expensive()]
         lines += [f"Skipped for drift: {c} (gone: {', '.join(cols)})" for c, cols in self.skipped_drift.items()]
         lines += [f"Failed: {c}: {e}" for c, e in self.errors.items()]
+        lines += [f"Ask: {a}" for a in self.asks]
         return "\n".join(lines) + "\n"
 
 
-def run(source: Source, store: Store, checks: list[Check], *, run_id: str, as_of: datetime, pinned: dict[str, list[str]] | None = None, watermarks: dict[str, str] | None = None, lookback: timedelta = timedelta(days=1), params: dict[str, dict[str, Any]] | None = None, auto_resolve: bool = True) -> Report:
+def _shown(tallies: DataFrame) -> list[dict[str, Any]]:
+    """The first 1000 tallies."""
+    sums = (F.sum(c).alias(c) for c in ("n_examined", "n_fail", "n_pass", "n_indeterminate"))
+    return [r.asDict() for r in tallies.where("status = 'ok'").groupBy("check_id", "practice_id").agg(*sums).orderBy("check_id", "practice_id").limit(1000).collect()]
+
+
+def _now() -> datetime:
+    return datetime.now(timezone.utc).replace(tzinfo=None)
+
+
+def run(source: Source, store: Store, checks: list[Check], *, run_id: str, as_of: datetime, pinned: dict[str, list[str]] | None = None, watermarks: dict[str, str] | None = None, lookback: timedelta = timedelta(days=1), params: dict[str, dict[str, Any]] | None = None, auto_resolve: bool = True, trigger: str = "manual", plans: dict[str, Plan] | None = None, timeout_s: float | None = None) -> Report:
     """Judges every check, upserts findings and appends events, executions and watermarks; a repeated run changes nothing.
 
-    Checks whose pinned columns are gone, or whose statement Spark refuses, are left out and reported. A view with a
-    watermark column is read from its stored mark less the lookback, unless a check of it depends on the as-of time.
+    Checks whose pinned columns are gone, or whose statement Spark refuses, are left out and reported. A view is read as
+    its plan says (watermarks is short for plans with a column); a view with a watermark is read from its stored mark less
+    the lookback, unless a check of it depends on the as-of time. timeout_s: a view whose scan takes longer is cancelled,
+    and its checks are reported as errors.
     """
-    report, ready = Report(run_id), []
-    live = source.columns()
+    spark, report = source.spark, Report(run_id)
+    if store.has("ended", run_id):
+        done = store.part("executions", EXECUTIONS, run_id)
+        kept = store.part("changes", findings.CHANGES, run_id).where("stat IS NOT NULL").count() if store.has("changes", run_id) else 0
+        report.stats, report.executions = ({"skipped_idempotent": kept} if kept else {}), _shown(done)
+        return report
+    if not store.has("began", run_id):
+        begun = [(trigger, "running", _now(), None, store.version("findings"), len(checks), 0)]
+        store.append("began", spark.createDataFrame(begun, RUNS.rpartition(",")[0]), run_id)
+    base = store.part("began", RUNS.rpartition(",")[0], run_id).first()
+    ready, live = [], source.columns()
     for c in checks:
         gone = [x for v in c.views for x in execute.drift((pinned or live).get(v, []), live.get(v, []))]
         if gone:
@@ -54,37 +107,96 @@ def run(source: Source, store: Store, checks: list[Check], *, run_id: str, as_of
             ready.append(c)
         except Exception as e:  # noqa: BLE001  one broken check doesn't stop the others
             report.errors[c.id] = str(e).splitlines()[0]
-    if not ready:
-        return report
-    marks = {(r["view_name"], r["column_name"]): r["value"] for r in store.read("watermarks", WATERMARKS).collect()}
-    windows = {}
-    for view in {c.view for c in ready}:
-        column = (watermarks or {}).get(view)
-        timeless = column and not any(execute.depends_on_now(c) for c in ready if c.view == view)
-        report.strategies[view] = "increment" if timeless else "full_scan"
-        if timeless:
-            windows[view] = execute.increment(column, marks.get((view, column)), as_of, lookback)
-    rows = execute.run_rows(source, ready, as_of=as_of, params=params, windows=windows, run_id=run_id)
-    store.append("run_rows", rows, run_id)
-    rows = source.spark.read.schema(execute.RUN_ROWS).parquet(f"{store.root}/run_rows/run_id={run_id}")
-    tallies = execute.tally(rows)
-    store.append("executions", tallies, run_id)
-    system = execute.indeterminacy_findings(tallies)
-    before = store.read("findings", findings.FINDINGS)
-    changes = findings.transitions(rows.unionByName(system), before, run_id, auto_resolve=auto_resolve)
-    store.append("changes", changes, run_id)
-    changes = source.spark.read.schema(changes.schema).parquet(f"{store.root}/changes/run_id={run_id}")
-    store.append("events", findings.events(changes, run_id, as_of), run_id)
-    store.write("findings", findings.snapshot(changes))
-    new = [(v, w.column, as_of) for v, w in windows.items()]
-    if new:
-        kept = [(v, c, t) for (v, c), t in marks.items() if (v, c) not in {(x, y) for x, y, _ in new}]
-        store.write("watermarks", source.spark.createDataFrame([*kept, *new], WATERMARKS))
+    plans = {v: Plan(c) for v, c in (watermarks or {}).items()} | (plans or {})
+    windows, hashes, ready = _windows(source, store, ready, plans, as_of, lookback, report)
+    if not store.has("changes", run_id):
+        tallies, ready = _tallied(source, ready, as_of, params, windows, run_id, report, timeout_s)
+        failed = [(c, None, 0, 0, 0, 0, None, None, None, "error", e) for c, e in report.errors.items()]
+        failed += [(c, None, 0, 0, 0, 0, None, None, None, "skipped_drift", ", ".join(gone)) for c, gone in report.skipped_drift.items()]
+        failed = spark.createDataFrame(failed, EXECUTIONS)
+        store.append("executions", failed if tallies is None else tallies.unionByName(failed), run_id)
+        counted = store.part("executions", EXECUTIONS, run_id).where("status = 'ok'")
+        rows = execute.indeterminacy_findings(counted)
+        if ready:
+            rows = rows.unionByName(execute.run_rows(source, ready, as_of=as_of, params=params, windows=windows, run_id=run_id))
+        before = store.read("findings", findings.FINDINGS)
+        store.append("changes", findings.transitions(findings.relevant(rows, before), before, run_id, auto_resolve=auto_resolve), run_id)
+    changes = store.part("changes", findings.CHANGES, run_id)
+    if not store.has("events", run_id):
+        store.append("events", findings.events(changes, run_id, as_of), run_id)
+    if store.version("findings") == base["base_version"]:
+        store.write("findings", findings.snapshot(changes))
+    marks = [(v, w.column, as_of) for v, w in windows.items() if (plans.get(v) or Plan()).column == w.column]
+    _advance(store, "watermarks", WATERMARKS, marks, 2)
+    _advance(store, "key_sets", KEY_SETS, list(hashes.items()), 1)
     report.stats = {r["stat"]: r["n"] for r in findings.stats(changes).collect()}
-    report.executions = [r.asDict() for r in tallies.groupBy("check_id", "practice_id").agg(*(F.sum(c).alias(c) for c in ("n_examined", "n_fail", "n_pass", "n_indeterminate"))).orderBy("check_id", "practice_id").limit(1000).collect()]
+    report.executions = _shown(store.part("executions", EXECUTIONS, run_id))
+    report.status = "completed_with_errors" if report.errors else "completed"
+    ended = [(base["trigger"], report.status, base["started_at"], _now(), base["base_version"], len(checks), len(report.errors))]
+    store.append("ended", spark.createDataFrame(ended, RUNS.rpartition(",")[0]), run_id)
     return report
 
 
+def _windows(source: Source, store: Store, ready: list[Check], plans: dict[str, Plan], as_of: datetime, lookback: timedelta, report: Report) -> tuple[dict[str, execute.Window], dict[str, str], list[Check]]:
+    """Windows of the views that are read in part, key-set hashes to keep, and the checks whose views are read at all."""
+    marks = {(r["view_name"], r["column_name"]): r["value"] for r in store.read("watermarks", WATERMARKS).collect()}  # a row a view
+    known = {r["view_name"]: r["hash"] for r in store.read("key_sets", KEY_SETS).collect()}
+    windows, hashes, unchanged = {}, {}, set()
+    for view in sorted({c.view for c in ready}):
+        plan = plans.get(view, Plan())
+        timeless = not any(execute.depends_on_now(c) for c in ready if c.view == view)
+        report.strategies[view] = "full_scan"
+        if plan.column and timeless:
+            report.strategies[view] = "increment"
+            windows[view] = execute.increment(plan.column, marks.get((view, plan.column)), as_of, lookback)
+        elif plan.trailing_column:
+            report.strategies[view] = "trailing"
+            windows[view] = execute.trailing(plan.trailing_column, as_of, plan.trailing_days)
+        elif plan.key:
+            hashes[view] = execute.key_set_hash(source.views[view].select(F.to_json(F.struct(*sorted(plan.key))).alias("entity_key"))).first()["hash"]
+            if timeless and not execute.key_set_changed(known.get(view), hashes[view]):
+                report.strategies[view] = "unchanged"
+                unchanged.add(view)
+        if execute.escalates(plan.column is not None, plan.hot):
+            report.asks.append(f"{view} changes all the time and has no watermark; its owners should be asked for one")
+    return windows, hashes, [c for c in ready if c.view not in unchanged]
+
+
+def _tallied(source: Source, ready: list[Check], as_of: datetime, params, windows: dict[str, execute.Window], run_id: str, report: Report, timeout_s: float | None) -> tuple[DataFrame | None, list[Check]]:
+    """Tallies of each check and practice, view by view, and the checks whose view could be read within the time."""
+    done, out = [], None
+    for view in dict.fromkeys(c.view for c in ready):
+        own, at = [c for c in ready if c.view == view], time.perf_counter()
+        tallies = execute.tally(execute.run_rows(source, own, as_of=as_of, params=params, windows=windows, run_id=run_id, slim=True))
+        rows = source.within(timeout_s, tallies.collect)  # a row a check and practice
+        report.durations[view] = (time.perf_counter() - at) * 1000
+        if rows is None:
+            report.errors |= {c.id: f"the scan of {view} took more than {timeout_s} s" for c in own}
+            continue
+        done += own
+        one = source.spark.createDataFrame([(*r, report.strategies.get(view), report.durations[view], "ok", None) for r in rows], EXECUTIONS)
+        out = one if out is None else out.unionByName(one)
+    return out, done
+
+
+def _advance(store: Store, name: str, schema: str, new: list[tuple], keys: int) -> None:
+    """Replaces the rows that share their first columns with new ones."""
+    if new:
+        kept = [tuple(r) for r in store.read(name, schema).collect() if tuple(r)[:keys] not in {n[:keys] for n in new}]
+        store.write(name, store.spark.createDataFrame([*kept, *new], schema))
+
+
+def runs(store: Store) -> DataFrame:
+    """All runs with trigger, status, start, end and counts; a run without an end is running or broke off."""
+    began, ended = (store.log(n, RUNS.rpartition(",")[0]) for n in ("began", "ended"))
+    return ended.unionByName(began.join(ended.select("run_id"), "run_id", "left_anti"))
+
+
+def executions(store: Store) -> DataFrame:
+    """The executions of all runs."""
+    return store.log("executions", EXECUTIONS)
+
+
 def history(store: Store) -> DataFrame:
     """All events of all runs."""
     return store.log("events", ", ".join(x for x in findings.EVENTS.split(", ") if not x.startswith("run_id")))

@@ -100,18 +100,18 @@ def compile_check(check: Check, *, watermark: str | None = None, practice_scope:
     return Compiled(check, sql, hashlib.sha256(sql.encode()).hexdigest(), params_of(check))
 
 
-def compile_fused(checks: list[Check], *, watermark: str | None = None) -> str:
+def compile_fused(checks: list[Check], *, watermark: str | None = None, slim: bool = False) -> str:
     """One statement for checks of one view: a row for each check and row that its base filters keep.
 
-    The view is scanned once. Equal EXISTS clauses are computed once, as are equal base filters.
-    Columns: check_id, practice_id, entity_key (canonical JSON), tri_state, evidence (JSON). Parameters are named
-    <number of the check>__<name>.
+    The view is scanned once, and rows that no check's base filters keep are left out by the scan. Equal EXISTS clauses
+    are computed once, as are equal base filters. Columns: check_id, practice_id, entity_key (canonical JSON), tri_state,
+    evidence (JSON); slim: without key and evidence, for tallies. Parameters are named <number of the check>__<name>.
     """
     view = checks[0].view
     if any(c.view != view for c in checks):
         raise CheckError("fused checks share their view")
     clauses: dict[str, str] = {}
-    parts = []
+    parts, filters = [], []
     for n, check in enumerate(checks):
         head, tail = projected(check)
 
@@ -123,13 +123,20 @@ def compile_fused(checks: list[Check], *, watermark: str | None = None) -> str:
         def name(sql: str) -> str:
             return clauses.setdefault(sql, f"__c{len(clauses)}")
 
-        kept, ready, failed = (name(own(s)) for s in (" AND ".join(_kept(check, None, False)) or "true", _ready(check), condition(check.predicate, check)))
+        filters.append(own(" AND ".join(_kept(check, None, False))))
+        ready, failed = (name(own(s)) for s in (_ready(check), condition(check.predicate, check)))
+        kept = name(filters[-1]) if filters[-1] and len(checks) > 1 else None
         key = ", ".join(f"'{c}', `{c}`" for c in sorted(check.key))
         evidence = ", ".join(f"'{c}', `{c}`" for c in (*head, *tail))
         outcome = OUTCOME.replace("__ready", ready).replace("__failed", failed)
-        parts.append(f"IF({kept}, named_struct('check_id', '{check.id}', 'practice_id', CAST(`{check.practice_column}` AS STRING), 'entity_key', to_json(named_struct({key})), 'tri_state', {outcome}, 'evidence', to_json(named_struct({evidence}))), NULL)")
+        fields = {"check_id": f"'{check.id}'", "practice_id": f"CAST(`{check.practice_column}` AS STRING)", "entity_key": f"to_json(named_struct({key}))", "tri_state": outcome, "evidence": f"to_json(named_struct({evidence}))"}
+        row = "named_struct(" + ", ".join(f"'{f}', {sql}" for f, sql in fields.items() if not (slim and f in ("entity_key", "evidence"))) + ")"
+        parts.append(f"IF({kept}, {row}, NULL)" if kept else row)
     columns = ", ".join(f"`{view}`.`{c}`" for c in dict.fromkeys(x for check in checks for y in projected(check) for x in y))
-    scan = " AND ".join(_kept(checks[0], watermark, False)[len(checks[0].base_filters) :])
+    scans = _kept(checks[0], watermark, False)[len(checks[0].base_filters) :]
+    if all(filters):
+        scans.append("(" + " OR ".join(dict.fromkeys(f"({f})" for f in filters)) + ")")
+    scan = " AND ".join(scans)
     shown = ", ".join(f"({sql}) AS {alias}" for sql, alias in clauses.items())
     inner = f"SELECT {columns}, {shown} FROM {table(view)} AS `{view}`" + (f" WHERE {scan}" if scan else "")
     return f"SELECT inline(filter(array({', '.join(parts)}), x -> x IS NOT NULL)) FROM ({inner})"

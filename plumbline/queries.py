@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -9,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import checks
-from plumbline.operators import calibration, dashboard, execute, feedback, findings, profile, reconcile, registry
+from plumbline.operators import calibration, dashboard, execute, feedback, findings, narrate, profile, reconcile, registry
+from plumbline.operators.run import history, run
 from plumbline.plans.document import from_dict
 from plumbline.sources import documents, tables
 from plumbline.sources.guard import Source
+from plumbline.sources.state import Store
 from plumbline.views import table, view, views, with_views
 
 AS_OF = datetime(2001, 12, 31)
@@ -165,7 +169,7 @@ ROWS_SQL = f"""rows AS (
 
 
 def _all_rows(spark, sf_dir):
-    return execute.run_rows(Source(spark, views(spark, sf_dir, *ALL_VIEWS)), [checks.load(c) for c in ALL_CHECKS], as_of=AS_OF)
+    return execute.run_rows(Source(spark, views(spark, sf_dir, *ALL_VIEWS)), [checks.load(c) for c in ALL_CHECKS], as_of=AS_OF, slim=True)
 
 
 @query(f"WITH {ROWS_SQL} SELECT * FROM tallies", *ALL_VIEWS)
@@ -196,7 +200,15 @@ def _two_runs(spark, sf_dir):
     source = Source(spark, views(spark, sf_dir, *check.views))
     first = execute.run_rows(source, [check], as_of=datetime(1998, 12, 31))
     second = execute.run_rows(source, [check], as_of=AS_OF, params={check.id: {"invoice_lag_days": 1500}})
-    return findings.transitions(first, spark.createDataFrame([], findings.FINDINGS), "r1"), second
+    empty = spark.createDataFrame([], findings.FINDINGS)
+    return findings.transitions(findings.relevant(first, empty), empty, "r1"), second
+
+
+def _second(spark, sf_dir):
+    """The transitions of the second run."""
+    first, second = _two_runs(spark, sf_dir)
+    before = findings.snapshot(first)
+    return findings.transitions(findings.relevant(second, before), before, "r2")
 
 
 TWO_SQL = f"""WITH one AS ({A_SQL.format(as_of='1998-12-31', lag=7)}), two AS ({A_SQL.format(as_of='2001-12-31', lag=1500)}), both_runs AS (
@@ -212,22 +224,19 @@ def q_materialize_first(spark, sf_dir):
   CASE WHEN s1 = 'fail' THEN 'r1' ELSE 'r2' END AS first_seen_run, CASE WHEN s2 = 'indeterminate' THEN 'r1' ELSE 'r2' END AS last_seen_run
   FROM both_runs WHERE s1 = 'fail' OR s2 = 'fail'""", *A_VIEWS)
 def q_materialize_second(spark, sf_dir):
-    first, second = _two_runs(spark, sf_dir)
-    return findings.snapshot(findings.transitions(second, findings.snapshot(first), "r2")).select("dedupe_key", "status", "first_seen_run", "last_seen_run")
+    return findings.snapshot(_second(spark, sf_dir)).select("dedupe_key", "status", "first_seen_run", "last_seen_run")
 
 
 @query(f"""{TWO_SQL} SELECT stat, count(*) AS n FROM (SELECT CASE WHEN s2 = 'fail' AND s1 = 'fail' THEN 'reseen' WHEN s2 = 'fail' THEN 'created' WHEN s2 = 'pass' AND s1 = 'fail' THEN 'resolved_system' END AS stat FROM both_runs)
   WHERE stat IS NOT NULL GROUP BY stat""", *A_VIEWS)
 def q_materialize_stats(spark, sf_dir):
-    first, second = _two_runs(spark, sf_dir)
-    return findings.stats(findings.transitions(second, findings.snapshot(first), "r2"))
+    return findings.stats(_second(spark, sf_dir))
 
 
 @query(f"""{TWO_SQL} SELECT {KEY_SQL} AS dedupe_key, CASE WHEN s2 = 'pass' THEN 'resolved_system' WHEN s1 = 'fail' THEN 'reseen' ELSE 'created' END AS event, 'r2' AS run_id
   FROM both_runs WHERE s2 = 'fail' OR (s2 = 'pass' AND s1 = 'fail')""", *A_VIEWS)
 def q_finding_events(spark, sf_dir):
-    first, second = _two_runs(spark, sf_dir)
-    return findings.events(findings.transitions(second, findings.snapshot(first), "r2"), "r2", AS_OF).select("dedupe_key", "event", "run_id")
+    return findings.events(_second(spark, sf_dir), "r2", AS_OF).select("dedupe_key", "event", "run_id")
 
 
 @query("""SELECT count(*) AS n, sha256(concat_ws(':', count(*)::VARCHAR, coalesce(bit_xor(h), 0)::VARCHAR, coalesce(sum(h), 0)::HUGEINT::VARCHAR)) AS hash FROM (
@@ -237,6 +246,31 @@ def q_keyset_hash(spark, sf_dir):
     return execute.key_set_hash(table(spark, sf_dir, "customer"), "c_custkey")
 
 
+@query(f"""{TWO_SQL} SELECT {KEY_SQL} AS dedupe_key, CASE WHEN s2 = 'pass' THEN 'resolved_system' WHEN s1 = 'fail' THEN 'reseen' ELSE 'created' END AS event
+  FROM both_runs WHERE s2 = 'fail' OR (s2 = 'pass' AND s1 = 'fail') UNION ALL SELECT {KEY_SQL}, 'created' FROM both_runs WHERE s1 = 'fail'""", *A_VIEWS)
+def q_repeated_run_events(spark, sf_dir):
+    """The log of two runs that are each called twice."""
+    check = checks.load("appointment-completed-no-invoice")
+    source, store = Source(spark, views(spark, sf_dir, *check.views)), Store(spark, _scratch(spark))
+    for run_id, as_of, params in (("r1", datetime(1998, 12, 31), None), ("r2", AS_OF, {check.id: {"invoice_lag_days": 1500}})):
+        for _ in range(2):
+            run(source, store, [check], run_id=run_id, as_of=as_of, params=params)
+    return history(store).where(F.col("check_id") == check.id).select("dedupe_key", "event")
+
+
+def _scratch(spark):
+    """A new folder for state, below the shared folder if there is one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="plumbline-")
+    path = f"{found.rstrip('/')}/plumbline-state-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 # --- registry and feedback ---
 
 @query("SELECT event_type AS check_id, max(event_id) AS version_number FROM events GROUP BY event_type")
@@ -545,15 +579,14 @@ def q_persist_antijoin(spark, sf_dir):
 
 @query(f"{TWO_SQL} SELECT practice AS practice_id, count(*) FILTER (s1 = 'fail' AND s2 <> 'pass') AS open_findings, count(*) FILTER (s1 = 'fail' AND s2 = 'pass') AS resolved FROM both_runs WHERE s1 = 'fail' GROUP BY practice", *A_VIEWS)
 def q_dash_status(spark, sf_dir):
-    first, second = _two_runs(spark, sf_dir)
-    now = findings.snapshot(findings.transitions(second, findings.snapshot(first), "r2")).where("first_seen_run = 'r1'")
-    return now.groupBy(F.col("practice_id").cast("int").alias("practice_id")).agg(F.count_if(F.col("status") == "open").alias("open_findings"), F.count_if(F.col("status") == "resolved_system").alias("resolved"))
+    now = findings.snapshot(_second(spark, sf_dir)).where("first_seen_run = 'r1'")
+    return dashboard.findings_by_practice(now).select(F.col("practice_id").cast("int").alias("practice_id"), F.col("open").alias("open_findings"), F.col("resolved_system").alias("resolved"))
 
 
 @query("SELECT status, source, count(*) AS checks, count(DISTINCT practice_id) AS practices FROM (SELECT event_type AS check_id, user_id % 7 AS practice_id, CASE WHEN event_type = 'error' THEN 'draft' ELSE 'active' END AS status, CASE WHEN user_id % 2 = 0 THEN 'derived' ELSE 'manual' END AS source FROM events) GROUP BY status, source")
 def q_dash_active(spark, sf_dir):
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("practice_id"), F.when(F.col("event_type") == "error", "draft").otherwise("active").alias("status"), F.when(F.col("user_id") % 2 == 0, "derived").otherwise("manual").alias("source"))
-    return e.groupBy("status", "source").agg(F.count("*").alias("checks"), F.countDistinct("practice_id").alias("practices"))
+    return dashboard.checks_by_status(e, "practice_id")
 
 
 @query("SELECT event_type AS check_id, event_id AS dedupe_key, ts AS occurred_at FROM events ORDER BY ts DESC, event_type, event_id LIMIT 20")
@@ -576,24 +609,18 @@ def q_dash_practices(spark, sf_dir):
 
 @query(A_SQL.format(as_of="2001-12-31", lag=7).replace("SELECT id, practice, patient, schedule_date, ", "SELECT practice AS practice_id, count(*) AS n, 'Appointment ' || min(id) || ' on ' || strftime(min(schedule_date), '%Y-%m-%d') || ' has no invoice.' AS text FROM (SELECT id, practice, patient, schedule_date, ") + ") WHERE tri_state = 'fail' GROUP BY practice", *A_VIEWS)
 def q_render(spark, sf_dir):
-    from plumbline.operators import narrate
-
     fails = _judged(spark, sf_dir, "appointment-completed-no-invoice").where("tri_state = 'fail'").groupBy(F.col("practice").alias("practice_id")).agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("schedule_date").alias("day"))
     values = fails.withColumn("fields", F.create_map(F.lit("id"), F.col("id").cast("string"), F.lit("day"), F.date_format("day", "yyyy-MM-dd")))
     return values.select("practice_id", "n", narrate.rendered("Appointment {{ id }} on {{day}} has no invoice.", "fields", ("id", "day")).alias("text"))
 
 
-@query()
+@query(narrate.SUSPECT_SQL)
 def q_suspect_tokens(spark, sf_dir):
-    from plumbline.operators import narrate
-
     return narrate.suspect_tokens(table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_type AS check_version, CASE WHEN value > 50 THEN 'a:double' ELSE 'b:string' END AS shape, count(*) AS findings FROM events GROUP BY ALL")
 def q_template_groups(spark, sf_dir):
-    from plumbline.operators import narrate
-
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("check_version"), F.when(F.col("value") > 50, "a:double").otherwise("b:string").alias("shape"))
     return narrate.template_groups(rows)
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
+import threading
 import time
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass, replace
 from datetime import datetime, timezone
@@ -43,32 +46,66 @@ class JsonlSink:
             f.write(json.dumps(asdict(event), sort_keys=True) + "\n")
 
 
+#: Plan nodes of plain queries; anything else - commands, table functions, scripts - is refused.
+QUERY_NODES = frozenset("Project Filter Aggregate Join Sort GlobalLimit LocalLimit Offset Distinct Union Except Intersect SubqueryAlias UnresolvedWith UnresolvedRelation UnresolvedHaving OneRowRelation UnresolvedInlineTable UnresolvedSubqueryColumnAliases Generate LateralJoin WithWindowDefinition Window Pivot Unpivot Deduplicate".split())
+#: Functions that run code of the machine.
+_CODE = re.compile(r"'(?:[\w`.]*\.)?`?(reflect|java_method|try_reflect)`?\(", re.IGNORECASE)
+
+
+class TableSink:
+    """Keeps events and appends them to a Parquet table, `every` at a time and when flushed."""
+
+    def __init__(self, spark: SparkSession, path: str, every: int = 100):
+        self.spark, self.path, self.every, self.held = spark, path, every, []
+
+    def __call__(self, event: AuditEvent) -> None:
+        self.held.append(event)
+        if len(self.held) >= self.every:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            rows = [tuple(asdict(e).values()) for e in self.held]
+            self.spark.createDataFrame(rows, "statement string, params string, started_at string, duration_ms double, rows long, component string, run_id string").write.mode("append").parquet(self.path)
+            self.held = []
+
+
 def relations(spark: SparkSession, sql: str) -> list[str]:
-    """Names of the relations that one query reads; GuardError if it is anything but one query."""
+    """Names of the relations that one query reads; GuardError if it is anything but one query.
+
+    A name that a WITH clause defines excuses relations below that clause, and after it in the clause, only.
+    """
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as e:
         raise GuardError(f"not one statement that Spark reads: {str(e).splitlines()[0]}") from e
-    known, found = set(), []
+    found: list[str] = []
 
-    def walk(node: Any) -> None:
+    def walk(node: Any, known: frozenset[str]) -> None:
         kind = node.getClass().getSimpleName()
-        if kind in ("InsertIntoStatement", "MergeIntoTable", "DeleteFromTable", "UpdateTable") or "Command" in kind or kind.startswith(("Create", "Drop", "Alter", "Set", "Show", "Describe", "Refresh", "Truncate", "Cache", "Analyze", "Use", "Explain")):
-            raise GuardError(f"not a SELECT: {kind}")
+        if kind not in QUERY_NODES:
+            raise GuardError(f"not a plain query: {kind}")
+        for e in _each(node.expressions()):
+            if m := _CODE.search(e.toString()):
+                raise GuardError(f"function {m[1]!r} isn't allowed")
         if kind == "UnresolvedWith":
-            ctes = node.cteRelations()
-            for i in range(ctes.size()):
-                known.add(ctes.apply(i)._1().lower())
-                walk(ctes.apply(i)._2())
+            for cte in _each(node.cteRelations()):
+                walk(cte._2(), known)
+                known |= {cte._1().lower()}
         if kind == "UnresolvedRelation":
-            parts = node.multipartIdentifier()
-            found.append(".".join(parts.apply(i) for i in range(parts.size())))
+            name = ".".join(_each(node.multipartIdentifier()))
+            if name.lower() not in known:
+                found.append(name)
         for children in (node.children(), node.subqueries()):
-            for i in range(children.size()):
-                walk(children.apply(i))
+            for child in _each(children):
+                walk(child, known)
 
-    walk(plan)
-    return [r for r in found if r.lower() not in known]
+    walk(plan, frozenset())
+    return found
+
+
+def _each(seq: Any) -> list[Any]:
+    return [seq.apply(i) for i in range(seq.size())]
 
 
 class Source:
@@ -103,6 +140,35 @@ class Source:
             sink(replace(event))
         return df
 
+    def within(self, seconds: float | None, job: Callable[[], Any]) -> Any:
+        """What job gives, or None if it takes longer than so many seconds; its Spark jobs are then cancelled.
+
+        A cancelled task ends when it next looks whether it should go on; until then it keeps its core.
+        """
+        if seconds is None:
+            return job()
+        tag, late = f"plumbline-{uuid.uuid4().hex}", threading.Event()
+        sc = self.spark.sparkContext
+
+        def stop() -> None:
+            late.set()
+            sc.cancelJobsWithTag(tag)
+
+        timer = threading.Timer(seconds, stop)
+        sc.addJobTag(tag)
+        sc.setInterruptOnCancel(True)
+        timer.start()
+        try:
+            return job()
+        except Exception:
+            if late.is_set():
+                return None
+            raise
+        finally:
+            timer.cancel()
+            sc.removeJobTag(tag)
+            sc.setInterruptOnCancel(False)
+
     def columns(self) -> dict[str, list[str]]:
         """Column names of each view, in order."""
         return {v: df.columns for v, df in self.views.items()}

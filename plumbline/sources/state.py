@@ -8,7 +8,6 @@ writes last, so a half-written one is never read and a table is never overwritte
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 class Store:
@@ -36,8 +35,14 @@ class Store:
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/v={v}") if v else self.spark.createDataFrame([], schema)
 
     def write(self, name: str, df: DataFrame, keep: int = 2) -> int:
-        """Writes df as the next version, then removes versions older than the last keep."""
+        """Writes df as the next version, then removes versions older than the last keep.
+
+        A version is claimed by a marker file that only one writer can create; a claim without a complete version is of a
+        writer that broke off, and the next one goes past it.
+        """
         v = self.version(name) + 1
+        while not self._claim(f"{self.root}/{name}/_claims/{v}"):
+            v += 1
         df.write.mode("overwrite").parquet(f"{self.root}/{name}/v={v}")
         for n in self._children(name, "v="):
             if int(n[2:]) <= v - keep:
@@ -45,14 +50,32 @@ class Store:
                 fs.delete(at, True)
         return v
 
+    def _claim(self, path: str) -> bool:
+        fs, at = self._fs(path)
+        fs.mkdirs(at.getParent())
+        try:
+            fs.create(at, False).close()
+        except Exception:
+            if fs.exists(at):
+                return False
+            raise
+        return True
+
+    def has(self, name: str, run_id: str) -> bool:
+        """Whether a log has the complete part of a run."""
+        fs, at = self._fs(f"{self.root}/{name}/run_id={run_id}/_SUCCESS")
+        return fs.exists(at)
+
+    def part(self, name: str, schema, run_id: str) -> DataFrame:
+        """One run's part of a log, without run_id."""
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/run_id={run_id}")
+
     def append(self, name: str, df: DataFrame, run_id: str) -> None:
         df.drop("run_id").write.mode("overwrite").parquet(f"{self.root}/{name}/run_id={run_id}")
 
     def log(self, name: str, schema: str) -> DataFrame:
-        """All complete parts of a log, with run_id."""
-        parts = sorted(self._children(name, "run_id="))
-        out = None
-        for p in parts:
-            one = self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{p}").withColumn("run_id", F.lit(p[7:]))
-            out = one if out is None else out.unionByName(one)
-        return out if out is not None else self.spark.createDataFrame([], f"{schema}, run_id string")
+        """All complete parts of a log, with run_id; one scan, however many runs there are."""
+        parts = [f"{self.root}/{name}/{p}" for p in sorted(self._children(name, "run_id="))]
+        if not parts:
+            return self.spark.createDataFrame([], f"{schema}, run_id string")
+        return self.spark.read.schema(f"{schema}, run_id string").option("basePath", f"{self.root}/{name}").parquet(*parts)

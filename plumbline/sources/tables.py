@@ -9,11 +9,11 @@ from plumbline.sources.guard import Source
 
 
 def surface(source: Source) -> DataFrame:
-    """(view, kind, can_select) of each view; a view that can't be analysed can't be selected."""
+    """(view, kind, can_select) of each view: whether a row of it, or its lack of rows, can be read now."""
     rows = []
     for name, df in sorted(source.views.items()):
         try:
-            df.limit(0).schema  # noqa: B018
+            df.take(1)
             ok = True
         except Exception:
             ok = False
@@ -36,6 +36,28 @@ def row_counts(views: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def counted(source: Source, view: str, timeout_s: float | None = None) -> tuple[int | None, str]:
+    """(rows, status) of a view: exact; approximate, from file footers, if counting takes longer than timeout_s; or
+    indeterminate if its files say nothing."""
+    exact = source.within(timeout_s, source.views[view].count)
+    if exact is not None:
+        return exact, "exact"
+    guess = footer_rows(source.views[view])
+    return guess, "indeterminate" if guess is None else "approximate"
+
+
+def footer_rows(df: DataFrame) -> int | None:
+    """Rows of the Parquet files that a view reads, from their footers alone; None if it doesn't read Parquet files.
+
+    A filter or join of the view doesn't count, so this is an upper bound of a filtered table.
+    """
+    files = df.inputFiles()
+    if not files or not all(f.endswith(".parquet") for f in files):
+        return None
+    rows = df.sparkSession.read.parquet(*files).groupBy().agg(F.count("*").alias("n"))  # a count without columns is read from footers
+    return rows.first()["n"]
+
+
 def summary(surface_df: DataFrame) -> DataFrame:
     """Number of objects, and of those that can be selected, of each kind."""
     return surface_df.groupBy("kind").agg(F.count("*").alias("objects"), F.count_if("can_select").alias("selectable"))

@@ -16,12 +16,14 @@ from plumbline.sources.state import Store
 def start(stream: DataFrame, view: str, others: dict[str, DataFrame], checks: list[Check], store: Store, *, as_of: datetime, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Judges new rows of a view as they arrive.
 
-    A batch's run id follows from its number, and a run replaces its own parts, so a batch that is tried again after a
-    failure changes nothing twice. Findings of rows that aren't in a batch stay untouched.
+    A batch's run id follows from its number and from the id that the checkpoint gives the stream, so streams of one store
+    don't meet, and a batch that is tried again after a failure is a repeated run: it changes nothing twice. Findings of
+    rows that aren't in a batch stay untouched.
     """
 
     def judge(batch: DataFrame, number: int) -> None:
-        run(Source(batch.sparkSession, {view: batch} | others), store, checks, run_id=f"batch-{number}", as_of=as_of)
+        stream_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        run(Source(batch.sparkSession, {view: batch} | others), store, checks, run_id=f"stream-{stream_id}-{number}", as_of=as_of, trigger="stream")
 
     writer = stream.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -88,7 +88,7 @@ def test_indeterminacy_findings(spark):
     assert sorted(r["tri_state"] for r in execute.indeterminacy_findings(t).collect()) == ["fail", "pass"]
 
 
-@pytest.mark.parametrize("sql", ["DROP TABLE t__v", "SELECT 1; SELECT 2", "INSERT INTO t__v SELECT 1", "SELECT * FROM other", "SELECT * FROM t__v WHERE id IN (SELECT x FROM other)", "SELEC 1", "CREATE VIEW w AS SELECT 1"])
+@pytest.mark.parametrize("sql", ["DROP TABLE t__v", "SELECT 1; SELECT 2", "INSERT INTO t__v SELECT 1", "SELECT * FROM other", "SELECT * FROM t__v WHERE id IN (SELECT x FROM other)", "SELEC 1", "CREATE VIEW w AS SELECT 1", "SELECT o.x FROM (WITH secret AS (SELECT 1 AS y) SELECT y FROM secret) i, secret o", "SELECT * FROM range(3)", "SELECT reflect('java.lang.System', 'getProperty', 'user.name') FROM t__v", "SELECT id FROM t__v WHERE id IN (SELECT `java_method`('java.util.UUID', 'randomUUID'))", "WITH a AS (SELECT * FROM b), b AS (SELECT 1) SELECT * FROM a", "SELECT TRANSFORM(id) USING 'cat' FROM t__v", "SET x = 1", "FROM t__v SELECT TRANSFORM(id) USING 'cat'"])
 def test_guard_refuses(spark, tmp_path, sql):
     source = Source(spark, {"t.v": spark.range(3)}, sinks=[JsonlSink(str(tmp_path / "audit"))])
     with pytest.raises(GuardError):

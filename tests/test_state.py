@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from plumbline import checks
 from plumbline.functions.canonical import dedupe_key, key_json
 from plumbline.operators import calibration, feedback, findings
-from plumbline.operators.run import history, run
+from plumbline.operators.run import Plan, executions, history, run, runs
+from plumbline.sources import tables
 from plumbline.sources.guard import Source
 from plumbline.sources.state import Store
 from plumbline.streaming.checks import start
@@ -113,6 +114,82 @@ def test_runs_are_idempotent_and_skip_drift(spark, tmp_path):
     assert drifted.skipped_drift == {c.id: ["gone"] for c in chosen}
 
 
+def test_a_repeated_run_keeps_its_events(spark, tmp_path):
+    store, chosen = Store(spark, f"file://{tmp_path}/state"), [checks.load("appointment-completed-no-invoice"), checks.load("appointment-unknown-status")]
+    source = Source(spark, views(spark))
+    first = run(source, store, chosen, run_id="r1", as_of=NOW, trigger="nightly")
+    told = sorted(map(tuple, history(store).collect()), key=str)
+    assert len(told) == 3
+    run(source, store, chosen, run_id="r1", as_of=NOW)
+    assert sorted(map(tuple, history(store).collect()), key=str) == told and store.version("findings") == 1
+    one = runs(store).first()
+    assert (one["run_id"], one["trigger"], one["status"], one["checks"], one["errors"]) == ("r1", "nightly", "completed", 2, 0) and one["ended_at"] >= one["started_at"]
+    assert first.expensive()[0][0] == "clinic.appointments" and executions(store).where("duration_ms > 0 AND status = 'ok'").count() == 2
+
+
+@pytest.mark.parametrize("part", ["events", "findings", "ended"])
+def test_a_run_that_broke_off_is_taken_up(spark, tmp_path, monkeypatch, part):
+    root = f"file://{tmp_path}/state"
+    store, chosen, source = Store(spark, root), [checks.load("appointment-unknown-status")], Source(spark, views(spark))
+    write, append = Store.write, Store.append
+
+    def stopping(method):
+        def call(self, name, *rest, **more):
+            if name == part:
+                raise RuntimeError("the machine is gone")
+            return method(self, name, *rest, **more)
+
+        return call
+
+    monkeypatch.setattr(Store, "write", stopping(write))
+    monkeypatch.setattr(Store, "append", stopping(append))
+    with pytest.raises(RuntimeError):
+        run(source, store, chosen, run_id="r1", as_of=NOW)
+    assert runs(store).first()["status"] == "running"
+    monkeypatch.undo()
+    assert run(source, store, chosen, run_id="r1", as_of=NOW).stats["created"] == 2
+    assert store.version("findings") == 1 and history(store).count() == 2 and runs(store).first()["status"] == "completed"
+
+
+def test_plans_of_views(spark, tmp_path):
+    store, check = Store(spark, f"file://{tmp_path}/state"), checks.load("appointment-unknown-status")
+    source, view = Source(spark, views(spark)), "clinic.appointments"
+    r = run(source, store, [check], run_id="r1", as_of=NOW, plans={view: Plan(trailing_column="schedule_date", trailing_days=3650, hot=True)})
+    assert r.strategies == {view: "trailing"} and r.executions[0]["n_examined"] == 2 and len(r.asks) == 1 and "Ask: clinic.appointments" in r.markdown()
+    assert run(source, store, [check], run_id="r2", as_of=NOW, plans={view: Plan(trailing_column="schedule_date", trailing_days=1)}).executions == []
+    keyed = {view: Plan(key=("id",))}
+    assert run(source, store, [check], run_id="r3", as_of=NOW, plans=keyed).strategies == {view: "full_scan"}
+    assert run(source, store, [check], run_id="r4", as_of=NOW, plans=keyed).strategies == {view: "unchanged"}
+    fewer = Source(spark, views(spark) | {view: views(spark)[view].limit(1)})
+    assert run(fewer, store, [check], run_id="r5", as_of=NOW, plans=keyed).strategies == {view: "full_scan"}
+
+
+def test_scans_that_take_too_long(spark, tmp_path, monkeypatch):
+    source = Source(spark, views(spark))
+    long = spark.range(0, 1 << 40, 1, 4).selectExpr("hash(id) % 9 AS k").groupBy("k").count()
+    assert source.within(1, long.collect) is None and source.within(60, spark.range(5).count) == 5
+    assert tables.counted(source, "clinic.appointments", 60) == (2, "exact")
+    spark.range(7).write.parquet(f"{tmp_path}/t")
+    assert tables.footer_rows(spark.read.parquet(f"{tmp_path}/t")) == 7 and tables.footer_rows(spark.range(7).toDF("id")) is None
+    monkeypatch.setattr(Source, "within", lambda self, seconds, job: None)
+    filed = Source(spark, {"t.v": spark.read.parquet(f"{tmp_path}/t")})
+    assert tables.counted(filed, "t.v", 1) == (7, "approximate") and tables.counted(source, "clinic.appointments", 1) == (None, "indeterminate")
+    r = run(source, Store(spark, f"file://{tmp_path}/state"), [checks.load("appointment-unknown-status")], run_id="r1", as_of=NOW, timeout_s=2)
+    assert r.status == "completed_with_errors" and "took more than" in r.errors["appointment-unknown-status"]
+
+
+def test_one_writer_gets_a_version(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    assert store._claim(f"{store.root}/t/_claims/1") and not store._claim(f"{store.root}/t/_claims/1")
+    assert store.write("t", spark.range(1)) == 2 and store.version("t") == 2
+
+
+def test_dismissals_of_events(spark):
+    events = spark.createDataFrame([("c", "k1", "dismissed", "not_genuine", NOW, "r1"), ("c", "k1", "created", None, NOW, "r0"), ("c", "k2", "dismissed", None, NOW, "r1")], "check_id string, dedupe_key string, event string, reason_code string, occurred_at timestamp_ntz, run_id string")
+    known = spark.createDataFrame([("c", "k1", "7"), ("c", "k2", "8")], "check_id string, dedupe_key string, practice_id string")
+    assert [tuple(r)[:3] for r in calibration.dismissals(events, known).collect()] == [("7", "c", "not_genuine")]
+
+
 def test_watermarked_views_advance(spark, tmp_path):
     store, check = Store(spark, f"file://{tmp_path}/state"), checks.load("appointment-unknown-status")
     source = Source(spark, views(spark))
