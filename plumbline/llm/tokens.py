@@ -23,7 +23,7 @@ from plumbline.llm.common import arrow_map, slices  # noqa: E402
 SLICE = AT_ONCE = 2_000_000
 WHOLE = 1_000_000
 #: What a worker remembers: pieces, their ids in total, and the bytes of the longest piece.
-HELD, HELD_IDS, LONGEST = 300_000, 2_000_000, 64
+HELD, HELD_IDS, LONGEST = 500_000, 4_000_000, 64
 #: Bytes of new pieces encoded as one string.
 JOINED = 1 << 14
 _encoders: dict[str, Encoder] = {}
