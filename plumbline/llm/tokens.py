@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -191,7 +192,7 @@ class Encoder:
             held += len(part)
             if held >= WHOLE or k == len(parts) - 1:
                 for (i, shift), e in zip(of[at : k + 1], self.tokenizer.encode_batch(parts[at : k + 1], add_special_tokens=False)):
-                    out[i].append(np.array(e.offsets, np.int64).reshape(-1, 2) + shift)
+                    out[i].append(np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(e)).reshape(-1, 2) + shift)
                 held, at = 0, k + 1
         return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
 
