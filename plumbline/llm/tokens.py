@@ -15,7 +15,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core;
 
 from pyspark.sql import DataFrame  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
-from tokenizers import Tokenizer  # noqa: E402
+from tokenizers import Encoding, Tokenizer  # noqa: E402
 
 from plumbline.llm.common import arrow_map, slices  # noqa: E402
 
@@ -57,6 +57,7 @@ class Encoder:
         byte_level = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space")
         self.by_piece = byte_level and pre.get("use_regex", True) and not any(a["lstrip"] or a["rstrip"] or " " in a["content"] for a in spec["added_tokens"])
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.tiling = self.by_piece and spec.get("post_processor") is None
         self.lengths = self._byte_lengths() if self.by_piece else None
         self._forget()
 
@@ -169,7 +170,7 @@ class Encoder:
         self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(n[short])))
 
     def spans(self, texts: list[str]) -> list[np.ndarray]:
-        """(tokens, 2): start and end of each token of each text in code points, as the tokenizer says.
+        """(tokens, 2): start and end of each token of each text in code points, the tokenizer's offsets.
 
         Whole texts are encoded; one of more than WHOLE bytes by parts of whole pieces, which gives the same tokens.
         """
@@ -191,11 +192,38 @@ class Encoder:
         for k, part in enumerate(parts):  # as many at once as a slice holds
             held += len(part)
             if held >= WHOLE or k == len(parts) - 1:
-                for (i, shift), e in zip(of[at : k + 1], self.tokenizer.encode_batch(parts[at : k + 1], add_special_tokens=False)):
-                    out[i].append(np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(e)).reshape(-1, 2) + shift)
+                for (i, shift), found in zip(of[at : k + 1], self._offsets(parts[at : k + 1])):
+                    out[i].append(found + shift)
                 held, at = 0, k + 1
         return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
 
+    def _offsets(self, texts: list[str]) -> list[np.ndarray]:
+        """The tokenizer's offsets of each text, (tokens, 2).
+
+        The tokens of a byte-level tokenizer without a post-processor tile the text's bytes, so the bytes that each id
+        stands for say where its token is, and a token of part of a character has that character's offsets. Where the bytes
+        don't add up to the text's, and with other tokenizers, the library is asked for offsets.
+        """
+        if not self.tiling:
+            return [self._asked(e) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        out = []
+        for text, e in zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            edge = np.zeros(len(e) + 1, np.int64)
+            np.cumsum(self.lengths[np.array(e.ids, np.int64)], out=edge[1:])
+            b = np.frombuffer(text.encode(), np.uint8)
+            if edge[-1] != len(b):
+                out.append(self._asked(self.tokenizer.encode(text, add_special_tokens=False)))
+            elif len(b) == len(text):
+                out.append(np.stack((edge[:-1], edge[1:]), axis=1))
+            else:
+                of = np.cumsum((b & 0xC0) != 0x80) - 1  # the code point of each byte
+                out.append(np.stack((of[edge[:-1]], of[edge[1:] - 1] + 1), axis=1))
+        return out
+
+    @staticmethod
+    def _asked(e: Encoding) -> np.ndarray:
+        return np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(e)).reshape(-1, 2)
+
 
 def attribute(starts: np.ndarray, ends: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """Tokens that each section gets; sections run from one cut to the next, tokens are in ascending order.

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -82,6 +83,24 @@ def test_spans_are_those_of_the_tokenizer(plain, monkeypatch):
         assert [list(map(tuple, x.tolist())) for x in tokens.Encoder(PATH).spans(texts)] == want
 
 
+def test_spans_of_all_documents_are_those_of_the_tokenizer(plain):
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    for text, got in zip(texts, tokens.Encoder(PATH).spans(texts)):
+        assert list(map(tuple, got.tolist())) == plain.encode(text, add_special_tokens=False).offsets
+
+
+def test_bytes_that_do_not_add_up_are_asked_for(plain):
+    e = tokens.Encoder(PATH)
+    e.lengths = e.lengths + 1
+    assert [list(map(tuple, x.tolist())) for x in e.spans(["one two é", ""])] == [plain.encode("one two é", add_special_tokens=False).offsets, []]
+
+
+def test_spans_of_other_tokenizers():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    assert [list(map(tuple, x.tolist())) for x in tokens.Encoder(path).spans(["Some Words é here"])] == [t.encode("Some Words é here", add_special_tokens=False).offsets]
+
+
 def test_other_tokenizers_encode_in_one_go():
     path = public_tokenizers.path("word_bpe_49k.json")
     e, t = tokens.Encoder(path), Tokenizer.from_file(path)
