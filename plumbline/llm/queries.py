@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import chat, decontaminate, langid, media, mixing, sharding, simhash, substrings, tokenfile, tokens
+from plumbline.llm import chat, codes, decontaminate, langid, media, mixing, search, sharding, simhash, substrings, tokenfile, tokens, warc
 
 
 #: The tokenizer of the registered queries; every operator takes its path as a parameter.
@@ -58,6 +58,18 @@ def op10_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op10(_table(spark, sf_dir, "documents"))
 
 
+def op11_maxscore_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.op11(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.op12(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op13(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_attribution": op1_token_attribution,
     "op2_simhash_near_dup": op2_simhash_near_dup,
@@ -69,9 +81,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_prefix_targets": op8_prefix_targets,
     "op9_minimax_shards": op9_minimax_shards,
     "op10_crf_language": op10_crf_language,
+    "op11_maxscore_search": op11_maxscore_search,
+    "op12_product_codes": op12_product_codes,
+    "op13_warc_archives": op13_warc_archives,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_systematic_mix": mixing.OP6_SQL,
     "op8_prefix_targets": chat.OP8_SQL,
+    "op11_maxscore_search": search.OP11_SQL,
+    "op12_product_codes": codes.OP12_SQL,
+    "op13_warc_archives": warc.OP13_SQL,
 }

@@ -48,6 +48,6 @@ def test_stages_against_brute_force(spark, folder):
 
 def test_registered():
     names = driver.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in queries.QUERIES} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in queries.QUERIES} and "pipeline" in names
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
     assert 4 <= len(corpus_pipeline.STAGES) <= 5 and all(hasattr(m, "__doc__") for m in (decontaminate, langid, mixing, simhash))
