@@ -50,6 +50,13 @@ def relevant(rows: DataFrame, findings: DataFrame) -> DataFrame:
     return kept.withColumn("evidence", F.when(fail, F.col("evidence"))).drop("_check", "_key", "_active")
 
 
+def relevant_of_written(rows: DataFrame, findings: DataFrame) -> DataFrame:
+    """As relevant, of a written table: fails are read without a join, and passes meet the active findings in a semi-join."""
+    active = findings.where(F.col("status").isin(*ACTIVE)).select("check_id", "entity_key").distinct()
+    passes = rows.where("tri_state = 'pass'").join(active, ["check_id", "entity_key"], "left_semi")
+    return rows.where("tri_state = 'fail'").unionByName(passes)
+
+
 def transitions(rows: DataFrame, findings: DataFrame, run_id: str, *, auto_resolve: bool = True) -> DataFrame:
     """Each finding or new row, with its old and new state, event and stat (null: nothing happens)."""
     r, f = collapsed(rows).alias("r"), findings.alias("f")

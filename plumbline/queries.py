@@ -146,10 +146,17 @@ def q_bounded_window(spark, sf_dir):
     return _events(spark, sf_dir, execute.trailing("ts", EVENTS_AS_OF, 10))
 
 
-def _events(spark, sf_dir, window):
-    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("practice"), "value", "ts")
+def _event_view(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("practice"), "value", "ts")
+
+
+def _event_check():
     doc = {"id": "event-high-value", "title": "t", "category": "workflow", "default_severity": "low", "entity": {"view": "app.events", "key": ["id"], "practice_column": "practice", "base_filters": []}, "params": {}, "prerequisites": [], "predicate": "value > 50", "evidence": ["id"], "actions": ["correct-record"], "resolution": "r"}
-    return execute.execute(Source(spark, {"app.events": events}), from_dict(doc), as_of=EVENTS_AS_OF, window=window)
+    return from_dict(doc)
+
+
+def _events(spark, sf_dir, window):
+    return execute.execute(Source(spark, {"app.events": _event_view(spark, sf_dir)}), _event_check(), as_of=EVENTS_AS_OF, window=window)
 
 
 ALL_CHECKS = ("appointment-completed-no-invoice", "appointment-unknown-status", "invoice-negative-total", "patient-active-missing-nhi", "patient-no-recent-appointment")
@@ -258,6 +265,52 @@ def q_repeated_run_events(spark, sf_dir):
     return history(store).where(F.col("check_id") == check.id).select("dedupe_key", "event")
 
 
+class _Breaking(Store):
+    """A store whose machine goes away as the findings are to be written."""
+
+    def write(self, name, df, *rest, **more):
+        if name == "findings":
+            raise RuntimeError("the machine is gone")
+        return super().write(name, df, *rest, **more)
+
+
+@query(f"""{TWO_SQL} SELECT {KEY_SQL} AS dedupe_key, CASE WHEN s1 = 'pass' THEN 'resolved_system' ELSE 'open' END AS status, CASE WHEN s2 = 'fail' THEN 'b' ELSE 'a' END AS first_seen_run,
+  CASE WHEN s1 = 'indeterminate' THEN 'b' ELSE 'a' END AS last_seen_run, CASE WHEN s2 = 'fail' AND s1 <> 'indeterminate' THEN 2 ELSE 1 END AS events
+  FROM both_runs WHERE s1 = 'fail' OR s2 = 'fail'""", *A_VIEWS)
+def q_interleaved_runs(spark, sf_dir):
+    """The findings, with the number of their events, of a run that broke off before another one and was then taken up."""
+    check = checks.load("appointment-completed-no-invoice")
+    source, root = Source(spark, views(spark, sf_dir, *check.views)), _scratch(spark)
+    broken, later = {"run_id": "a", "as_of": datetime(1998, 12, 31)}, {"run_id": "b", "as_of": AS_OF, "params": {check.id: {"invoice_lag_days": 1500}}}
+    try:
+        run(source, _Breaking(spark, root), [check], **broken)
+    except RuntimeError:
+        pass
+    store = Store(spark, root)
+    run(source, store, [check], **later)
+    run(source, store, [check], **broken)
+    told = history(store).groupBy("check_id", "dedupe_key").agg(F.count("*").cast("int").alias("events"))
+    found = store.read("findings", findings.FINDINGS).where(F.col("check_id") == check.id)
+    return found.join(told, ["check_id", "dedupe_key"]).select("dedupe_key", "status", "first_seen_run", "last_seen_run", "events")
+
+
+class _Late(Source):
+    """A source whose scans take too long."""
+
+    def within(self, seconds, job):
+        return None
+
+
+@query("""SELECT sha256('event-high-value:{"id":' || event_id || '}') AS dedupe_key, 'r2' AS first_seen_run FROM events WHERE value > 50 AND ts <= TIMESTAMP '2024-01-20'""")
+def q_retried_scan(spark, sf_dir):
+    """The findings of an incremental run behind one whose scan took too long: they begin where the last judged rows end."""
+    check, seen = _event_check(), {"app.events": _event_view(spark, sf_dir)}
+    store, options = Store(spark, _scratch(spark)), {"watermarks": {"app.events": "ts"}, "lookback": execute.timedelta(0)}
+    run(_Late(spark, seen), store, [check], run_id="r1", as_of=datetime(2024, 1, 10), timeout_s=1, **options)
+    run(Source(spark, seen), store, [check], run_id="r2", as_of=datetime(2024, 1, 20), **options)
+    return store.read("findings", findings.FINDINGS).where(F.col("check_id") == check.id).select("dedupe_key", "first_seen_run")
+
+
 def _scratch(spark):
     """A new folder for state, below the shared folder if there is one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
