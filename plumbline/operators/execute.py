@@ -32,29 +32,33 @@ def bound(check: Check, params: dict[str, Any] | None, as_of: datetime) -> dict[
 
 @dataclass(frozen=True)
 class Window:
-    """Rows of an increment: after from_ts (None: from the start), up to to_ts."""
+    """Rows of an increment: after from_ts (None: from the start), up to to_ts.
+
+    full_partition: duplicates are looked for in the whole view, not only among these rows.
+    """
 
     column: str
     from_ts: datetime | None
     to_ts: datetime
+    full_partition: bool = False
 
     def args(self) -> dict[str, str | None]:
         return {"wm_from": self.from_ts.isoformat(sep=" ") if self.from_ts else None, "wm_to": self.to_ts.isoformat(sep=" ")}
 
 
-def increment(column: str, high: datetime | None, now: datetime, lookback: timedelta = timedelta(0)) -> Window:
+def increment(column: str, high: datetime | None, now: datetime, lookback: timedelta = timedelta(0), full_partition: bool = False) -> Window:
     """From a stored high-water mark less a lookback to now; the first run is unbounded below."""
-    return Window(column, None if high is None else high - lookback, now)
+    return Window(column, None if high is None else high - lookback, now, full_partition)
 
 
-def trailing(column: str, now: datetime, days: int = 30) -> Window:
+def trailing(column: str, now: datetime, days: int = 30, full_partition: bool = False) -> Window:
     """The last so many days."""
-    return Window(column, now - timedelta(days=days), now)
+    return Window(column, now - timedelta(days=days), now, full_partition)
 
 
 def execute(source: Source, check: Check, *, as_of: datetime, params: dict[str, Any] | None = None, window: Window | None = None, practice_id: Any = None, run_id: str | None = None) -> DataFrame:
     """Judged rows: key and practice columns, tri_state, other evidence. Without practice_id, all practices' rows."""
-    compiled = compile_check(check, watermark=window.column if window else None, practice_scope=practice_id is not None)
+    compiled = compile_check(check, watermark=window.column if window else None, practice_scope=practice_id is not None, full_partition=bool(window and window.full_partition))
     args = bound(check, params, as_of) | (window.args() if window else {}) | ({} if practice_id is None else {"practice_id": practice_id})
     return source.execute(compiled.sql, args, run_id=run_id)
 
@@ -69,7 +73,7 @@ def run_rows(source: Source, checks: list[Check], *, as_of: datetime, params: di
         window = (windows or {}).get(view)
         args = {f"{n}__{k}": v for n, c in enumerate(own) for k, v in bound(c, (params or {}).get(c.id), as_of).items() if k != "as_of"}
         args |= {"as_of": as_of.isoformat(sep=" ")} | (window.args() if window else {})
-        one = source.execute(compile_fused(own, watermark=window.column if window else None, slim=slim), args, run_id=run_id)
+        one = source.execute(compile_fused(own, watermark=window.column if window else None, slim=slim, full_partition=bool(window and window.full_partition)), args, run_id=run_id)
         out = one if out is None else out.unionByName(one)
     return out
 

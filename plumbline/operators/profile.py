@@ -111,9 +111,12 @@ def frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(pairs.alias("p")).groupBy("p.column_name", "p.value").agg(F.count("*").alias("frequency"))
 
 
-def distinct_counts(freq: DataFrame) -> DataFrame:
-    """(column_name, distinct_count), nulls not counted."""
-    return freq.groupBy("column_name").agg(F.count("value").alias("distinct_count"))
+def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, distinct_count), nulls not counted; values are told apart by 128 bits, and these alone are shuffled."""
+    each = F.array(*(F.struct(F.lit(i).alias("k"), F.xxhash64(F.col(f"`{c}`")).alias("a"), F.xxhash64(F.lit(i), F.col(f"`{c}`")).alias("b"), F.col(f"`{c}`").isNotNull().alias("there")) for i, c in enumerate(columns)))
+    counts = df.select(F.inline(each)).where("there").groupBy("k", "a", "b").agg(F.lit(1)).groupBy("k").agg(F.count("*").alias("distinct_count"))
+    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "k int, column_name string")
+    return names.join(counts, "k", "left").select("column_name", F.coalesce("distinct_count", F.lit(0)).alias("distinct_count"))
 
 
 def top_values(freq: DataFrame, k: int = TOP_K, least: Column | None = None) -> DataFrame:
@@ -165,7 +168,8 @@ def profile(df: DataFrame) -> DataFrame:
     """column_stats with distinct counts and classes."""
     stats = column_stats(df)
     counted = [f.name for f in df.schema.fields if family(f.dataType) != "other"]
-    return classified(stats.join(distinct_counts(frequencies(df, counted)), "column_name", "left"))
+    joined = stats.join(distinct_counts(df, counted), "column_name", "left")
+    return classified(joined.withColumn("distinct_count", F.when(F.col("rows") > 0, F.col("distinct_count"))))
 
 
 def candidate_keys(stats: DataFrame) -> DataFrame:

@@ -43,13 +43,15 @@ SHOWN, KEPT = 1000, 5
 @dataclass(frozen=True)
 class Plan:
     """How a view is read. column: a watermark, read from the stored mark on; else the last trailing_days by trailing_column,
-    else everything. key: skip the view as long as its set of keys stays as it was. hot: it changes all the time."""
+    else everything. key: skip the view as long as its set of keys stays as it was. hot: it changes all the time. full_partition: rows that are
+    read in part look for duplicates in the whole view."""
 
     column: str | None = None
     trailing_column: str | None = None
     trailing_days: int = 30
     key: tuple[str, ...] = ()
     hot: bool = False
+    full_partition: bool = False
 
 
 @dataclass
@@ -176,10 +178,10 @@ def _windows(source: Source, store: Store, ready: list[Check], plans: dict[str,
         report.strategies[view] = "full_scan"
         if plan.column and timeless:
             report.strategies[view] = "increment"
-            windows[view] = execute.increment(plan.column, marks.get((view, plan.column)), as_of, lookback)
+            windows[view] = execute.increment(plan.column, marks.get((view, plan.column)), as_of, lookback, plan.full_partition)
         elif plan.trailing_column:
             report.strategies[view] = "trailing"
-            windows[view] = execute.trailing(plan.trailing_column, as_of, plan.trailing_days)
+            windows[view] = execute.trailing(plan.trailing_column, as_of, plan.trailing_days, plan.full_partition)
         elif plan.key:
             hashes[view] = execute.key_set_hash(source.views[view].select(F.to_json(F.struct(*sorted(plan.key))).alias("entity_key"))).first()["hash"]
             if timeless and not execute.key_set_changed(known.get(view), hashes[view]):

@@ -7,6 +7,7 @@ existence join although the outcome looks at the predicate twice.
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass
 from typing import Any
 
@@ -66,6 +67,35 @@ def condition(node: Any, check: Check) -> str:
     return "(" + {"all": " AND ", "any": " OR "}[node.kind].join(condition(c, check) for c in node.children) + ")"
 
 
+#: How many rows share some columns, counted over all rows that are read.
+_SHARED = re.compile(r"\bCOUNT\s*\(\s*\*\s*\)\s+OVER\s*\(\s*PARTITION\s+BY\s+([^()]+?)\s*\)", re.IGNORECASE)
+
+
+def _counted(sql: str, check: Check, where: list[str], joins: dict[str, tuple[str, str]]) -> str:
+    """A condition whose counts over partitions are looked up: keys of several rows are counted first, and only these join.
+
+    Counts combine before the shuffle, and a key has one row on the joined side, so a key of very many rows doesn't meet
+    in one task. joins gets each subquery with its alias and condition. A partition with an order stays a window.
+    """
+
+    def looked_up(m: re.Match) -> str:
+        if re.search(r"\bORDER\s+BY\b", m[1], re.IGNORECASE):
+            return m[0]
+        keys = [k.strip() for k in m[1].split(",")]
+        named = ", ".join(f"{k} AS __k{i}" for i, k in enumerate(keys))
+        kept = f" WHERE {' AND '.join(where)}" if where else ""
+        inner = f"SELECT {named}, COUNT(*) AS __n FROM {table(check.view)} AS `{check.view}`{kept} GROUP BY {', '.join(keys)} HAVING COUNT(*) > 1"
+        alias = next((a for a, (i, _) in joins.items() if i == inner), f"__d{len(joins)}")
+        joins[alias] = (inner, " AND ".join(f"{k} <=> {alias}.__k{i}" for i, k in enumerate(keys)))
+        return f"coalesce({alias}.__n, 1)"
+
+    return _SHARED.sub(looked_up, sql)
+
+
+def _joined(joins: dict[str, tuple[str, str]]) -> str:
+    return "".join(f" LEFT JOIN ({inner}) AS {alias} ON {on}" for alias, (inner, on) in joins.items())
+
+
 def _ready(check: Check) -> str:
     return " AND ".join(f"({spark_sql(p, check.views, arrays(check))})" for p in check.prerequisites) or "1 = 1"
 
@@ -85,10 +115,11 @@ def projected(check: Check) -> tuple[list[str], list[str]]:
     return head, [c for c in dict.fromkeys(check.evidence) if c not in head]
 
 
-def compile_check(check: Check, *, watermark: str | None = None, practice_scope: bool = False) -> Compiled:
+def compile_check(check: Check, *, watermark: str | None = None, practice_scope: bool = False, full_partition: bool = False) -> Compiled:
     """The statement that judges each row of a check's view.
 
     watermark: a time column; rows outside (:wm_from, :wm_to] are left out. practice_scope: only :practice_id's rows.
+    full_partition: rows that share columns are counted over the whole view, not only over the rows that are judged.
     """
     head, tail = projected(check)
     filters = _kept(check, watermark, practice_scope)
@@ -96,21 +127,26 @@ def compile_check(check: Check, *, watermark: str | None = None, practice_scope:
     names = ", ".join(f"`{c}`" for c in head)
     rest = "".join(f", `{c}`" for c in tail)
     inner = "".join(f"`{check.view}`.`{c}`, " for c in (*head, *tail))
-    sql = f"SELECT {names}, {OUTCOME} AS tri_state{rest}\nFROM (\n  SELECT {inner}({_ready(check)}) AS __ready, {condition(check.predicate, check)} AS __failed\n  FROM {table(check.view)} AS `{check.view}`{where}\n)"
+    joins: dict[str, tuple[str, str]] = {}
+    counted_over = _kept(check, None, False) if full_partition else filters
+    ready, failed = (_counted(x, check, counted_over, joins) for x in (_ready(check), condition(check.predicate, check)))
+    sql = f"SELECT {names}, {OUTCOME} AS tri_state{rest}\nFROM (\n  SELECT {inner}({ready}) AS __ready, {failed} AS __failed\n  FROM {table(check.view)} AS `{check.view}`{_joined(joins)}{where}\n)"
     return Compiled(check, sql, hashlib.sha256(sql.encode()).hexdigest(), params_of(check))
 
 
-def compile_fused(checks: list[Check], *, watermark: str | None = None, slim: bool = False) -> str:
+def compile_fused(checks: list[Check], *, watermark: str | None = None, slim: bool = False, full_partition: bool = False) -> str:
     """One statement for checks of one view: a row for each check and row that its base filters keep.
 
     The view is scanned once, and rows that no check's base filters keep are left out by the scan. Equal EXISTS clauses
     are computed once, as are equal base filters. Columns: check_id, practice_id, entity_key (canonical JSON), tri_state,
     evidence (JSON); slim: without key and evidence, for tallies. Parameters are named <number of the check>__<name>.
+    full_partition as in compile_check.
     """
     view = checks[0].view
     if any(c.view != view for c in checks):
         raise CheckError("fused checks share their view")
     clauses: dict[str, str] = {}
+    joins: dict[str, tuple[str, str]] = {}
     parts, filters = [], []
     for n, check in enumerate(checks):
         head, tail = projected(check)
@@ -124,7 +160,8 @@ def compile_fused(checks: list[Check], *, watermark: str | None = None, slim: bo
             return clauses.setdefault(sql, f"__c{len(clauses)}")
 
         filters.append(own(" AND ".join(_kept(check, None, False))))
-        ready, failed = (name(own(s)) for s in (_ready(check), condition(check.predicate, check)))
+        counted_over = [own(f) for f in _kept(check, None if full_partition else watermark, False)]
+        ready, failed = (name(_counted(own(s), check, counted_over, joins)) for s in (_ready(check), condition(check.predicate, check)))
         kept = name(filters[-1]) if filters[-1] and len(checks) > 1 else None
         key = ", ".join(f"'{c}', `{c}`" for c in sorted(check.key))
         evidence = ", ".join(f"'{c}', `{c}`" for c in (*head, *tail))
@@ -138,5 +175,5 @@ def compile_fused(checks: list[Check], *, watermark: str | None = None, slim: bo
         scans.append("(" + " OR ".join(dict.fromkeys(f"({f})" for f in filters)) + ")")
     scan = " AND ".join(scans)
     shown = ", ".join(f"({sql}) AS {alias}" for sql, alias in clauses.items())
-    inner = f"SELECT {columns}, {shown} FROM {table(view)} AS `{view}`" + (f" WHERE {scan}" if scan else "")
+    inner = f"SELECT {columns}, {shown} FROM {table(view)} AS `{view}`{_joined(joins)}" + (f" WHERE {scan}" if scan else "")
     return f"SELECT inline(filter(array({', '.join(parts)}), x -> x IS NOT NULL)) FROM ({inner})"

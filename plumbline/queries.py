@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import checks
-from plumbline.operators import calibration, dashboard, execute, feedback, findings, narrate, profile, reconcile, registry
+from plumbline.operators import calibration, dashboard, execute, feedback, findings, narrate, profile, reconcile, registry, sketches
 from plumbline.operators.run import history, run
 from plumbline.plans.document import from_dict
 from plumbline.sources import documents, tables
@@ -136,6 +136,16 @@ def q_duplicate(spark, sf_dir):
     return _judged(spark, sf_dir, "invoice-line-duplicate")
 
 
+INCREMENT = (datetime(1998, 1, 1), datetime(1998, 3, 1))
+
+
+@query("""SELECT appointment, line, part, supplier, CASE WHEN (SELECT count(*) FROM invoices o WHERE o.appointment = i.appointment AND o.line = i.line) > 1 THEN 'fail' ELSE 'pass' END AS tri_state
+  FROM invoices i WHERE invoice_date > TIMESTAMP '1998-01-01' AND invoice_date <= TIMESTAMP '1998-03-01'""", "clinic.invoices")
+def q_duplicate_increment(spark, sf_dir):
+    """Duplicates of an increment's rows, wherever in the view the other row stands."""
+    return _judged(spark, sf_dir, "invoice-line-duplicate", window=execute.Window("invoice_date", *INCREMENT, full_partition=True))
+
+
 @query("SELECT event_id AS id, user_id AS practice, " + TRI.format("true") + " AS tri_state FROM (SELECT *, value > 50 AS p FROM events WHERE ts > TIMESTAMP '2024-01-10' - INTERVAL 2 DAY AND ts <= TIMESTAMP '2024-01-20')")
 def q_watermark_scan(spark, sf_dir):
     return _events(spark, sf_dir, execute.increment("ts", datetime(2024, 1, 10), datetime(2024, 1, 20), execute.timedelta(days=2)))
@@ -463,7 +473,30 @@ def q_topk_floor(spark, sf_dir):
 
 @query("SELECT 'visitid' AS column_name, visitid::VARCHAR AS value, count(*) AS frequency, (SELECT count(*) FROM sentinels) AS rows FROM sentinels GROUP BY visitid HAVING count(*) >= 0.05 * (SELECT count(*) FROM sentinels) ORDER BY frequency DESC LIMIT 1", "clinic.sentinels")
 def q_key_sentinel(spark, sf_dir):
-    return profile.key_sentinel(profile.frequencies(view(spark, sf_dir, "clinic.sentinels"), ["visitid"]))
+    return sketches.key_sentinel(view(spark, sf_dir, "clinic.sentinels"), ["visitid"])
+
+
+RARE_SQL = "SELECT '{0}' AS column_name, {0}::VARCHAR AS value, count(*) AS frequency, row_number() OVER (ORDER BY count(*) DESC, {0}::VARCHAR NULLS FIRST) AS rank FROM {1} GROUP BY {0} HAVING count(*) >= greatest(0.001 * (SELECT count(*) FROM {1}), 50)"
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({RARE_SQL.format(c, 'lineitem')}) WHERE rank <= 20" for c in ("l_orderkey", "l_suppkey", "l_returnflag", "l_linenumber", "l_shipdate")))
+def q_topk_rare(spark, sf_dir):
+    """What a profile shows of columns, unique ones too: values that enough rows have."""
+    df = table(spark, sf_dir, "lineitem")
+    found = sketches.heavy_values(df, ["l_orderkey", "l_suppkey", "l_returnflag", "l_linenumber", "l_shipdate"])
+    return profile.top_values(found.where(F.col("frequency") >= profile.rare_floor(df.count())).drop("rows"))
+
+
+@query("""SELECT column_name, (SELECT count(*) FROM lineitem) AS rows, 0::BIGINT AS null_count, least, most, true AS close FROM (
+  SELECT 'l_orderkey' AS column_name, min(l_orderkey)::VARCHAR AS least, max(l_orderkey)::VARCHAR AS most FROM lineitem UNION ALL SELECT 'l_partkey', min(l_partkey)::VARCHAR, max(l_partkey)::VARCHAR FROM lineitem
+  UNION ALL SELECT 'l_suppkey', min(l_suppkey)::VARCHAR, max(l_suppkey)::VARCHAR FROM lineitem UNION ALL SELECT 'l_returnflag', min(l_returnflag), max(l_returnflag) FROM lineitem UNION ALL SELECT 'l_shipdate', min(l_shipdate)::VARCHAR, max(l_shipdate)::VARCHAR FROM lineitem)""")
+def q_profile_approximate(spark, sf_dir):
+    """A profile for which the exact count had no time: distinct counts are within five hundredths of the true ones."""
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate")
+    found, status = sketches.profile_within(Source(spark, {"app.lineitem": df}), "app.lineitem", 600, Store(spark, _scratch(spark)), "r1", exact=False)
+    true = profile.distinct_counts(df, df.columns).withColumnRenamed("distinct_count", "true_count")
+    close = (F.abs(F.col("distinct_count") - F.col("true_count")) <= 0.05 * F.col("true_count")) & F.lit(status == "approximate")
+    return found.join(true, "column_name").select("column_name", "rows", "null_count", F.col("min_value").alias("least"), F.col("max_value").alias("most"), close.alias("close"))
 
 
 @query("SELECT count(*) AS n, sum(l_orderkey)::BIGINT AS total FROM lineitem WHERE l_orderkey % 10 = 0")
@@ -519,6 +552,27 @@ def q_containments(spark, sf_dir):
     return found.select(F.concat_ws(".", "view_a", "column_a").alias("a"), F.concat_ws(".", "view_b", "column_b").alias("b"), "distinct_a", "distinct_b", "common")
 
 
+RELATED = {"customer": ["c_custkey", "c_nationkey", "c_name"], "orders": ["o_orderkey", "o_custkey"], "nation": ["n_nationkey", "n_name"], "supplier": ["s_suppkey", "s_name"], "lineitem": ["l_orderkey", "l_partkey"]}
+RELATED_PAIRS = [("orders", "o_custkey", "customer", "c_custkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("customer", "c_name", "supplier", "s_name"), ("nation", "n_name", "customer", "c_name"), ("supplier", "s_suppkey", "lineitem", "l_partkey")]
+
+
+def _related_sql(a: str, x: str, b: str, y: str) -> str:
+    return f"""SELECT '{a}.{x}' AS a, '{b}.{y}' AS b, (SELECT count(DISTINCT {x}) FROM {a}) AS distinct_a, (SELECT count(DISTINCT {y}) FROM {b}) AS distinct_b,
+  (SELECT count(*) FROM (SELECT {x} FROM {a} INTERSECT SELECT {y} FROM {b})) AS common"""
+
+
+@query("WITH r AS (" + " UNION ALL ".join(_related_sql(*p) for p in RELATED_PAIRS) + """)
+  SELECT a, b, CASE WHEN related THEN common END AS common, related, true AS within_bound FROM (SELECT *, common >= 0.5 * least(distinct_a, distinct_b) AS related FROM r)""")
+def q_containment_budget(spark, sf_dir):
+    """Relationships by sketches, counted exactly where half of a column's values may be in the other one."""
+    source = Source(spark, {t: table(spark, sf_dir, t).select(*cs) for t, cs in RELATED.items()})
+    found = sketches.containments_within(source, RELATED_PAIRS, 600, Store(spark, _scratch(spark)), "r1", lg_k=10)
+    true = profile.containments(source.views, RELATED_PAIRS).select("view_a", "column_a", "view_b", "column_b", F.col("common").alias("true_common"))
+    both = found.join(true, ["view_a", "column_a", "view_b", "column_b"])
+    related = (F.col("status") == "exact") & (F.col("common") >= 0.5 * F.least("distinct_a", "distinct_b"))
+    return both.select(F.concat_ws(".", "view_a", "column_a").alias("a"), F.concat_ws(".", "view_b", "column_b").alias("b"), F.when(related, F.col("common")).alias("common"), related.alias("related"), (F.abs(F.col("common") - F.col("true_common")) <= F.col("bound")).alias("within_bound"))
+
+
 @query("SELECT 'ts' AS column_name, count(*) - count(ts) AS null_count, true AS fit, CAST(NULL AS VARCHAR) AS reason FROM events UNION ALL SELECT 'event_id', count(*) - count(event_id), false, 'wrong_type' FROM events")
 def q_watermark_fitness(spark, sf_dir):
     return profile.watermark_fitness(table(spark, sf_dir, "events"), ["ts", "event_id"], EVENTS_AS_OF).select("column_name", "null_count", "fit", "reason")
