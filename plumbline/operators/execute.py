@@ -63,8 +63,11 @@ def execute(source: Source, check: Check, *, as_of: datetime, params: dict[str,
     return source.execute(compiled.sql, args, run_id=run_id)
 
 
-def run_rows(source: Source, checks: list[Check], *, as_of: datetime, params: dict[str, dict[str, Any]] | None = None, windows: dict[str, Window] | None = None, run_id: str | None = None, slim: bool = False) -> DataFrame:
-    """RUN_ROWS of many checks; checks of one view share its scan. slim: only check_id, practice_id and tri_state."""
+def run_rows(source: Source, checks: list[Check], *, as_of: datetime, params: dict[str, dict[str, Any]] | None = None, windows: dict[str, Window] | None = None, run_id: str | None = None, slim: bool = False, conditions: dict[str, str] | None = None) -> DataFrame:
+    """RUN_ROWS of many checks; checks of one view share its scan. slim: only check_id, practice_id and tri_state.
+
+    conditions: SQL by view of the rows to judge.
+    """
     by_view: dict[str, list[Check]] = {}
     for c in checks:
         by_view.setdefault(c.view, []).append(c)
@@ -73,7 +76,7 @@ def run_rows(source: Source, checks: list[Check], *, as_of: datetime, params: di
         window = (windows or {}).get(view)
         args = {f"{n}__{k}": v for n, c in enumerate(own) for k, v in bound(c, (params or {}).get(c.id), as_of).items() if k != "as_of"}
         args |= {"as_of": as_of.isoformat(sep=" ")} | (window.args() if window else {})
-        one = source.execute(compile_fused(own, watermark=window.column if window else None, slim=slim, full_partition=bool(window and window.full_partition)), args, run_id=run_id)
+        one = source.execute(compile_fused(own, watermark=window.column if window else None, slim=slim, full_partition=bool(window and window.full_partition), condition_sql=(conditions or {}).get(view)), args, run_id=run_id)
         out = one if out is None else out.unionByName(one)
     return out
 

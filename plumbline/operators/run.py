@@ -21,7 +21,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators import execute, findings
+from plumbline.operators import execute, findings, keysets
 from plumbline.plans.compiler import table
 from plumbline.plans.document import Check
 from plumbline.sources.guard import Source
@@ -35,6 +35,8 @@ RUNS = "trigger string, status string, started_at timestamp_ntz, ended_at timest
 _RUN = RUNS.rpartition(",")[0]
 #: What a run keeps of the views it judged wholly: a mark to move a column to, or the hash of a key set.
 MOVES = "view_name string, column_name string, value timestamp_ntz, hash string"
+#: How a view's keys are dealt into ranges, and the ranges' sums; one table of each a view.
+LAYOUTS = "key array<string>, low long, width long, buckets int"
 MOST_EXPENSIVE = 5
 #: Tallies that a report shows, and versions of the findings that stay for runs that still read them.
 SHOWN, KEPT = 1000, 5
@@ -44,7 +46,8 @@ SHOWN, KEPT = 1000, 5
 class Plan:
     """How a view is read. column: a watermark, read from the stored mark on; else the last trailing_days by trailing_column,
     else everything. key: skip the view as long as its set of keys stays as it was. hot: it changes all the time. full_partition: rows that are
-    read in part look for duplicates in the whole view."""
+    read in part look for duplicates in the whole view. ranges: with a key, only those ranges of keys are read where keys
+    came or went since the last run; findings of entities that are gone count as passed."""
 
     column: str | None = None
     trailing_column: str | None = None
@@ -52,6 +55,7 @@ class Plan:
     key: tuple[str, ...] = ()
     hot: bool = False
     full_partition: bool = False
+    ranges: bool = False
 
 
 @dataclass
@@ -132,13 +136,18 @@ def run(source: Source, store: Store, checks: list[Check], *, run_id: str, as_of
     moves = store.part("moves", MOVES, run_id).collect()  # a row a view
     _advance(store, "watermarks", WATERMARKS, [(m["view_name"], m["column_name"], m["value"]) for m in moves if m["column_name"]], 2)
     _advance(store, "key_sets", KEY_SETS, [(m["view_name"], m["hash"]) for m in moves if m["hash"]], 1)
+    for m in moves:
+        if not m["column_name"] and not m["hash"]:
+            name = table(m["view_name"])
+            store.write(f"key_sums__{name}", store.part("key_sums", keysets.SUMMARY, f"{run_id}--{name}"))
     report.stats = {r["stat"]: r["n"] for r in findings.stats(changes).collect()}
     report.executions, report.more = _shown(store.part("executions", EXECUTIONS, run_id))
     report.status = "completed_with_errors" if report.errors else "completed"
     ended = [(base["trigger"], report.status, base["started_at"], _now(), base["base_version"], len(checks), len(report.errors), as_of)]
     store.append("ended", spark.createDataFrame(ended, _RUN), run_id)
-    for part in store.parts("judged", f"{run_id}--"):
-        store.remove("judged", part)
+    for name in ("judged", "key_sums"):
+        for part in store.parts(name, f"{run_id}--"):
+            store.remove(name, part)
     return report
 
 
@@ -156,10 +165,12 @@ def _judge_all(source: Source, store: Store, checks: list[Check], run_id: str, a
         except Exception as e:  # noqa: BLE001  one broken check doesn't stop the others
             report.errors[c.id] = str(e).splitlines()[0]
     windows, hashes, ready = _windows(source, store, ready, plans, as_of, lookback, report)
-    tallies = _judged(source, store, ready, as_of, params, windows, run_id, report, timeout_s)
+    conditions, ready = _ranges(source, store, ready, plans, run_id, report)
+    tallies = _judged(source, store, ready, as_of, params, windows, conditions, run_id, report, timeout_s)
     whole = {c.view for c in checks} - {c.view for c in checks if c.id in report.errors or c.id in report.skipped_drift}
     moves = [(v, w.column, as_of, None) for v, w in windows.items() if v in whole and plans.get(v, Plan()).column == w.column]
     moves += [(v, None, None, h) for v, h in hashes.items() if v in whole]
+    moves += [(v, None, None, None) for v in {c.view for c in checks} & whole if store.has("key_sums", f"{run_id}--{table(v)}")]
     store.append("moves", spark.createDataFrame(moves, MOVES), run_id)
     failed = [(c, None, 0, 0, 0, 0, None, None, None, "error", e) for c, e in report.errors.items()]
     failed += [(c, None, 0, 0, 0, 0, None, None, None, "skipped_drift", ", ".join(gone)) for c, gone in report.skipped_drift.items()]
@@ -182,7 +193,7 @@ def _windows(source: Source, store: Store, ready: list[Check], plans: dict[str,
         elif plan.trailing_column:
             report.strategies[view] = "trailing"
             windows[view] = execute.trailing(plan.trailing_column, as_of, plan.trailing_days, plan.full_partition)
-        elif plan.key:
+        elif plan.key and not plan.ranges:
             hashes[view] = execute.key_set_hash(source.views[view].select(F.to_json(F.struct(*sorted(plan.key))).alias("entity_key"))).first()["hash"]
             if timeless and not execute.key_set_changed(known.get(view), hashes[view]):
                 report.strategies[view] = "unchanged"
@@ -192,7 +203,43 @@ def _windows(source: Source, store: Store, ready: list[Check], plans: dict[str,
     return windows, hashes, [c for c in ready if c.view not in unchanged]
 
 
-def _judged(source: Source, store: Store, ready: list[Check], as_of: datetime, params, windows: dict[str, execute.Window], run_id: str, report: Report, timeout_s: float | None) -> DataFrame | None:
+def _ranges(source: Source, store: Store, ready: list[Check], plans: dict[str, Plan], run_id: str, report: Report) -> tuple[dict[str, str], list[Check]]:
+    """Conditions on views that are read by ranges of keys, and the checks that are judged at all.
+
+    Writes the view's sums, and passes for active findings whose entity is gone. A view without sums of a run before, or
+    with a check that depends on the as-of time, is read in full.
+    """
+    conditions, unchanged, spark = {}, set(), source.spark
+    for view in sorted({c.view for c in ready}):
+        plan, name = plans.get(view, Plan()), table(view)
+        if not (plan.key and plan.ranges) or plan.column or plan.trailing_column:
+            continue
+        kept = store.read(f"key_layout__{name}", LAYOUTS).first()
+        where = keysets.Layout(tuple(kept["key"]), kept["low"], kept["width"], kept["buckets"]) if kept else keysets.layout(source.views[view], plan.key)
+        if not kept:
+            store.write(f"key_layout__{name}", spark.createDataFrame([(list(where.key), where.low, where.width, where.buckets)], LAYOUTS))
+        store.append("key_sums", keysets.summary(source.views[view], where), f"{run_id}--{name}")
+        timeless = not any(execute.depends_on_now(c) for c in ready if c.view == view)
+        if not timeless or not store.version(f"key_sums__{name}"):
+            continue
+        new = store.part("key_sums", keysets.SUMMARY, f"{run_id}--{name}")
+        buckets = [r["bucket"] for r in keysets.changed(store.read(f"key_sums__{name}", keysets.SUMMARY), new).collect()]  # a row a range
+        report.strategies[view] = "ranges" if buckets else "unchanged"
+        if not buckets:
+            unchanged.add(view)
+            continue
+        # a null key is in no range, so a change of such keys asks for all of the view
+        if None not in buckets:
+            conditions[view] = where.condition(buckets)
+            own = {c.id for c in ready if c.view == view and set(c.key) == set(where.key)}
+            active = store.read("findings", findings.FINDINGS).where(F.col("check_id").isin(*own) & F.col("status").isin(*findings.ACTIVE)) if own else None
+            if active is not None:
+                gone = keysets.vanished(active.select("check_id", "practice_id", "entity_key"), source.views[view], where, buckets)
+                store.append("judged", gone.select("check_id", "practice_id", "entity_key", F.lit("pass").alias("tri_state"), F.lit(None).cast("string").alias("evidence")), f"{run_id}--{name}--gone")
+    return conditions, [c for c in ready if c.view not in unchanged]
+
+
+def _judged(source: Source, store: Store, ready: list[Check], as_of: datetime, params, windows: dict[str, execute.Window], conditions: dict[str, str], run_id: str, report: Report, timeout_s: float | None) -> DataFrame | None:
     """Writes the judged rows, view by view, in one scan each; gives the tallies of each check and practice.
 
     A view whose scan fails is judged check by check, so that one check's failing row doesn't hide the others' findings.
@@ -203,7 +250,7 @@ def _judged(source: Source, store: Store, ready: list[Check], as_of: datetime, p
         """What went wrong, if anything did."""
         if store.has("judged", part):
             return None
-        rows = execute.run_rows(source, own, as_of=as_of, params=params, windows=windows, run_id=run_id)
+        rows = execute.run_rows(source, own, as_of=as_of, params=params, windows=windows, conditions=conditions, run_id=run_id)
         kept = rows.withColumn("evidence", F.when(F.col("tri_state") == "fail", F.col("evidence")))
 
         def write() -> bool:

@@ -134,13 +134,13 @@ def compile_check(check: Check, *, watermark: str | None = None, practice_scope:
     return Compiled(check, sql, hashlib.sha256(sql.encode()).hexdigest(), params_of(check))
 
 
-def compile_fused(checks: list[Check], *, watermark: str | None = None, slim: bool = False, full_partition: bool = False) -> str:
+def compile_fused(checks: list[Check], *, watermark: str | None = None, slim: bool = False, full_partition: bool = False, condition_sql: str | None = None) -> str:
     """One statement for checks of one view: a row for each check and row that its base filters keep.
 
     The view is scanned once, and rows that no check's base filters keep are left out by the scan. Equal EXISTS clauses
     are computed once, as are equal base filters. Columns: check_id, practice_id, entity_key (canonical JSON), tri_state,
     evidence (JSON); slim: without key and evidence, for tallies. Parameters are named <number of the check>__<name>.
-    full_partition as in compile_check.
+    full_partition as in compile_check. condition_sql: of the view's rows only those are judged.
     """
     view = checks[0].view
     if any(c.view != view for c in checks):
@@ -170,7 +170,7 @@ def compile_fused(checks: list[Check], *, watermark: str | None = None, slim: bo
         row = "named_struct(" + ", ".join(f"'{f}', {sql}" for f, sql in fields.items() if not (slim and f in ("entity_key", "evidence"))) + ")"
         parts.append(f"IF({kept}, {row}, NULL)" if kept else row)
     columns = ", ".join(f"`{view}`.`{c}`" for c in dict.fromkeys(x for check in checks for y in projected(check) for x in y))
-    scans = _kept(checks[0], watermark, False)[len(checks[0].base_filters) :]
+    scans = _kept(checks[0], watermark, False)[len(checks[0].base_filters) :] + ([condition_sql] if condition_sql else [])
     if all(filters):
         scans.append("(" + " OR ".join(dict.fromkeys(f"({f})" for f in filters)) + ")")
     scan = " AND ".join(scans)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import checks
-from plumbline.operators import calibration, dashboard, execute, feedback, findings, narrate, profile, reconcile, registry, sketches
+from plumbline.operators import calibration, dashboard, execute, feedback, findings, keysets, narrate, profile, reconcile, registry, sketches
 from plumbline.operators.run import history, run
 from plumbline.plans.document import from_dict
 from plumbline.sources import documents, tables
@@ -263,6 +263,24 @@ def q_keyset_hash(spark, sf_dir):
     return execute.key_set_hash(table(spark, sf_dir, "customer"), "c_custkey")
 
 
+@query("""SELECT floor(o_orderkey / 50)::BIGINT AS bucket, count(DISTINCT o_orderkey) FILTER (o_custkey % 10 <> 3) AS n_before, count(DISTINCT o_orderkey) FILTER (o_custkey % 15 <> 7) AS n_after
+  FROM orders GROUP BY 1 HAVING count(*) FILTER (o_custkey % 10 = 3 OR o_custkey % 15 = 7) > 0""")
+def q_changed_ranges(spark, sf_dir):
+    """Ranges of keys that differ between two versions of a view."""
+    orders, where = table(spark, sf_dir, "orders"), keysets.Layout(("o_orderkey",), 0, 50)
+    before, after = (keysets.summary(orders.where(kept), where) for kept in ("o_custkey % 10 <> 3", "o_custkey % 15 <> 7"))
+    return keysets.changed(before, after)
+
+
+@query("SELECT bucket, count(*) AS rows FROM (SELECT *, floor(o_orderkey / 50)::BIGINT AS bucket FROM orders) o WHERE bucket IN (SELECT floor(o_orderkey / 50)::BIGINT FROM orders WHERE o_custkey % 97 = 3) GROUP BY bucket")
+def q_changed_rows(spark, sf_dir):
+    """The rows that a run reads when keys came since the last one: those of the changed ranges."""
+    orders, where = table(spark, sf_dir, "orders"), keysets.Layout(("o_orderkey",), 0, 50)
+    before, after = (keysets.summary(df, where) for df in (orders.where("o_custkey % 97 <> 3"), orders))
+    buckets = [r["bucket"] for r in keysets.changed(before, after).collect()]  # a row a range
+    return orders.where(where.condition(buckets)).groupBy(where.bucket().alias("bucket")).agg(F.count("*").alias("rows")).where(F.col("bucket").isin(buckets))
+
+
 @query(f"""{TWO_SQL} SELECT {KEY_SQL} AS dedupe_key, CASE WHEN s2 = 'pass' THEN 'resolved_system' WHEN s1 = 'fail' THEN 'reseen' ELSE 'created' END AS event
   FROM both_runs WHERE s2 = 'fail' OR (s2 = 'pass' AND s1 = 'fail') UNION ALL SELECT {KEY_SQL}, 'created' FROM both_runs WHERE s1 = 'fail'""", *A_VIEWS)
 def q_repeated_run_events(spark, sf_dir):
@@ -536,6 +554,21 @@ def q_pair_prune(spark, sf_dir):
     return profile.eligible_pairs(out).where("view_a <> view_b")
 
 
+PAIRS_ALL = {"customer": ("c_custkey", "c_nationkey", "c_name"), "nation": ("n_nationkey", "n_regionkey", "n_name"), "orders": ("o_orderkey", "o_custkey", "o_orderstatus")}
+
+
+@query("WITH c AS (" + " UNION ALL ".join(f"SELECT '{t}' AS view, '{c}' AS column_name, '{'string' if c.endswith(('name', 'status')) else 'numeric'}' AS family, {str(c.endswith('key')).lower()} OR count(DISTINCT {c}) >= 0.5 * count(*) OR '{c}' LIKE '%id%' AS keyish FROM {t}" for t, cs in PAIRS_ALL.items() for c in cs) + """)
+  SELECT a.view AS view_a, a.column_name AS column_a, b.view AS view_b, b.column_name AS column_b, 'evaluated' AS budget, (SELECT count(*) * (count(*) - 1) // 2 FROM c) AS considered
+  FROM c a JOIN c b ON a.family = b.family AND (a.view < b.view OR a.view = b.view AND a.column_name < b.column_name) AND (a.keyish OR b.keyish)""")
+def q_pairs_all(spark, sf_dir):
+    """All column pairs worth a test, within a view too, beside how many there are before any is left out."""
+    out = None
+    for t, cs in PAIRS_ALL.items():
+        one = profile.profile(table(spark, sf_dir, t).select(*cs)).withColumn("view", F.lit(t))
+        out = one if out is None else out.unionByName(one)
+    return profile.eligible_pairs(out).withColumn("considered", F.lit(profile.considered_pairs(out)).cast("long"))
+
+
 @query("""WITH a AS (SELECT DISTINCT c_custkey AS v FROM customer), b AS (SELECT DISTINCT o_custkey AS v FROM orders), j AS (SELECT a.v AS x, b.v AS y FROM a FULL JOIN b ON a.v = b.v)
   SELECT count(x) AS distinct_a, count(y) AS distinct_b, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS common, count(x) - count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS orphans_a,
     count(y) - count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS orphans_b, round(count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) / count(x), 6) AS containment_a, round(count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) / count(y), 6) AS containment_b FROM j""")
@@ -620,6 +653,27 @@ def q_archetype(spark, sf_dir):
     return _archetype(spark, sf_dir, "customer").unionByName(_archetype(spark, sf_dir, "part").where("name_column = 'p_name'")).unionByName(_archetype(spark, sf_dir, "orders"))
 
 
+def _names_sql(name: str, key: str, strings: tuple[str, ...]) -> str:
+    """A view's best name column and what follows from it; dated and linked columns it has none."""
+    each = " UNION ALL ".join(f"SELECT {i} AS p, '{c}' AS name_column, round(count(DISTINCT {c}) / count(*), 6) AS uniqueness, count(*) AS n FROM {name}" for i, c in enumerate(strings))
+    return f"SELECT '{name}' AS view, CASE WHEN uniqueness >= 0.95 THEN 'reference' ELSE 'fact' END AS archetype, name_column, uniqueness FROM ({each}) WHERE n > 0 ORDER BY uniqueness DESC, p LIMIT 1"
+
+
+ARCHETYPES = {"part": ("p_partkey", ("p_name", "p_brand", "p_type")), "customer": ("c_custkey", ("c_name", "c_mktsegment")), "nation": ("n_nationkey", ("n_name",)), "supplier": ("s_suppkey", ("s_name",))}
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({_names_sql(n, k, cs)})" for n, (k, cs) in ARCHETYPES.items()))
+def q_archetype_all(spark, sf_dir):
+    """Archetypes of views with a key, whichever column names their rows best."""
+    out = None
+    for n, (k, cs) in ARCHETYPES.items():
+        df = table(spark, sf_dir, n).select(k, *cs)
+        f = profile.families(df)
+        one = profile.archetype(profile.profile(df), list(f), f).select(F.lit(n).alias("view"), "archetype", "name_column", "uniqueness")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("SELECT id AS key, name AS value FROM vocabulary ORDER BY id LIMIT 100", "clinic.vocabulary")
 def q_reference_sample(spark, sf_dir):
     return profile.reference_sample(view(spark, sf_dir, "clinic.vocabulary"), "name", "id")
@@ -726,6 +780,25 @@ def q_suspect_tokens(spark, sf_dir):
     return narrate.suspect_tokens(table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
 
 
+#: A right template, one that names a hidden field, one with a number of its own, one with a lost field, and one that isn't rendered truly.
+TEMPLATES = ("Appointment {{ id }} on {{day}} has no invoice.", "Appointment {{ id }} of {{ who }}", "Appointment {{ id }} on {{day}} has no invoice after 7 days", "Appointment {{ lost }}", "Appointment {{ id }}")
+
+
+@query("""SELECT id, i AS nth, CASE id % 5 WHEN 1 THEN 'undeclared_evidence_field' WHEN 2 THEN 'unallowlisted_token' WHEN 3 THEN 'unresolvable_placeholder' ELSE CASE i WHEN 0 THEN 'rendered_text_mismatch' END END AS rule,
+    CASE id % 5 WHEN 1 THEN 'who' WHEN 2 THEN 'numeric ''7'' at ' || length('Appointment ' || id || ' on ' || coalesce(strftime(schedule_date, '%Y-%m-%d'), 'None') || ' has no invoice after ') WHEN 3 THEN 'lost' ELSE 'the text isn''t what the template renders to' END AS detail
+  FROM appointments, (VALUES (0)) t(i) WHERE id % 5 > 0""", "clinic.appointments")
+def q_narrative_violations(spark, sf_dir):
+    """What is wrong with each narrative of all appointments, a row a violation."""
+    a = view(spark, sf_dir, "clinic.appointments")
+    kind = (F.col("id") % 5).cast("int")
+    day = F.coalesce(F.date_format("schedule_date", "yyyy-MM-dd"), F.lit("None"))
+    said = F.when(kind == 0, F.concat(F.lit("Appointment "), "id", F.lit(" on "), day, F.lit(" has no invoice."))).when(kind == 1, F.concat(F.lit("Appointment "), "id", F.lit(" of "), F.col("patient").cast("string")))
+    said = said.when(kind == 2, F.concat(F.lit("Appointment "), "id", F.lit(" on "), day, F.lit(" has no invoice after 7 days"))).otherwise(F.concat(F.lit("Appointment no. "), "id"))
+    none = F.array().cast("array<string>")
+    rows = a.select("id", F.get(F.array(*map(F.lit, TEMPLATES)), kind).alias("template"), said.alias("text"), F.create_map(F.lit("id"), F.col("id").cast("string"), F.lit("day"), day, F.lit("who"), F.col("patient").cast("string")).alias("evidence"), F.create_map().cast("map<string,string>").alias("params"), F.array(F.lit("id"), F.lit("day")).alias("declared"), none.alias("actions"), none.alias("selected"), none.alias("vocabulary"))
+    return narrate.violations(rows).select("id", F.posexplode("violations").alias("nth", "v")).select("id", "nth", "v.rule", "v.detail")
+
+
 @query("SELECT event_type AS check_version, CASE WHEN value > 50 THEN 'a:double' ELSE 'b:string' END AS shape, count(*) AS findings FROM events GROUP BY ALL")
 def q_template_groups(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("check_version"), F.when(F.col("value") > 50, "a:double").otherwise("b:string").alias("shape"))

@@ -182,3 +182,53 @@ def test_a_batch_keeps_the_time_of_its_first_try(spark, tmp_path):
         run(Source(spark, {VIEW: rows(spark, (1, 1, 1))}), broken, [old], run_id="s-0", as_of=datetime(2024, 1, 20))
     r = run(Source(spark, {VIEW: rows(spark, (1, 1, 1))}), Store(spark, f"file://{tmp_path}/again"), [old], run_id="s-0", as_of=datetime(2025, 1, 1))
     assert r.executions[0]["n_fail"] == 0
+
+
+def keyed(spark, *values):
+    return spark.createDataFrame([(i, 1, float(v), datetime(2024, 1, 1)) for i, v in values], "id int, practice int, value double, at timestamp_ntz")
+
+
+def test_only_changed_ranges_are_judged(spark, tmp_path):
+    """Keys come and go in a few ranges; other rows aren't read, and findings of entities that are gone are resolved."""
+    store, plan = Store(spark, f"file://{tmp_path}"), {VIEW: Plan(key=("id",), ranges=True)}
+    first = [(i, -1 if i % 100 == 0 else 1) for i in range(10_000)]
+    r = run(Source(spark, {VIEW: keyed(spark, *first)}), store, [check()], run_id="r1", as_of=NOW, plans=plan)
+    assert r.strategies == {VIEW: "full_scan"} and r.stats["created"] == 100
+    assert run(Source(spark, {VIEW: keyed(spark, *first)}), store, [check()], run_id="r2", as_of=NOW, plans=plan).strategies == {VIEW: "unchanged"}
+    then = [x for x in first if x[0] != 500] + [(12_345, -1)]  # one entity with a finding is gone, one has come
+    r = run(Source(spark, {VIEW: keyed(spark, *then)}), store, [check()], run_id="r3", as_of=NOW, plans=plan)
+    ok = {e["check_id"]: e for e in r.executions}
+    assert r.strategies == {VIEW: "ranges"} and ok["negative"]["n_examined"] < 20 and r.stats == {"created": 1, "resolved_system": 1}
+    assert found(store)['{"id":500}'][0] == "resolved_system" and found(store)['{"id":12345}'] == ("open", "r3", "r3")
+    r = run(Source(spark, {VIEW: keyed(spark, *then)}), store, [check(), check("old", "at < DATEADD(DAY, -30, getdate())")], run_id="r4", as_of=NOW, plans=plan)
+    assert r.strategies == {VIEW: "full_scan"}  # time alone can change an outcome
+
+
+def test_ranges_stay_until_they_were_judged(spark, tmp_path):
+    store, plan = Store(spark, f"file://{tmp_path}"), {VIEW: Plan(key=("id",), ranges=True)}
+    run(Source(spark, {VIEW: keyed(spark, (1, 1), (2, 1))}), store, [check()], run_id="r1", as_of=NOW, plans=plan)
+    more = {VIEW: keyed(spark, (1, 1), (2, 1), (3, -1))}
+    run(Late(spark, more), store, [check()], run_id="r2", as_of=NOW, plans=plan, timeout_s=1)
+    r = run(Source(spark, more), store, [check()], run_id="r3", as_of=NOW, plans=plan)
+    assert r.strategies == {VIEW: "ranges"} and r.stats["created"] == 1
+
+
+def test_ranges_of_keys(spark):
+    from plumbline.operators import keysets
+
+    old, new = keyed(spark, (1, 1), (2, 1), (7, 1), (7, 2), (40, 1)), keyed(spark, (2, 1), (1, 1), (7, 1), (8, 1))
+    where = keysets.layout(old, ("id",), 10)
+    assert (where.low, where.width) == (1, 4)
+    got = keysets.changed(keysets.summary(old, where), keysets.summary(new, where))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 2), (9, 1, 0)]
+    assert [r["id"] for r in new.where(where.condition([1, 2])).orderBy("id").collect()] == [7, 8]
+    many = where.condition([3 * i for i in range(1000)])
+    assert many.count("OR") == keysets.CONDITIONS - 1 and old.where(many).count() <= 5
+    pairs = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (None, "c")], "x int, y string")
+    both = keysets.layout(pairs, ("x", "y"), 16)
+    assert both.width is None and keysets.changed(keysets.summary(pairs, both), keysets.summary(pairs.dropDuplicates(), both)).count() == 0
+    assert keysets.layout(old.limit(0), ("id",)).width is None
+    gone = spark.createDataFrame([('{"x":1,"y":"a"}',), ('{"x":9,"y":"z"}',)], "entity_key string")
+    assert [r["entity_key"] for r in keysets.vanished(gone, pairs, both, list(range(16))).collect()] == ['{"x":9,"y":"z"}']
+    plan = new.where(where.condition([1]))._jdf.queryExecution().optimizedPlan().toString()
+    assert ">= 5" in plan and "< 9" in plan
