@@ -30,7 +30,9 @@ SIMILAR, SHINGLE = 0.8, 5
 SAMPLED, COMMON = 5_000, 50_000
 #: Texts that meet by a shingle are all paired up to this number; beyond, most are linked by a few pairs first.
 FEW = 32
-#: Rows of whole groups looked at together in a task, and 64-bit parts of a bitmap.
+#: Rows of a shingle's group that are compared with as many others in one go.
+BLOCK = 2048
+#: Rows of groups looked at together in a task, and 64-bit parts of a bitmap.
 ROWS_AT_ONCE, LONGS = 1 << 20, 8
 BITMAP = [f"b{i}" for i in range(LONGS)]
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -127,10 +129,10 @@ def least(n: np.ndarray, similar: float) -> np.ndarray:
     return np.ceil(similar * n - 1e-9).astype(np.int64)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], *, split: bool) -> Iterator[tuple[list[np.ndarray], int | None]]:
-    """The columns of whole groups (rows are sorted by the first column), about ROWS_AT_ONCE rows at a time.
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], int | None]]:
+    """The columns of groups (rows are sorted by the first column), about ROWS_AT_ONCE rows at a time.
 
-    split: a group of more than FEW rows may be cut; then comes the key of the group that the piece goes on with.
+    A group of more than FEW rows may be cut; then comes the key of the group that the piece goes on with.
     """
     held: list[list[np.ndarray]] = []
     going = None
@@ -140,7 +142,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], *, split: bool) -> Iterator[tuple
         if sum(len(h[0]) for h in held) >= ROWS_AT_ONCE:
             whole = [np.concatenate(x) for x in zip(*held)]
             cut = int(np.searchsorted(whole[0], whole[0][-1]))  # where the last group begins; it may go on
-            if split and (len(whole[0]) - cut > FEW or whole[0][-1] == going):
+            if len(whole[0]) - cut > FEW or whole[0][-1] == going:
                 yield whole, going
                 going, held = whole[0][-1], []
             elif cut:
@@ -152,51 +154,41 @@ def _pieces(batches: Iterator[pa.RecordBatch], *, split: bool) -> Iterator[tuple
         yield [np.concatenate(x) for x in zip(*held)], going
 
 
-def _meetings(similar: float, every: bool):
-    """Pairs of sets that meet by a shingle and may be similar; rows are sorted by it.
+def _meetings(similar: float):
+    """Pairs of sets that meet by a shingle and may be similar; rows (s, key, n, pos) are sorted by it.
 
-    every: all pairs of different comp. Else all pairs of groups of FEW rows or fewer; of a larger group a few a row, and
-    its rows themselves.
+    All pairs of groups of FEW rows or fewer; of a larger group a few a row, and its rows themselves.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns, going in _pieces(batches, split=not every):
-            s, key, n, pos, comp = columns if every else (*columns, columns[1])
+        for (s, key, n, pos), going in _pieces(batches):
             order = np.lexsort((key, n, s))
-            s, key, n, pos, comp = (x[order] for x in (s, key, n, pos, comp))
+            s, key, n, pos = (x[order] for x in (s, key, n, pos))
             new = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
             ends = np.append(new[1:], len(s))
             size, start, end = (np.repeat(x, ends - new) for x in (ends - new, new, ends))
-            looks = n - pos >= np.ceil(2 * similar / (1 + similar) * n - 1e-9)  # as the smaller of two texts
+            looks = _looks(n, pos, similar)
             worth = np.repeat(np.add.reduceat(looks, new) > 0, ends - new)
             large = (size > FEW) | (s == going if going is not None else False)
             kept: list[np.ndarray] = []
 
             def take(i: np.ndarray, j: np.ndarray) -> None:
-                need = np.ceil((n[i] + n[j]) * similar / (1 + similar) - 1e-9)
-                can = np.minimum(n[i] - pos[i], n[j] - pos[j])  # shingles from here on
-                ok = (key[i] != key[j]) & (comp[i] != comp[j]) & (can >= need) & (np.minimum(n[i], n[j]) >= similar * np.maximum(n[i], n[j]) - 1e-9)
+                ok = (key[i] != key[j]) & _may(n[i], pos[i], n[j], pos[j], similar)
                 if ok.any():
-                    a, b = key[i[ok]], key[j[ok]]
-                    kept.append(np.unique(np.column_stack((np.minimum(a, b), np.maximum(a, b))), axis=0))
-                    if sum(map(len, kept)) > 2_000_000:
-                        kept[:] = [np.unique(np.concatenate(kept), axis=0)]
+                    kept.append(_ordered(key[i[ok]], key[j[ok]]))
 
-            near, step = np.flatnonzero((size > 1) & looks & (every | ~large)), 1
+            near, step = np.flatnonzero((size > 1) & looks & ~large), 1
             while len(near):  # sets of a group by size: once a set is too large for one, so are those behind it
                 near = near[near + step < end[near]]
                 near = near[n[near] >= similar * n[near + step] - 1e-9]
-                for at in range(0, len(near), 1 << 20):
-                    take(near[at : at + (1 << 20)], near[at : at + (1 << 20)] + step)
+                take(near, near + step)
                 step += 1
-            rows = np.zeros(0, np.int64)
-            if not every:
-                rows = np.flatnonzero(large)
-                looking = rows[looks[rows]]
-                for turn in range(3):  # the next in size, and others of its group that differ from shingle to shingle
-                    other = mixed(key[looking].view(np.uint64) ^ s[looking].view(np.uint64) ^ np.uint64(turn)) % size[looking].astype(np.uint64)
-                    take(looking, np.where(turn == 0, np.minimum(looking + 1, end[looking] - 1), start[looking] + other.astype(np.int64)))
-                rows = rows[worth[rows] | (s[rows] == s[0]) | (s[rows] == s[-1])]  # a group at the edge may look elsewhere
+            rows = np.flatnonzero(large)
+            looking = rows[looks[rows]]
+            for turn in range(3):  # the next in size, and others of its group that differ from shingle to shingle
+                other = mixed(key[looking].view(np.uint64) ^ s[looking].view(np.uint64) ^ np.uint64(turn)) % size[looking].astype(np.uint64)
+                take(looking, np.where(turn == 0, np.minimum(looking + 1, end[looking] - 1), start[looking] + other.astype(np.int64)))
+            rows = rows[worth[rows] | (s[rows] == s[0]) | (s[rows] == s[-1])]  # a group at the edge may look elsewhere
             pairs = np.unique(np.concatenate(kept), axis=0) if kept else np.zeros((0, 2), np.int64)
             some, none = len(pairs), len(rows)
             cols = [pa.array(np.concatenate((x, np.zeros(none, np.int64))), mask=np.arange(some + none) >= some) for x in pairs.T]
@@ -206,10 +198,97 @@ def _meetings(similar: float, every: bool):
     return run
 
 
+def _looks(n: np.ndarray, pos: np.ndarray, similar: float) -> np.ndarray:
+    """Whether a set can meet a larger one at a position."""
+    return n - pos >= np.ceil(2 * similar / (1 + similar) * n - 1e-9)
+
+
+def _may(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray, similar: float) -> np.ndarray:
+    """Whether sets of n and m shingles that meet at positions at and to can be similar, by sizes and what is left."""
+    need = np.ceil((n + m) * similar / (1 + similar) - 1e-9)
+    return (np.minimum(n - at, m - to) >= need) & (np.minimum(n, m) >= similar * np.maximum(n, m) - 1e-9)
+
+
+def _ordered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.unique(np.column_stack((np.minimum(a, b), np.maximum(a, b))), axis=0)
+
+
+def _cells(similar: float):
+    """(a, b) of each cell's pairs of different components that can be similar by sizes, positions and bitmaps.
+
+    Rows (cell, side, key, n, pos, comp, bitmap) are sorted by cell. Sides 0 and 1 meet each other, 2 is met by all of
+    itself. A cell has about two BLOCKs of rows; nothing but what passes the bitmaps leaves it.
+    """
+
+    def pairs(c: list[np.ndarray]) -> np.ndarray:
+        side, key, n, pos, comp = c[1:6]
+        bits = np.stack(c[6:], axis=1).view(np.uint64)
+        first, second = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        found = []
+        for at in range(0, len(first), ROWS_AT_ONCE // max(1, LONGS * len(second)) or 1):
+            i = first[at : at + (ROWS_AT_ONCE // max(1, LONGS * len(second)) or 1)]
+            j = second
+            x, y = i[:, None], j[None, :]
+            ok = (comp[x] != comp[y]) & _may(n[x], pos[x], n[y], pos[y], similar)
+            ok &= np.where(n[x] <= n[y], _looks(n, pos, similar)[x], _looks(n, pos, similar)[y])
+            ok &= ~((side[x] == 2) & (side[y] == 2)) | (x < y)
+            a, b = np.nonzero(ok)
+            if len(a):
+                a, b = i[a], j[b]
+                differ = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
+                near = differ <= (1 - similar) / (1 + similar) * (n[a] + n[b]) + 1e-9
+                found.append(_ordered(key[a[near]], key[b[near]]))
+        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for b in batches:
+            c = [x.to_numpy() for x in b.columns]
+            cuts = [0, *(np.flatnonzero(np.diff(c[0])) + 1).tolist(), len(b)] if len(b) else []
+            for lo, hi in zip(cuts, cuts[1:]):
+                if held and held[-1][0][0] != c[0][lo]:
+                    got = pairs([np.concatenate(x) for x in zip(*held)])
+                    held = []
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in got.T], ["a", "b"])
+                held.append([x[lo:hi] for x in c])
+        if held:
+            got = pairs([np.concatenate(x) for x in zip(*held)])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in got.T], ["a", "b"])
+
+    return run
+
+
+def meeting_pairs(rows: DataFrame, own: DataFrame, similar: float) -> DataFrame:
+    """(a, b) of sets of different components that meet by a shingle and may be similar; whatever a group's size is.
+
+    rows: (s, key, n, pos, comp), a written table; own: (key, bitmap). A group is cut into size classes, of which only the
+    same and neighbours can be similar, and these by a hash into blocks of about BLOCK rows; each two blocks that can hold a
+    pair are a cell of their own, so a group of very many rows is work of many tasks and none holds it.
+    """
+    classed = rows.withColumn("c", F.floor(F.log("n") / F.lit(float(np.log(1 / similar)) * (1 + 1e-9))).cast("int"))
+    blocks = written(classed.groupBy("s", "c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "overlap-blocks")
+    near = lambda d, name: blocks.select("s", (F.col("c") + d).alias("c"), F.col("blocks").alias(name))
+    met = classed.join(near(0, "same"), ["s", "c"]).join(near(-1, "up"), ["s", "c"], "left").join(near(1, "down"), ["s", "c"], "left")
+    met = met.join(own.select("key", *BITMAP), "key").withColumn("b", F.pmod(F.xxhash64("key"), F.col("same")).cast("int"))
+    up_to = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    cell = lambda c1, b1, c2, b2, side: F.struct(F.xxhash64("s", c1, b1, c2, b2).alias("cell"), side.cast("long").alias("side"))
+    c, b = F.col("c"), F.col("b")
+    cells = F.concat(
+        F.transform(up_to("same"), lambda o: cell(c, F.least(b, o), c, F.greatest(b, o), F.when(b == o, 2).when(b < o, 0).otherwise(1))),
+        F.transform(up_to("up"), lambda o: cell(c, b, c + 1, o, F.lit(0))),
+        F.transform(up_to("down"), lambda o: cell(c - 1, o, c, b, F.lit(1))),
+    )
+    dealt = met.select(F.explode(cells).alias("x"), "key", "n", "pos", "comp", *BITMAP).select("x.cell", "x.side", "key", "n", "pos", "comp", *BITMAP)
+    return arrow_map(dealt.repartition("cell").sortWithinPartitions("cell"), _cells(similar), "a long, b long")
+
+
 def similar_texts(docs: DataFrame, *, similar: float = SIMILAR, shingle: int = SHINGLE) -> DataFrame:
     """(u, v) of doc_ids: they join all rows of docs whose sets of shingles have that Jaccard similarity, directly or over others.
 
-    Rows without words or doc_id have no part. Sets are told apart by 64 bits, and so are shingles.
+    Rows without words or doc_id have no part. Rows that share a doc_id are each looked at, and their links are its links;
+    equal texts are linked as copies. Texts of any length have all their shingles looked at; a text of fewer words than a
+    shingle is one shingle. Without a row there is no link. Extra columns, whatever their names, play no part. Sets are told
+    apart by 64 bits, and so are shingles.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     share = max(1, docs.count() // SAMPLED)
@@ -220,9 +299,9 @@ def similar_texts(docs: DataFrame, *, similar: float = SIMILAR, shingle: int = S
     found = written(found, "overlap-sketches")
     own = written(found.groupBy("key").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", *BITMAP, "prefix"))), "overlap-keys")
 
-    def dealt(rows: DataFrame, every: bool) -> DataFrame:
-        rows = rows.select("s", "key", "n", "pos", *["comp"] * every).repartition("s").sortWithinPartitions("s")
-        return arrow_map(rows, _meetings(similar, every), "a long, b long, s long, key long, n long, pos long")
+    def dealt(rows: DataFrame) -> DataFrame:
+        rows = rows.select("s", "key", "n", "pos").repartition("s").sortWithinPartitions("s")
+        return arrow_map(rows, _meetings(similar), "a long, b long, s long, key long, n long, pos long")
 
     def checked(pairs: DataFrame) -> DataFrame:
         """(u, v) of the pairs that are similar."""
@@ -244,13 +323,13 @@ def similar_texts(docs: DataFrame, *, similar: float = SIMILAR, shingle: int = S
         return both.where(alike).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
     rows = own.select("key", "n", F.posexplode("prefix").alias("pos", "s")).withColumn("pos", F.col("pos").cast("long"))
-    first = written(dealt(rows, False), "overlap-first")
+    first = written(dealt(rows), "overlap-first")
     links = written(checked(first.where("a IS NOT NULL").select("a", "b")), "overlap-links")
     labels = connected(links).select(F.col("node").alias("key"), "root")
     large = first.where("s IS NOT NULL").select("s", "key", "n", "pos").join(labels, "key", "left")
     large = written(large.select("s", "key", "n", "pos", F.coalesce("root", "key").alias("comp")), "overlap-rest")
     mixed_groups = large.groupBy("s").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("s")
-    rest = dealt(large.join(mixed_groups, "s", "left_semi"), True).select("a", "b")
+    rest = meeting_pairs(large.join(mixed_groups, "s", "left_semi"), own, similar)
     links = links.unionByName(written(checked(rest), "overlap-links"))
     ids = own.select("key", "least")
     out = links.join(ids.select(F.col("key").alias("u"), F.col("least").alias("lu")), "u").join(ids.select(F.col("key").alias("v"), F.col("least").alias("lv")), "v").select(F.col("lu").alias("u"), F.col("lv").alias("v"))

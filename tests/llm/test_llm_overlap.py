@@ -81,3 +81,35 @@ def test_stage_removes_near_copies(spark):
 
 def test_empty(spark):
     assert overlap.similar_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_small_blocks_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "BLOCK", 4)
+    monkeypatch.setattr(overlap, "FEW", 3)
+    monkeypatch.setattr(overlap, "ROWS_AT_ONCE", 64)
+    test_groups_against_brute_force(spark)
+
+
+def test_a_shingle_that_very_many_sets_share(spark):
+    """50,000 sets of different components meet by one shingle: only the planted pairs leave the tasks, and cells stay small."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    bits = [F.xxhash64(F.when(F.col("id") < 20, F.floor(F.col("id") / 2)).otherwise(F.col("id")), F.lit(i)).alias(c) for i, c in enumerate(overlap.BITMAP)]
+    own = spark.range(50_000).select(F.col("id").alias("key"), *bits)
+    rows = spark.range(50_000).select(F.lit(7).cast("long").alias("s"), F.col("id").alias("key"), (F.lit(200) + F.col("id") % 2).cast("long").alias("n"), F.lit(0).cast("long").alias("pos"), F.col("id").alias("comp"))
+    at = time.time()
+    got = sorted(map(tuple, overlap.meeting_pairs(rows, own, 0.8).collect()))
+    assert got == [(2 * i, 2 * i + 1) for i in range(10)] and time.time() - at < 150
+
+
+def test_odd_rows(spark):
+    r = random.Random(2)
+    base = [f"w{r.randrange(3000)}" for _ in range(100)]
+    long = [f"l{r.randrange(10**6)}" for _ in range(60_000)]
+    near, other = list(base), [*long[:30_000], "x", *long[30_000:]]
+    near[50] = "y"
+    rows = [(1, " ".join(base), 1, 1), (1, " ".join(near), 1, 1), (2, " ".join(near), 1, 1), (2, " ".join(near), 1, 1), (3, " ".join(long), 1, 1), (4, " ".join(other), 1, 1), (None, " ".join(long), 1, 1), (5, "one two", 1, 1), (6, "ONE  two", 1, 1)]
+    links = overlap.similar_texts(spark.createDataFrame(rows, "doc_id long, text string, key long, n long"))
+    assert {(x["node"], x["root"]) for x in connected(links).collect()} == {(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 5)}
