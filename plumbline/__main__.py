@@ -1,17 +1,25 @@
-"""python -m plumbline profile|run|drafts|history --views NAME=PATH ... [--state DIR] [--checks FILE ...] [--as-of TIME]"""
+"""python -m plumbline profile|run|drafts|history|review --views NAME=PATH ... [--state DIR] [--checks FILE ...] [--as-of TIME]
+
+review --do list|add|show|approve|reject|amend [--slug ID] [--checks FILE] [--note TEXT] [--reviewer NAME]: the gate that checks
+pass; approvals run the check on the views. run without --checks runs the checks that are active there.
+"""
 
 from __future__ import annotations
 
 import argparse
 import json
+import uuid
 from datetime import datetime
 from pathlib import Path
 
+import yaml
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.operators import drafts
+from plumbline.operators.review import Gate, Reviews
 from plumbline.operators.run import history, run
-from plumbline.plans.document import parse, validate
+from plumbline.plans.document import from_dict, parse, validate
 from plumbline.sources import catalog
 from plumbline.sources.guard import JsonlSink, Source
 from plumbline.sources.state import Store
@@ -19,7 +27,12 @@ from plumbline.sources.state import Store
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="plumbline", description=__doc__)
-    p.add_argument("command", choices=("profile", "run", "drafts", "history"))
+    p.add_argument("command", choices=("profile", "run", "drafts", "history", "review"))
+    p.add_argument("--do", choices=("list", "add", "show", "approve", "reject", "amend"), default="list", help="what review does")
+    p.add_argument("--slug", default=None, help="the check under review")
+    p.add_argument("--status", default=None, help="review --do list: only checks of this status")
+    p.add_argument("--note", default=None, help="a note or reason of a review")
+    p.add_argument("--reviewer", default=None)
     p.add_argument("--views", nargs="*", default=[], metavar="NAME=PATH", help="Parquet tables by schema-qualified names")
     p.add_argument("--checks", nargs="*", default=[], metavar="FILE", help="check documents")
     p.add_argument("--state", default="state", help="folder of state tables and catalogs")
@@ -40,15 +53,41 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "drafts":
         for d in drafts.generate(catalog.read(a.state), as_of=as_of):
             print(json.dumps(d))
+    elif a.command == "review":
+        return _review(a, Source(spark, views, component="review"), store, as_of)
     else:
         source = Source(spark, views, component="run", sinks=[JsonlSink(str(Path(a.state, "audit.jsonl")))])
         Path(a.state).mkdir(parents=True, exist_ok=True)
-        chosen = [parse(Path(f).read_text(encoding="utf-8")) for f in a.checks]
+        chosen = [parse(Path(f).read_text(encoding="utf-8")) for f in a.checks] or Reviews(source, store, as_of).active()
         for c in chosen:
             validate(spark, c, source.columns())
         print(run(source, store, chosen, run_id=a.run_id or as_of.strftime("run-%Y%m%d-%H%M%S"), as_of=as_of).markdown())
     return 0
 
 
+def _review(a: argparse.Namespace, source: Source, store: Store, as_of: datetime) -> int:
+    gate = Reviews(source, store, as_of)
+    if a.do == "list":
+        for r in gate.now().where(F.lit(a.status is None) | (F.col("status") == F.lit(a.status))).orderBy("slug").collect():
+            print(f"{r['slug']}\t{r['status']}\tv{r['version']}")
+        return 0
+    if a.do == "show":
+        found = gate.now().where(F.col("slug") == a.slug).first()
+        if found is None:
+            print(f"{a.slug}: unknown")
+            return 1
+        doc = json.loads(found["document"])
+        dry = Gate(source, as_of)
+        dry.add(doc)
+        print(f"{a.slug}  {found['status']}  v{found['version']}\n{json.dumps(doc, indent=2, sort_keys=True)}\ndry run: {dry.dry_run(a.slug)}")
+        return 0
+    docs = [yaml.safe_load(Path(f).read_text(encoding="utf-8")) for f in a.checks]
+    asked = [{"slug": from_dict(d).id, "document": d} for d in docs] if a.do in ("add", "amend") else [{"slug": a.slug}]
+    done = gate.submit(uuid.uuid4().hex, [c | {"command": a.do, "note": a.note, "actor": a.reviewer} for c in asked])
+    for e in done:
+        print(f"{e['slug']}: {e['command']}: {e['outcome']}, {e['status']} v{e['version']}")
+    return 0 if all(e["outcome"] == "done" for e in done) else 1
+
+
 if __name__ == "__main__":
     raise SystemExit(main())

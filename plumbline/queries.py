@@ -7,11 +7,11 @@ import uuid
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline import checks
-from plumbline.operators import calibration, dashboard, execute, feedback, findings, keysets, narrate, profile, reconcile, registry, sketches
+from plumbline.operators import calibration, compose, dashboard, execute, feedback, findings, keysets, narrate, profile, reconcile, registry, review, sketches
 from plumbline.operators.run import history, run
 from plumbline.plans.document import from_dict
 from plumbline.sources import documents, tables
@@ -417,6 +417,22 @@ def q_feedback_apply(spark, sf_dir):
     return after.select(F.col("dedupe_key").cast("long").alias("finding"), "status", F.col("snoozed_until").isNotNull().alias("snoozed"))
 
 
+@query("""WITH c AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+  k AS (SELECT user_id, count(*) AS n, max(value) FILTER (n = 2) AS v2, max(value) FILTER (n = 4) AS v4 FROM c GROUP BY user_id),
+  s AS (SELECT *, CASE WHEN n = 1 OR n = 3 THEN 'draft' WHEN n = 2 THEN CASE WHEN v2 > 50 THEN 'active' ELSE 'draft' END WHEN v4 > 50 THEN 'active' WHEN n > 4 THEN 'rejected' ELSE 'draft' END AS status,
+    (n >= 2 AND v2 <= 50)::INT + (n >= 4 AND v4 <= 50)::INT + CASE WHEN n > 4 THEN n - 4 - (v4 <= 50)::INT ELSE 0 END AS refused FROM k)
+  SELECT 'check-' || user_id AS slug, status, CASE WHEN n >= 3 THEN 2 ELSE 1 END AS version, n AS commands, refused FROM s""")
+def q_review_history(spark, sf_dir):
+    """Checks under review: an addition, an approval, an amendment, an approval and rejections, as far as each one's commands go."""
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    c = table(spark, sf_dir, "events").withColumn("n", nth)
+    command = F.when(F.col("n") == 1, "add").when(F.col("n").isin(2, 4), "approve").when(F.col("n") == 3, "amend").otherwise("reject")
+    commands = c.select(F.concat(F.lit("check-"), "user_id").alias("slug"), F.col("n").alias("nth"), command.alias("command"), F.lit("{}").alias("document"), F.lit("why").alias("note"), F.lit("me").alias("actor"), (F.col("value") > 50).alias("passes"), F.col("ts").cast("timestamp_ntz").alias("occurred_at"))
+    after, events = review.applied(commands, spark.createDataFrame([], review.REVIEWS))
+    told = events.groupBy("slug").agg(F.count("*").alias("commands"), F.count_if(F.col("outcome") != "done").alias("refused"))
+    return after.join(told, "slug").select("slug", "status", "version", "commands", "refused")
+
+
 LAG_SQL = """WITH lag AS (SELECT practice AS practice_id, date_diff('day', schedule_date, invoice_date) AS value FROM appointments a JOIN invoices i ON i.appointment = a.id WHERE schedule_date IS NOT NULL),
   q AS (SELECT practice_id, count(*) AS n, quantile_cont(CAST(value AS DOUBLE), 0.95) AS learned FROM lag WHERE value IS NOT NULL GROUP BY practice_id)"""
 
@@ -805,6 +821,36 @@ def q_template_groups(spark, sf_dir):
     return narrate.template_groups(rows)
 
 
+class _Echo:
+    """Writes the template that is told for a check's title, and counts how often it was asked."""
+
+    def __init__(self, templates):
+        self.templates, self.asked = templates, 0
+
+    def complete(self, prompt):
+        self.asked += 1
+        return '{"template": "' + next(t for title, t in self.templates.items() if title in prompt) + '", "actions": []}'
+
+
+@query("""SELECT CASE WHEN schedule_date IS NULL THEN 'id:int' ELSE 'day:date,id:int' END AS shape, CASE WHEN schedule_date IS NULL THEN 'blocked_fallback' ELSE 'valid' END AS status, count(*) AS findings,
+  min(CASE WHEN schedule_date IS NULL THEN 'Finding ' || id ELSE 'Appointment ' || id || ' on ' || strftime(schedule_date, '%Y-%m-%d') END) AS first, CASE WHEN schedule_date IS NULL THEN 2 ELSE 1 END AS asked, 0 AS asked_again FROM appointments GROUP BY ALL""", "clinic.appointments")
+def q_template_cache(spark, sf_dir):
+    """Narratives of all appointments in two runs, the second of which asks for no template."""
+    check, store = checks.load("appointment-completed-no-invoice"), Store(spark, _scratch(spark))
+    a = view(spark, sf_dir, "clinic.appointments")
+    day, number = F.date_format("schedule_date", "yyyy-MM-dd"), F.col("id").cast("string")
+    dated = F.col("schedule_date").isNotNull()
+    rows = a.select("id", F.lit("v1").alias("check_version"), F.when(dated, "day:date,id:int").otherwise("id:int").alias("shape"), F.when(dated, F.create_map(F.lit("id"), number, F.lit("schedule_date"), day)).otherwise(F.create_map(F.lit("id"), number)).alias("evidence"), F.create_map().cast("map<string,string>").alias("params"))
+    client = _Echo({check.title: "Appointment {{ id }} on {{ schedule_date }}"})
+    compose.templates(rows, {"v1": check}, client, store)
+    first = client.asked
+    compose.templates(rows, {"v1": check}, client, store)
+    kept = store.read("templates", compose.TEMPLATES)
+    told = compose.composed(rows, {"v1": check}, kept, "Finding {{ id }}")
+    counted = told.groupBy("shape", F.col("narrative_status").alias("status")).agg(F.count("*").alias("findings"), F.min("text").alias("first"))
+    return counted.join(kept.select("shape", "asked"), "shape").withColumn("asked_again", F.lit(client.asked - first))
+
+
 @query()
 def q_drafts(spark, sf_dir):
     from plumbline.operators import drafts
