@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import threading
@@ -48,8 +49,16 @@ class JsonlSink:
 
 #: Plan nodes of plain queries; anything else - commands, table functions, scripts - is refused.
 QUERY_NODES = frozenset("Project Filter Aggregate Join Sort GlobalLimit LocalLimit Offset Distinct Union Except Intersect SubqueryAlias UnresolvedWith UnresolvedRelation UnresolvedHaving OneRowRelation UnresolvedInlineTable UnresolvedSubqueryColumnAliases Generate LateralJoin WithWindowDefinition Window Pivot Unpivot Deduplicate".split())
-#: Functions that run code of the machine.
-_CODE = re.compile(r"'(?:[\w`.]*\.)?`?(reflect|java_method|try_reflect)`?\(", re.IGNORECASE)
+#: Functions that run code of the machine, and those that read what no view shows.
+CODE = frozenset("reflect java_method try_reflect input_file_name input_file_block_start input_file_block_length".split())
+#: A call as the parsed plan shows it, and a name that is only known once the statement is analysed.
+_CALL, _LATE = re.compile(r"'((?:[\w`]+\.)*[\w`]+)\("), "expressionwithunresolvedidentifier("
+
+
+@functools.cache
+def _builtin(spark: SparkSession) -> frozenset[str]:
+    """Names of Spark's own functions; functions that someone registered aren't among them."""
+    return frozenset(r[0].lower() for r in spark.sql("SHOW SYSTEM FUNCTIONS").collect()) - CODE
 
 
 class TableSink:
@@ -86,8 +95,12 @@ def relations(spark: SparkSession, sql: str) -> list[str]:
         if kind not in QUERY_NODES:
             raise GuardError(f"not a plain query: {kind}")
         for e in _each(node.expressions()):
-            if m := _CODE.search(e.toString()):
-                raise GuardError(f"function {m[1]!r} isn't allowed")
+            text = e.toString()
+            if _LATE in text:
+                raise GuardError("a name has to be written out")
+            for name in _CALL.findall(text):
+                if name.replace("`", "").rpartition(".")[2].lower() not in _builtin(spark):
+                    raise GuardError(f"function {name!r} isn't allowed")
         if kind == "UnresolvedWith":
             for cte in _each(node.cteRelations()):
                 walk(cte._2(), known)

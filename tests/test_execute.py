@@ -105,3 +105,29 @@ def test_guard_allows_widens_and_audits(spark, tmp_path):
     assert wider.execute("SELECT * FROM more").count() == 2
     with pytest.raises(GuardError):
         source.execute("SELECT * FROM more")
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT IDENTIFIER('java_'||'method')('java.lang.System', 'currentTimeMillis')",
+        "SELECT id FROM app__t WHERE IDENTIFIER('ref'||'lect')('java.lang.System', 'lineSeparator') = id",
+        "SELECT * FROM IDENTIFIER('secret'||'s')",
+        "SELECT system.builtin.java_method('java.lang.System', 'currentTimeMillis')",
+        "SELECT `reflect`('java.lang.System', 'currentTimeMillis') FROM app__t",
+        "SELECT own_code(id) FROM app__t",
+        "SELECT (SELECT max(own_code(id)) FROM app__t)",
+        "SELECT input_file_name() FROM app__t",
+    ],
+)
+def test_functions_that_are_not_sparks_own_are_refused(spark, sql):
+    spark.udf.register("own_code", lambda x: x)
+    source = Source(spark, {"app.t": spark.range(2)})
+    with pytest.raises(GuardError):
+        source.execute(sql)
+
+
+def test_sparks_own_functions_pass(spark):
+    source = Source(spark, {"app.t": spark.range(3)})
+    sql = "SELECT upper(CAST(id AS STRING)) u, filter(array(id, 1), x -> x > 0) f, coalesce(nullif(id, 1), date_diff(DATE '2020-01-02', DATE '2020-01-01')) c, EXTRACT(YEAR FROM TIMESTAMP '2020-01-01 00:00:00') y, row_number() OVER (ORDER BY id) n, count(*) OVER () k, id IN (1, 2) i, CASE WHEN id LIKE '1%' THEN 'it''s java_method(x)' END t FROM app__t WHERE id BETWEEN 0 AND 2 AND EXISTS (SELECT 1 FROM app__t b WHERE b.id = app__t.id)"
+    assert source.execute(sql).count() == 3
