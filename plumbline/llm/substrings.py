@@ -10,7 +10,7 @@ share an anchor - ANCHOR = WINDOW - PERIOD + 1 words at a cover position - that
 3. The words under repeated windows go.
 
 Texts that equal each other are one place: they are counted apart, by a 128-bit hash of the text, so a group of copies
-is looked at once in a slice of a task's rows. A hash that a task has met at two places is known to repeat from then
+is looked at once in a task. A hash that a task has met at two places is known to repeat from then
 on: the two rows leave under the hash, all others are dealt out by a hash of their own place. So a passage in a third of
 all documents gives the task that its hash is dealt to two rows from each task that read documents.
 """
@@ -36,6 +36,8 @@ ANCHOR = WINDOW - PERIOD + 1
 FILTER_BITS = 1 << 24
 #: Hashes that a task remembers as known to repeat; beyond, more rows leave under their hash.
 PROVEN = 1 << 20
+#: Texts that a task remembers as looked at; beyond, a copy is looked at again.
+SEEN = 200_000
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -90,20 +92,32 @@ def _put(keys: list[np.ndarray], t1: np.ndarray, t2: np.ndarray, pos: np.ndarray
     return pa.RecordBatch.from_arrays([*(pa.array(k.view(np.int64)) for k in keys), pa.array(t1), pa.array(t2), pa.array(pos.astype(np.int32)), pa.array(known)], [*(f"k{i}" for i in range(len(keys))), "t1", "t2", "pos", "known"])
 
 
-def _distinct(t1: np.ndarray, t2: np.ndarray) -> list[int]:
-    """First row of each text of a slice."""
-    return np.sort(np.unique(np.stack((t1, t2)), axis=1, return_index=True)[1]).tolist()
+class _Texts:
+    """Texts that a task has looked at."""
+
+    def __init__(self):
+        self.seen: set[tuple[int, int]] = set()
+
+    def new(self, t1: np.ndarray, t2: np.ndarray) -> list[int]:
+        """First row of each text of a slice that the task hasn't looked at; of very many texts it forgets the earlier ones."""
+        if len(self.seen) > SEEN:
+            self.seen.clear()
+        rows = np.sort(np.unique(np.stack((t1, t2)), axis=1, return_index=True)[1])
+        names = list(zip(t1[rows].tolist(), t2[rows].tolist()))
+        found = [i for i, name in zip(rows.tolist(), names) if name not in self.seen]
+        self.seen.update(names)
+        return found
 
 
 def anchors(texts: DataFrame) -> DataFrame:
     """(k0, t1, t2, pos, known) of the anchors of (t1, t2, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        proven = _Proven(1)
+        proven, texts_ = _Proven(1), _Texts()
         for b in batches:
             for s in slices(b.column(2)):
                 t1, t2 = (b.column(i)[s.start : s.stop].to_numpy() for i in (0, 1))
-                rows = _distinct(t1, t2)
+                rows = texts_.new(t1, t2)
                 split = [x.split() for x in b.column(2)[s.start : s.stop].take(pa.array(rows)).cast(pa.binary()).to_pylist()]
                 n = np.fromiter(map(len, split), np.int64, len(split))
                 h = _hashed([w for ws in split for w in ws])
@@ -121,12 +135,12 @@ def candidate_windows(texts: DataFrame) -> DataFrame:
     """(k0, k1, t1, t2, pos, known) of the windows of (t1, t2, text, at) that hold an anchor at a position of at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        proven = _Proven(2)
+        proven, texts_ = _Proven(2), _Texts()
         for b in batches:
             for s in slices(b.column(2)):
                 t1, t2 = (b.column(i)[s.start : s.stop].to_numpy() for i in (0, 1))
                 h, start, of, base = [], [], [], 0
-                for i in _distinct(t1, t2):
+                for i in texts_.new(t1, t2):
                     own = _hashed(b.column(2)[s.start + i].as_py().encode().split())
                     kept = np.zeros(len(own) + 1, np.int64)
                     at = np.unique(b.column(3)[s.start + i].values.to_numpy())
@@ -137,6 +151,8 @@ def candidate_windows(texts: DataFrame) -> DataFrame:
                     start.append(np.stack((found + base, found)))
                     of.append(np.full(len(found), i))
                     base += len(own)
+                if not start:
+                    continue
                 start, of = np.concatenate(start, axis=1), np.concatenate(of)
                 if len(of):
                     h = np.concatenate(h)

@@ -61,3 +61,16 @@ def test_against_brute_force(spark, rows, parts, monkeypatch):
 
 def test_empty(spark):
     assert s.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_copies_are_looked_at_once_a_task(spark):
+    """A third of the rows are copies of one long text: each of its places leaves a task once, however many slices it reads."""
+    from pyspark.sql import functions as F
+
+    long = " ".join(f"w{i}" for i in range(40_000))
+    rows = [(i, long if i % 3 == 0 else f"other {i} " * 40) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).select(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
+    got = s.anchors(df).groupBy("t1", "pos", F.spark_partition_id().alias("p")).count()
+    assert got.agg(F.max("count")).first()[0] == 1 and got.groupBy("t1", "pos").count().agg(F.max("count")).first()[0] <= 2
+    out = {r["doc_id"]: r["n_removed"] for r in s.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {i: n for i, t in rows for n in [len(t.split())]}
