@@ -85,6 +85,55 @@ def test_stored_documents(spark):
     assert media.op4(df.limit(0)).count() == 0
 
 
+def direct_features(raw):
+    """Frames, spans and log-mels of 8-bit samples at 16 kHz: a plain convolution, a DFT written out, and a loop."""
+    x = (np.frombuffer(raw, np.uint8).astype(float) - 128) / 128
+    t = np.arange(24) - 11.5
+    h = np.sinc(t / 2) * np.hamming(24)
+    y = np.convolve(x, h / h.sum())[11::2][: -(-len(x) // 2)]  # half the rate
+    n = 1 + max(0, -(-(len(y) - 200) // 80))
+    y = np.concatenate((y, np.zeros((n - 1) * 80 + 200 - len(y))))
+    frames = np.array([y[80 * i : 80 * i + 200] * np.hanning(200) for i in range(n)])
+    dft = np.exp(-2j * np.pi * np.outer(np.arange(200), np.arange(129)) / 256)
+    power = np.abs(frames @ dft) ** 2
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = [700 * (10 ** (m / 2595) - 1) for m in np.linspace(mel(60), mel(4000), 26)]
+    bank = np.zeros((129, 24))
+    for b in range(24):
+        for k in range(129):
+            f = k * 8000 / 256
+            bank[k, b] = max(0, min((f - edges[b]) / (edges[b + 1] - edges[b]), (edges[b + 2] - f) / (edges[b + 2] - edges[b + 1])))
+    energy = np.log((frames**2).mean(1) + 1e-9)
+    up, down, on, spans = energy.mean() + energy.std() / 2, energy.mean() - energy.std() / 2, None, []
+    for i, e in enumerate([*energy, -np.inf]):
+        if on is None and e > up and i < n:
+            on = i
+        elif on is not None and (e < down or i == n):
+            spans.append((on, i))
+            on = None
+    return n, spans, np.log(power @ bank + 1e-6)
+
+
+def test_features_against_direct_computation(spark):
+    texts = ["hello world " * 300, "a" * 500 + "zq~" * 900 + " " * 700 + "The quick brown fox. " * 90, "é" * 96, None, "long text with words " * 20_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    made = {r["doc_id"]: r for r in media.features(media.stored(df)).collect()}
+    told = {r["doc_id"]: r["feature"] for r in media.op4(df).collect()}
+    for d, text in enumerate(texts):
+        raw = (text or "").encode()
+        n, spans, mels = direct_features(raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw)))
+        r = made[d]
+        assert r["frames"] == n and [(round(s["start_ms"]), round(s["end_ms"])) for s in r["spans"]] == [(10 * a, 10 * (b - 1) + 25) for a, b in spans]
+        got = pa.ipc.open_stream(r["tensors"]).read_all()
+        want = [mels[p : min(p + 64, b)] for a, b in spans for p in range(a, b, 64)]
+        tensors = got.column("log_mel").combine_chunks().to_numpy_ndarray() if len(got) else np.zeros((0, 64, 24))
+        assert len(tensors) == len(want)
+        for t, w in zip(tensors, want):
+            assert np.allclose(t[: len(w)], w, atol=2e-2) and not t[len(w) :].any()
+        assert told[d] == f"{n}:{len(spans)}:{hashlib.sha256(r['tensors']).hexdigest()}"
+    assert any(":0:" not in f for f in told.values())
+
+
 def test_tensors_have_their_shape_and_times():
     x = np.concatenate([np.zeros(8000), np.sin(np.arange(24_000)) * 120, np.zeros(8000)]) + 128
     stream, frames, spans = media.tensor_stream(media.wav(x.astype(np.uint8).tobytes()))
