@@ -145,6 +145,7 @@ def run(source: Source, store: Store, checks: list[Check], *, run_id: str, as_of
     report.status = "completed_with_errors" if report.errors else "completed"
     ended = [(base["trigger"], report.status, base["started_at"], _now(), base["base_version"], len(checks), len(report.errors), as_of)]
     store.append("ended", spark.createDataFrame(ended, _RUN), run_id)
+    source.flush()
     for name in ("judged", "key_sums"):
         for part in store.parts(name, f"{run_id}--"):
             store.remove(name, part)

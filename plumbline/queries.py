@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from plumbline import checks
 from plumbline.operators import calibration, compose, dashboard, execute, feedback, findings, keysets, narrate, profile, reconcile, registry, review, sketches
 from plumbline.operators.run import history, run
-from plumbline.plans.document import from_dict
+from plumbline.plans.document import ACTIONS, from_dict
 from plumbline.sources import documents, tables
 from plumbline.sources.guard import Source
 from plumbline.sources.state import Store
@@ -740,6 +740,14 @@ def q_actions(spark, sf_dir):
     return documents.actions(spark).where("code IN ('book-recall', 'verify-invoice', 'raise-recall-task')").select("code", "title")
 
 
+@query("SELECT code, title, count(*) AS findings FROM events JOIN (VALUES " + ", ".join(f"({i}, '{c}', '{t}')" for i, (c, t, _) in enumerate(sorted(ACTIONS))) + """) a(i, code, title) ON user_id % 9 = i WHERE event_type <> 'error' GROUP BY ALL""")
+def q_action_use(spark, sf_dir):
+    """How many findings ask for each action of the library."""
+    codes = F.array(*(F.lit(c) for c, *_ in sorted(ACTIONS)))
+    asked = table(spark, sf_dir, "events").where("event_type <> 'error'").select(F.get(codes, (F.col("user_id") % 9).cast("int")).alias("code"))
+    return asked.join(documents.actions(spark), "code").groupBy("code", "title").agg(F.count("*").alias("findings"))
+
+
 @query("SELECT 'o_gone' AS column_name")
 def q_drift(spark, sf_dir):
     gone = execute.drift(["o_orderkey", "o_gone", "O_CUSTKEY"], table(spark, sf_dir, "orders").columns)

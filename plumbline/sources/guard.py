@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import json
 import re
@@ -62,10 +63,25 @@ def _builtin(spark: SparkSession) -> frozenset[str]:
 
 
 class TableSink:
-    """Keeps events and appends them to a Parquet table, `every` at a time and when flushed."""
+    """Keeps events and appends them to a Parquet table, `every` at a time, when flushed, and when the driver ends.
+
+    A run flushes the sinks of its source; `with TableSink(...) as sink` does so at the end of a block.
+    """
 
     def __init__(self, spark: SparkSession, path: str, every: int = 100):
         self.spark, self.path, self.every, self.held = spark, path, every, []
+        atexit.register(self._last)
+
+    def __enter__(self) -> TableSink:
+        return self
+
+    def __exit__(self, *_: Any) -> None:
+        self.flush()
+
+    def _last(self) -> None:
+        """Writes what is left where the session still stands."""
+        if self.held and self.spark.sparkContext._jsc and not self.spark.sparkContext._jsc.sc().isStopped():
+            self.flush()
 
     def __call__(self, event: AuditEvent) -> None:
         self.held.append(event)
@@ -182,6 +198,11 @@ class Source:
             sc.removeJobTag(tag)
             sc.setInterruptOnCancel(False)
 
+    def flush(self) -> None:
+        """Has sinks write what they hold."""
+        for sink in self.sinks:
+            getattr(sink, "flush", lambda: None)()
+
     def columns(self) -> dict[str, list[str]]:
         """Column names of each view, in order."""
         return {v: df.columns for v, df in self.views.items()}
