@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline import checks
+from plumbline.drafts_sql import VIEWS as DRAFT_VIEWS
+from plumbline.drafts_sql import drafts_sql
 from plumbline.operators import calibration, compose, dashboard, execute, feedback, findings, keysets, narrate, profile, reconcile, registry, review, sketches
 from plumbline.operators.run import history, run
 from plumbline.plans.document import ACTIONS, from_dict
@@ -859,9 +861,9 @@ def q_template_cache(spark, sf_dir):
     return counted.join(kept.select("shape", "asked"), "shape").withColumn("asked_again", F.lit(client.asked - first))
 
 
-@query()
+@query(drafts_sql(AS_OF.isoformat(sep=" ")), *DRAFT_VIEWS)
 def q_drafts(spark, sf_dir):
     from plumbline.operators import drafts
 
-    catalog = drafts.catalog(spark, views(spark, sf_dir, "clinic.appointments", "clinic.invoices", "clinic.patients", "clinic.sentinels"), as_of=AS_OF)
+    catalog = drafts.catalog(spark, views(spark, sf_dir, *DRAFT_VIEWS), as_of=AS_OF)
     return spark.createDataFrame([(d["id"], d["title"], d["category"], d["entity"]["view"]) for d in drafts.generate(catalog, as_of=AS_OF, practice_column={"clinic.invoices": "supplier"})], "slug string, title string, category string, view string")
