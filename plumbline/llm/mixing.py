@@ -6,12 +6,15 @@ goes by size class first, so the copies spread evenly over short and long docume
 the target, and by a hash of doc_id within a class.
 
 No source is put in order by one task. A source is cut in runs of that order - a size class and the leading hex
-digits of the hash, and for rows without a doc_id, which share a hash, the size and leading digits of a hash of the text -
-and a document's rank is the number of documents in earlier classes and runs plus its rank in its own run.
+digits of the hash, and for rows that share a hash, having no doc_id or one that very many rows repeat, the size and leading
+digits of a hash of the text - and a document's rank is the number of documents in earlier classes and runs plus its rank
+in its own run. Which doc_ids are repeated very often is asked of a frequent-item sketch; the order doesn't depend on it.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ from plumbline.llm.common import n_words, written
 
 #: Leading bits of a size that name its class, and hex digits of the hash that name a run within a class.
 BITS, DIGITS = 5, 2
+#: A doc_id is repeated very often if it is one in OFTEN rows; the most of them to look for, and what the sketch tracks for it.
+OFTEN, MOST, TRACKED = 1000, 64, 16_384
 
 
 def _hex(digit: Column) -> Column:
@@ -52,17 +57,32 @@ def _mark() -> Column:
     return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
+def _hash() -> Column:
+    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+
+
+def repeated(sizes: DataFrame) -> list[str]:
+    """Hashes of the doc_ids that very many rows share, in order, and that of none; no more than MOST + 1."""
+    top = F.expr(f"approx_top_k(coalesce(CAST(doc_id AS STRING), ''), {MOST}, {TRACKED})")
+    often = sizes.agg(F.count("*").alias("rows"), top.alias("top")).select("rows", F.explode("top").alias("t")).where(F.col("t.count") * OFTEN >= F.col("rows"))
+    found = often.select(F.md5(F.col("t.item")).alias("h")).collect()
+    return sorted({hashlib.md5(b"").hexdigest(), *(r["h"] for r in found)})
+
+
 def with_copies(docs: DataFrame, sizes: DataFrame, *, seed: int = 0, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """docs (with columns size and mark) and how often each row is taken: source_size, target, copies.
 
     sizes: doc_id, source, size and mark of the same rows, a written table.
     """
 
+    hot = F.array(*map(F.lit, repeated(sizes)))
+
     def ordered(df: DataFrame) -> DataFrame:
-        bits, none = F.bin("size"), F.md5(F.lit(""))
-        hashed = df.withColumns({"_class": (F.length(bits) * 2**BITS + F.conv(F.substring(bits, 1, BITS), 2, 10).cast("int")).cast("int"), "_hash": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))})
+        bits = F.bin("size")
+        hashed = df.withColumns({"_class": (F.length(bits) * 2**BITS + F.conv(F.substring(bits, 1, BITS), 2, 10).cast("int")).cast("int"), "_hash": _hash()})
+        lower = F.lpad(F.size(F.filter(hot, lambda h: h < F.col("_hash"))).cast("string"), 3, "0")
         spread = F.concat(F.lit("1"), F.lpad(F.col("size").cast("string"), 19, "0"), F.substring("mark", 1, DIGITS))
-        own = F.when(F.col("doc_id").isNull(), spread).when(F.col("_hash") < none, "0").otherwise("2")  # where rows without a doc_id stand
+        own = F.concat(lower, F.when(F.array_contains(hot, F.col("_hash")), spread).otherwise("0"))  # where repeated doc_ids stand
         return hashed.withColumn("_run", F.concat(F.substring("_hash", 1, DIGITS), own))
 
     goal = targets(sizes, weights, most).withColumnRenamed("source", "_source")

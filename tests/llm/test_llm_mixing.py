@@ -1,3 +1,6 @@
+import hashlib
+import math
+
 import pytest
 
 from plumbline.llm import mixing
@@ -68,6 +71,24 @@ def test_the_mix_holds_each_row_as_often_as_it_is_taken(spark, rows):
     assert got == {d: n for d, n in copies.items() if n} and mixed.columns == df.columns
 
 
+def test_a_doc_id_of_a_third_of_the_rows_is_cut_into_runs(spark):
+    rows = [(7 if i % 3 == 0 else i, " ".join(f"w{i}x{k}" for k in range(40 + i % 3)), "en", "s", 1) for i in range(3000)]
+    rows += [(9000 + i, f"only {i} here", "en", "t", 1) for i in range(3000)]
+    df = spark.createDataFrame(rows, DOCS)
+    sizes = mixing._sizes(df)
+    hot = mixing.repeated(sizes)
+    assert hashlib.md5(b"7").hexdigest() in hot and hashlib.md5(b"").hexdigest() in hot and hot == sorted(hot) and len(hot) <= mixing.MOST + 1
+    # the order is that of hash, doc_id, size and mark, whatever is cut out of it
+    key = lambda r: (len(f"{r[1]:b}"), f"{r[1]:b}"[:5], hashlib.md5(str(r[0]).encode()).hexdigest(), r[0], r[1], r[2])
+    ranked = sorted(((d, len(t.split()), hashlib.md5(t.encode()).hexdigest()) for d, t, _, s, _ in rows if s == "s"), key=key)
+    offset = int(hashlib.md5(b"0:s").hexdigest()[:4], 16) / 65536
+    found = mixing.with_copies(sizes, sizes).where("source = 's'").collect()
+    rate = found[0]["target"] / found[0]["source_size"]
+    got = {r["mark"]: r["copies"] for r in found}
+    assert 0.1 < rate < 0.9 and set(got.values()) == {0, 1}
+    assert got == {m: math.floor(offset + k * rate) - math.floor(offset + (k - 1) * rate) for k, (_, _, m) in enumerate(ranked, 1)}
+
+
 def test_empty(spark):
     assert mixing.op6(spark.createDataFrame([], DOCS)).count() == 0
     assert mixing.op6(spark.createDataFrame([(1, None, "en", "s", 0)], DOCS)).first()["taken"] == 0
