@@ -22,6 +22,8 @@ from plumbline.llm.common import written
 
 #: Bits of the hash that name a range at first, and more bits with each closer look.
 COARSE, FINER = 12, 8
+#: Fully equal rows that are numbered together.
+TOGETHER = 1 << 16
 
 
 @dataclass
@@ -116,17 +118,21 @@ def plan(groups: DataFrame, shards: int) -> Cuts:
 
 
 def placed(rows: DataFrame, shard: Column, shards: int) -> DataFrame:
-    """rows with shard and slot, slots gapless from 0 in each shard; rows: a written table with doc_id and h.
+    """Each row as often as its column n says, with shard and slot, slots gapless from 0 in each shard; rows: a written table of
+    different rows (doc_id, size, text_crc32, h).
 
     A shard is not numbered by one task: its rows are dealt by a hash of doc_id and text, numbered there, and shifted by
-    the number of rows dealt before. Rows without a doc_id are dealt by their texts.
+    the number of rows dealt before. Fully equal rows stand as counts, which are cut into pieces that are dealt apart, and
+    are written out only when they have their slots.
     """
-    dealt = max(16, rows.count() // (250_000 * shards) + 1)
-    own = rows.withColumns({"shard": shard, "_deal": F.pmod(F.xxhash64("doc_id", "size", "h"), F.lit(dealt)).cast("int")})
-    before = F.sum("count").over(Window.partitionBy("shard").orderBy("_deal").rowsBetween(Window.unboundedPreceding, -1))
-    shifts = own.groupBy("shard", "_deal").count().select(F.col("shard").alias("_s"), F.col("_deal").alias("_d"), F.coalesce(before, F.lit(0)).alias("_before"))
-    number = F.row_number().over(Window.partitionBy("shard", "_deal").orderBy("doc_id", "h"))
-    return own.join(shifts, (F.col("shard") == F.col("_s")) & (F.col("_deal") == F.col("_d"))).withColumn("slot", (F.col("_before") + number - 1).cast("long"))
+    dealt = max(16, (rows.agg(F.sum("n")).first()[0] or 0) // (250_000 * shards) + 1)
+    pieces = rows.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(TOGETHER).cast("long"))))
+    pieces = pieces.withColumns({"n": F.least(F.col("n") - F.col("_from"), F.lit(TOGETHER)), "shard": shard, "_deal": F.pmod(F.xxhash64("doc_id", "size", "h", "_from"), F.lit(dealt)).cast("int")})
+    before = lambda own: F.coalesce(F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = pieces.groupBy("shard", "_deal").agg(F.sum("n").alias("n")).select(F.col("shard").alias("_s"), F.col("_deal").alias("_d"), before(Window.partitionBy("shard").orderBy("_deal")).alias("_before"))
+    joined = pieces.join(shifts, (F.col("shard") == F.col("_s")) & (F.col("_deal") == F.col("_d")))
+    first = joined.withColumn("_first", F.col("_before") + before(Window.partitionBy("shard", "_deal").orderBy("doc_id", "h", "_from")))
+    return first.withColumn("slot", F.explode(F.sequence("_first", F.col("_first") + F.col("n") - 1)))
 
 
 def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
@@ -139,8 +145,8 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     """
     text = F.col("text").cast("string")
     rows = docs.select("doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"), F.xxhash64(text).alias("h"))
-    rows = written(rows, "shard-rows")
-    groups = written(rows.groupBy("h").agg(F.sum("size").alias("bytes")), "shard-groups")
+    rows = written(rows.groupBy("doc_id", "size", "text_crc32", "h").agg(F.count("*").alias("n")), "shard-rows")
+    groups = written(rows.groupBy("h").agg(F.sum(F.col("size") * F.col("n")).alias("bytes")), "shard-groups")
     cuts = plan(groups, shards)
     return placed(rows, cuts.shard(F.col("h")), shards).select("doc_id", "size", "text_crc32", "shard", "slot")
 

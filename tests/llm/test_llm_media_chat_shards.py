@@ -246,3 +246,15 @@ def test_few_and_no_rows(spark):
     df = spark.createDataFrame([(1, "a", "en", "s", 1)], DOCS)
     assert [tuple(r)[4:6] for r in sharding.op9(df).collect()] == [(0, 0)]
     assert sharding.op9(df.limit(0)).count() == 0
+
+
+def test_equal_rows_are_numbered_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "TOGETHER", 7)
+    rows = [(5, "again and again", None, None, 1)] * 40 + [(None, None, None, None, None)] * 15 + [(100 + i, f"text {i} " * (i % 9 + 1), None, None, 1) for i in range(60)]
+    got = sharding.op9(spark.createDataFrame(rows, DOCS)).collect()
+    slots, homes = {}, {}
+    for r in got:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+        homes.setdefault(r["doc_id"], []).append(r["shard"])
+    assert len(got) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len(homes[5]) == 40 and len(set(homes[5])) == 1 and len(homes[None]) == 15 and len(set(homes[None])) == 1
