@@ -97,6 +97,7 @@ def learned(check: Check, views: dict[str, DataFrame], config: DataFrame, least:
         if param.measure not in MEASURES:
             raise KeyError(f"unknown measure {param.measure!r}")
         found = percentiles(MEASURES[param.measure](views), param.p)
+        found = found.withColumn("practice_id", F.col("practice_id").cast(config.schema["practice_id"].dataType))
         own = config.where("params_source IS DISTINCT FROM 'manual'").join(found, "practice_id", "left")
         after = F.when(F.coalesce("n", F.lit(0)) >= least, F.col("learned")).otherwise(F.lit(float(param.default)))
         one = own.select("practice_id", F.lit(name).alias("param"), F.coalesce("n", F.lit(0)).alias("n"), F.col("params")[name].alias("before"), after.alias("after"))
