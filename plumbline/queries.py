@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from plumbline import checks
 from plumbline.drafts_sql import VIEWS as DRAFT_VIEWS
 from plumbline.drafts_sql import drafts_sql
-from plumbline.operators import calibration, compose, dashboard, execute, feedback, findings, keysets, narrate, profile, reconcile, registry, review, sketches
+from plumbline.operators import calibration, compose, dashboard, execute, feedback, findings, jobs, keysets, narrate, profile, reconcile, registry, review, sketches
 from plumbline.operators.run import history, run
 from plumbline.plans.document import ACTIONS, from_dict
 from plumbline.sources import documents, tables
@@ -393,6 +393,37 @@ def q_demotion(spark, sf_dir):
     return calibration.demotions(stats, config).select("practice_id", "check_id", "precision")
 
 
+def _dismissed_events(spark, sf_dir):
+    """A store whose findings are the events, all of them dismissed by a batch of commands."""
+    e, store, none = table(spark, sf_dir, "events"), Store(spark, _scratch(spark)), F.lit(None)
+    check, key = F.col("event_type").alias("check_id"), F.col("event_id").cast("string")
+    store.write("findings", e.select(check, key.alias("dedupe_key"), (F.col("user_id") % 3).cast("string").alias("practice_id"), key.alias("entity_key"), F.lit("open").alias("status"), none.cast("string").alias("evidence"), F.lit("r1").alias("first_seen_run"), F.lit("r1").alias("last_seen_run"), none.cast("timestamp_ntz").alias("snoozed_until")))
+    reason = F.when(F.col("event_id") % (3 + F.col("user_id") % 3) == 0, "genuine_issue").otherwise("not_genuine")
+    jobs.review(store, e.select(check, key.alias("dedupe_key"), F.lit("dismiss").alias("command"), reason.alias("reason_code"), F.lit("someone").alias("actor"), none.cast("string").alias("note"), none.cast("timestamp_ntz").alias("until"), F.col("ts").cast("timestamp_ntz").alias("occurred_at")), "b1")
+    return store
+
+
+LOOP_SQL = """WITH d AS (SELECT CAST(user_id % 3 AS VARCHAR) AS practice_id, event_type AS check_id, event_id % (3 + user_id % 3) = 0 AS genuine,
+    row_number() OVER (PARTITION BY user_id % 3, event_type ORDER BY ts DESC, 'b1:' || event_id DESC) AS k FROM events),
+  p AS (SELECT practice_id, check_id, count(*) AS n, count(*) FILTER (genuine) AS genuine FROM d WHERE k <= 50 GROUP BY ALL HAVING count(*) >= 10)"""
+
+
+@query(f"{LOOP_SQL} SELECT practice_id, check_id, n, genuine, round(genuine / n, 6) AS precision FROM p")
+def q_logged_precision(spark, sf_dir):
+    """Precision of the dismissals that a batch of commands logged."""
+    return jobs.precision(_dismissed_events(spark, sf_dir), "p1", EVENTS_AS_OF).drop("computed_at")
+
+
+@query(f"{LOOP_SQL} SELECT practice_id, check_id, true AS demoted, printf('precision %.4f below floor %.4f', round(genuine / n, 6), 0.3) AS demotion_reason FROM p WHERE round(genuine / n, 6) < 0.3")
+def q_demoted_config(spark, sf_dir):
+    """The configuration after commands, precision and demotion, each sent twice."""
+    store = _dismissed_events(spark, sf_dir)
+    for _ in range(2):
+        jobs.precision(store, "p1", EVENTS_AS_OF)
+        jobs.demote(store, "d1", EVENTS_AS_OF)
+    return jobs.config(store).select("practice_id", "check_id", "demoted", "demotion_reason")
+
+
 @query("SELECT DISTINCT practice_id, check_id FROM feedback", "clinic.feedback")
 def q_active_pairs(spark, sf_dir):
     return calibration.active_pairs(view(spark, sf_dir, "clinic.feedback"))
