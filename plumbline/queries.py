@@ -853,7 +853,8 @@ def q_narrative_violations(spark, sf_dir):
     said = said.when(kind == 2, F.concat(F.lit("Appointment "), "id", F.lit(" on "), day, F.lit(" has no invoice after 7 days"))).otherwise(F.concat(F.lit("Appointment no. "), "id"))
     none = F.array().cast("array<string>")
     rows = a.select("id", F.get(F.array(*map(F.lit, TEMPLATES)), kind).alias("template"), said.alias("text"), F.create_map(F.lit("id"), F.col("id").cast("string"), F.lit("day"), day, F.lit("who"), F.col("patient").cast("string")).alias("evidence"), F.create_map().cast("map<string,string>").alias("params"), F.array(F.lit("id"), F.lit("day")).alias("declared"), none.alias("actions"), none.alias("selected"), none.alias("vocabulary"))
-    return narrate.violations(rows).select("id", F.posexplode("violations").alias("nth", "v")).select("id", "nth", "v.rule", "v.detail")
+    # Outer: otherwise the optimizer asks for rows with violations below the join, and judges each row there as well.
+    return narrate.violations(rows).select("id", F.posexplode_outer("violations").alias("nth", "v")).where("nth IS NOT NULL").select("id", "nth", "v.rule", "v.detail")
 
 
 @query("SELECT event_type AS check_version, CASE WHEN value > 50 THEN 'a:double' ELSE 'b:string' END AS shape, count(*) AS findings FROM events GROUP BY ALL")
