@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import arrow_map, slices
+from plumbline.llm.common import arrow_map, give_back, slices
 
 RUN = 64
 #: Rows of the weight table; words whose scores a worker remembers, and their characters in total.
@@ -379,7 +379,10 @@ def fit(docs: DataFrame, *, per_language: int = 150, rows: int = 6_000, chars: i
     passage = F.substring("text", 1, max(1, chars // (take * max(languages, 1)))).alias("text")
     found = labelled.join(F.broadcast(chosen), ["lang", "doc_id", "mark"]).select("lang", "doc_id", passage).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect()
     found.sort(key=lambda r: (r["lang"], r["doc_id"]))
-    return train([r["text"] for r in found], [r["lang"] for r in found])
+    model = train([r["text"] for r in found], [r["lang"] for r in found])
+    del found
+    give_back()  # the driver goes on with other work
+    return model
 
 
 RUNS = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType()), T.StructField("lang", T.StringType())]))

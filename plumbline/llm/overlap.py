@@ -155,15 +155,17 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray
 
 
 def _meetings(similar: float):
-    """Pairs of sets that meet by a shingle and may be similar; rows (s, key, n, pos) are sorted by it.
+    """Pairs of sets that meet by a shingle and may be similar; rows (s, key, n, pos, p0, p1) are sorted by it.
 
-    All pairs of groups of FEW rows or fewer; of a larger group a few a row, and its rows themselves.
+    All pairs of groups of FEW rows or fewer; of a larger group a few a row, and its rows themselves. p0 and p1 are a set's
+    first shingles. Two sets that share one of these met in its group, under weaker conditions - all pairs of a small group
+    are there, and a large one's rows are all compared later - so later groups leave them to it, and most pairs come once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (s, key, n, pos), going in _pieces(batches):
+        for (s, key, n, pos, *heads), going in _pieces(batches):
             order = np.lexsort((key, n, s))
-            s, key, n, pos = (x[order] for x in (s, key, n, pos))
+            s, key, n, pos, *heads = (x[order] for x in (s, key, n, pos, *heads))
             new = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
             ends = np.append(new[1:], len(s))
             size, start, end = (np.repeat(x, ends - new) for x in (ends - new, new, ends))
@@ -174,6 +176,9 @@ def _meetings(similar: float):
 
             def take(i: np.ndarray, j: np.ndarray) -> None:
                 ok = (key[i] != key[j]) & _may(n[i], pos[i], n[j], pos[j], similar)
+                for x, p in enumerate(heads):
+                    for y, q in enumerate(heads):
+                        ok &= (p[i] != q[j]) | (pos[i] <= x) | (pos[j] <= y)
                 if ok.any():
                     kept.append(_ordered(key[i[ok]], key[j[ok]]))
 
@@ -300,7 +305,7 @@ def similar_texts(docs: DataFrame, *, similar: float = SIMILAR, shingle: int = S
     own = written(found.groupBy("key").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", *BITMAP, "prefix"))), "overlap-keys")
 
     def dealt(rows: DataFrame) -> DataFrame:
-        rows = rows.select("s", "key", "n", "pos").repartition("s").sortWithinPartitions("s")
+        rows = rows.select("s", "key", "n", "pos", "p0", "p1").repartition("s").sortWithinPartitions("s")
         return arrow_map(rows, _meetings(similar), "a long, b long, s long, key long, n long, pos long")
 
     def checked(pairs: DataFrame) -> DataFrame:
@@ -322,7 +327,8 @@ def similar_texts(docs: DataFrame, *, similar: float = SIMILAR, shingle: int = S
         alike = F.size(F.array_intersect("x", "y")) * F.lit(1 + similar) >= F.lit(similar) * (F.size("x") + F.size("y")) - F.lit(1e-9)
         return both.where(alike).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
-    rows = own.select("key", "n", F.posexplode("prefix").alias("pos", "s")).withColumn("pos", F.col("pos").cast("long"))
+    heads = [F.coalesce(F.get("prefix", F.lit(k)), F.lit(0).cast("long")).alias(f"p{k}") for k in (0, 1)]
+    rows = own.select("key", "n", *heads, F.posexplode("prefix").alias("pos", "s")).withColumn("pos", F.col("pos").cast("long"))
     first = written(dealt(rows), "overlap-first")
     links = written(checked(first.where("a IS NOT NULL").select("a", "b")), "overlap-links")
     labels = connected(links).select(F.col("node").alias("key"), "root")

@@ -90,6 +90,20 @@ def test_small_blocks_lose_nothing(spark, monkeypatch):
     test_groups_against_brute_force(spark)
 
 
+def test_a_pair_comes_once(monkeypatch):
+    """Two sets that share all of their prefixes, and one that shares all but the first two, whatever piece a shingle is in."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(overlap, "ROWS_AT_ONCE", 4)
+    heads = {1: (0, 1), 2: (0, 1), 3: (1, 2)}
+    rows = [(s, k, 100, s - (k == 3), *heads[k]) for s in range(20) for k in heads if k < 3 or s]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.array(x)) for x in zip(*rows)], ["s", "key", "n", "pos", "p0", "p1"])
+    got = pa.Table.from_batches(overlap._meetings(0.8)(iter([batch])))
+    pairs = [(a, b) for a, b in zip(got["a"].to_pylist(), got["b"].to_pylist()) if a is not None]
+    assert sorted(pairs) == [(1, 2), (1, 3), (2, 3)]
+
+
 def test_a_shingle_that_very_many_sets_share(spark):
     """50,000 sets of different components meet by one shingle: only the planted pairs leave the tasks, and cells stay small."""
     import time
