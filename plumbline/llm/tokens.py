@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -27,6 +28,10 @@ WHOLE = 1_000_000
 HELD, HELD_IDS, LONGEST = 500_000, 4_000_000, 64
 #: Bytes of new pieces encoded as one string.
 JOINED = 1 << 14
+#: Bytes that end a word of ASCII letters before them: the usual pattern has them in no match with a letter.
+_STOPS, _LETTERS = np.zeros(256, bool), np.zeros(256, bool)
+_STOPS[list(b".,;:!?")] = True
+_LETTERS[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
 _encoders: dict[str, Encoder] = {}
 
 
@@ -43,7 +48,8 @@ class Encoder:
     """Encodes whole texts.
 
     A byte-level tokenizer that cuts words by the usual pattern never joins the characters on both sides of a
-    space between two non-spaces, so its ids are those of the pieces that begin at such spaces. Equal pieces of a
+    space between two non-spaces, nor an ASCII letter and a stop behind it, so its ids are those of the pieces that begin
+    at such spaces and stops; a word is then the same piece with a comma and without. Equal pieces of a
     part of the texts are encoded once, and a worker remembers a bounded number of short ones; pieces are compared
     byte by byte. A text without such spaces is one piece and remembered nowhere. Other tokenizers encode each text
     in one go.
@@ -55,7 +61,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         pre = spec.get("pre_tokenizer") or {}
         byte_level = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space")
-        self.by_piece = byte_level and pre.get("use_regex", True) and not any(a["lstrip"] or a["rstrip"] or " " in a["content"] for a in spec["added_tokens"])
+        self.by_piece = byte_level and pre.get("use_regex", True) and not any(a["lstrip"] or a["rstrip"] or re.search(" |[A-Za-z][.,;:!?]", a["content"]) for a in spec["added_tokens"])
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.tiling = self.by_piece and spec.get("post_processor") is None
         self.lengths = self._byte_lengths() if self.by_piece else None
@@ -98,7 +104,7 @@ class Encoder:
 
     @staticmethod
     def _cuts(b: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """Where pieces begin: at each text's begin, and at spaces whose neighbours in the text are no white space."""
+        """Where pieces begin: at each text's begin, at spaces whose neighbours in the text are no white space, at stops behind a letter."""
         n = len(b)
         p = np.flatnonzero(b == 32)
         edge = np.zeros(n + 1, bool)
@@ -112,6 +118,7 @@ class Encoder:
         third = b[np.maximum(p - 3, 0)]
         loose |= wide & ((b[np.maximum(p - 2, 0)] == 0xC2) | ((third >= 0xE1) & (third <= 0xE3)))
         edge[p[~loose]] = True
+        edge[1:n] |= _STOPS[b[1:]] & _LETTERS[b[:-1]]
         return np.flatnonzero(edge[:n])
 
     def _part(self, b: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -173,3 +173,15 @@ def test_read_back_ids_over_many_parts(spark, plain, tmp_path, monkeypatch):
     tokenfile.write(spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}/f", PATH)
     got = {r["doc_id"]: r["ids"] for r in tokenfile.read(spark, f"file://{tmp_path}/f", with_ids=True).collect()}
     assert got == {i: [*whole(plain, t), 2] for i, t in rows}
+
+
+def test_a_word_with_and_without_a_stop_is_one_piece():
+    encoder = tokens.Encoder(PATH)
+    texts = ["one, one. one! one", "a.b c;d 'tis it's, don't.x", "é, ñ. 1,2 a,,b a, b\n.c \t, x", ",", ".a", "", "end."]
+    ids, n = encoder.encode(texts)
+    library = Tokenizer.from_file(PATH)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == sum(want, []) and n.tolist() == list(map(len, want))
+    encoder = tokens.Encoder(PATH)
+    encoder.encode([" word, word. word! word"])
+    assert sorted(encoder.known.to_pylist()) == [b" word", b"!", b",", b"."]
