@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -25,13 +24,26 @@ from plumbline.llm.common import arrow_map, slices  # noqa: E402
 SLICE = AT_ONCE = 2_000_000
 WHOLE = 1_000_000
 #: What a worker remembers: pieces, their ids in total, and the bytes of the longest piece.
-HELD, HELD_IDS, LONGEST = 500_000, 4_000_000, 64
+HELD, HELD_IDS, LONGEST = 200_000, 2_000_000, 64
 #: Bytes of new pieces encoded as one string.
 JOINED = 1 << 14
-#: Bytes that end a word of ASCII letters before them: the usual pattern has them in no match with a letter.
-_STOPS, _LETTERS = np.zeros(256, bool), np.zeros(256, bool)
-_STOPS[list(b".,;:!?")] = True
-_LETTERS[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
+#: Kinds of characters: unknown, letter, digit, other visible ASCII, apostrophe, white space. Of letters beyond ASCII those
+#: of two bytes are known whose first byte is C3 to C9 (without the signs of times and division), D0 or D1.
+_LETTER, _DIGIT, _SIGN, _APOSTROPHE, _WHITE = range(1, 6)
+_KIND, _LEADS = np.zeros(256, np.uint8), np.zeros(256, bool)
+_KIND[33:127] = _SIGN
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[48:58] = _DIGIT
+_KIND[39] = _APOSTROPHE
+_KIND[[*range(9, 14), 32]] = _WHITE
+_LEADS[[*range(0xC3, 0xCA), 0xD0, 0xD1]] = True
+#: Kinds side by side that no match of the usual pattern joins; an apostrophe may begin one with what follows.
+_APART = np.zeros((6, 8), bool)
+for _k in (_LETTER, _DIGIT, _SIGN):
+    _APART[_k, [x for x in (_LETTER, _DIGIT, _SIGN) if x != _k]] = True
+_APART[[_LETTER, _DIGIT], _APOSTROPHE] = True
+_APART[1:_WHITE, _WHITE] = True
+_APART = _APART.ravel()
 _encoders: dict[str, Encoder] = {}
 
 
@@ -48,11 +60,11 @@ class Encoder:
     """Encodes whole texts.
 
     A byte-level tokenizer that cuts words by the usual pattern never joins the characters on both sides of a
-    space between two non-spaces, nor an ASCII letter and a stop behind it, so its ids are those of the pieces that begin
-    at such spaces and stops; a word is then the same piece with a comma and without. Equal pieces of a
-    part of the texts are encoded once, and a worker remembers a bounded number of short ones; pieces are compared
-    byte by byte. A text without such spaces is one piece and remembered nowhere. Other tokenizers encode each text
-    in one go.
+    space between two non-spaces, nor a letter, a digit and a sign, nor what is visible and white space behind it, so its
+    ids are those of the pieces that begin at such places; a word is then the same piece with a comma, a line's end or
+    nothing behind it. Equal pieces of a part of the texts are encoded once, and a worker remembers a bounded number of
+    short ones, those that it met last; pieces are compared byte by byte. A text without such places is one piece and
+    remembered nowhere. Other tokenizers encode each text in one go.
     """
 
     def __init__(self, path: str):
@@ -61,14 +73,14 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         pre = spec.get("pre_tokenizer") or {}
         byte_level = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space")
-        self.by_piece = byte_level and pre.get("use_regex", True) and not any(a["lstrip"] or a["rstrip"] or re.search(" |[A-Za-z][.,;:!?]", a["content"]) for a in spec["added_tokens"])
+        self.by_piece = byte_level and pre.get("use_regex", True) and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or " " in a["content"] for a in spec["added_tokens"])
+        self.added = [a["content"].encode() for a in spec["added_tokens"]]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.tiling = self.by_piece and spec.get("post_processor") is None
         self.lengths = self._byte_lengths() if self.by_piece else None
-        self._forget()
-
-    def _forget(self) -> None:
+        #: Pieces, their ids end to end and where these end, the part in which a piece was last met, and the parts so far.
         self.known, self.flat, self.ends = pa.array([], pa.large_binary()), np.zeros(0, self.dtype), np.zeros(1, np.int64)
+        self.met, self.parts = np.zeros(0, np.int64), 0
 
     @staticmethod
     def at_path(path: str) -> Encoder:
@@ -102,9 +114,9 @@ class Encoder:
         total = np.concatenate(([0], np.cumsum(np.concatenate(counts))))
         return np.concatenate(ids), np.diff(total[np.append(np.searchsorted(cuts, begin), len(cuts) - 1)])
 
-    @staticmethod
-    def _cuts(b: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """Where pieces begin: at each text's begin, at spaces whose neighbours in the text are no white space, at stops behind a letter."""
+    def _cuts(self, b: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Where pieces begin: at each text's begin, at spaces whose neighbours in the text are no white space, where one kind
+        of character follows another, and behind single white space other than a space; never within an added token."""
         n = len(b)
         p = np.flatnonzero(b == 32)
         edge = np.zeros(n + 1, bool)
@@ -118,39 +130,57 @@ class Encoder:
         third = b[np.maximum(p - 3, 0)]
         loose |= wide & ((b[np.maximum(p - 2, 0)] == 0xC2) | ((third >= 0xE1) & (third <= 0xE3)))
         edge[p[~loose]] = True
-        edge[1:n] |= _STOPS[b[1:]] & _LETTERS[b[:-1]]
+        kind = _KIND[b]
+        lead = np.flatnonzero(_LEADS[b])
+        lead = lead[(b[lead] != 0xC3) | (b[lead + 1] != 0x97) & (b[lead + 1] != 0xB7)]
+        kind[lead] = kind[lead + 1] = _LETTER
+        edge[1:n] |= _APART[(kind[:-1] << 3) + kind[1:]]
+        p = np.flatnonzero((kind == _WHITE) & (b != 32))
+        p = p[(p > 0) & (p < n - 1)]
+        seen = (kind > 0) & (kind < _WHITE)
+        edge[p[seen[p - 1] & seen[p + 1]] + 1] = True
+        if self.added:
+            raw, inside = b.tobytes(), []
+            for token in self.added:
+                at = raw.find(token)
+                while at >= 0:
+                    inside.append((at + 1, at + len(token)))
+                    at = raw.find(token, at + 1)
+            for x, y in inside:
+                edge[x:y] = False
+            edge[begin] = True
         return np.flatnonzero(edge[:n])
 
     def _part(self, b: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the pieces between cuts, end to end, and how many each piece has."""
         pieces = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(b)])
-        coded = pieces.dictionary_encode()
-        own, of = coded.dictionary, coded.indices.to_numpy()
-        at = pc.index_in(own, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
-        fresh = np.flatnonzero(at < 0)
-        new = own.take(pa.array(fresh))
-        ids, n = self._fresh(new)
-        pool = np.concatenate((self.flat, ids))
-        start, size = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
-        old = at >= 0
-        start[old], size[old] = self.ends[at[old]], np.diff(self.ends)[at[old]]
-        start[fresh], size[fresh] = len(self.flat) + np.cumsum(n) - n, n
-        self._remember(new, ids, n)
-        return pool[_runs(start[of], size[of])], size[of]
+        old = len(self.known)
+        coded = pa.concat_arrays([self.known, pieces]).dictionary_encode()  # what is known keeps its place
+        of = coded.indices.to_numpy()[old:]
+        ids, n = self._fresh(coded.dictionary[old:])
+        pool, ends = np.concatenate((self.flat, ids)), np.concatenate((self.ends, self.ends[-1] + np.cumsum(n)))
+        self.met = np.concatenate((self.met, np.zeros(len(n), np.int64)))
+        self.met[of] = self.parts = self.parts + 1
+        self._remember(coded.dictionary, pool, ends)
+        size = np.diff(ends)[of]
+        return pool[_runs(ends[of], size)], size
 
     def _fresh(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of different pieces, and how many each has.
 
-        Pieces that begin with a space can follow each other in a text, so many of them are encoded as one string; the
-        bytes that each id stands for say where a piece ends.
+        Pieces that begin with a space and go on with no white space can follow any piece in a text, so many of them are
+        encoded as one string; the bytes that each id stands for say where a piece ends.
         """
         size = pc.binary_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
-        b = np.frombuffer(b"".join(pieces.to_pylist()), np.uint8)
+        at = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset : pieces.offset + len(pieces) + 1]
+        b = np.frombuffer(pieces.buffers()[2], np.uint8)[at[0] : at[-1]] if len(pieces) else np.zeros(0, np.uint8)
         begin = np.cumsum(size) - size
-        order = np.argsort(b[begin] == 32, kind="stable")  # those that begin without a space, each a string, then the others
+        after = b[np.minimum(begin + 1, len(b) - 1)]
+        follows = (b[begin] == 32) & (size > 1) & ((_KIND[after] % _WHITE > 0) | (after > 0xC2) & ((after < 0xE1) | (after > 0xE3)))
+        order = np.argsort(follows, kind="stable")  # those that can't follow any other, each a string, then the others
         text = b[_runs(begin[order], size[order])].tobytes()
         ends = np.cumsum(size[order])
-        alone = int(np.count_nonzero(b[begin] != 32))
+        alone = int(np.count_nonzero(~follows))
         joined = ends[alone:]
         first = int(ends[alone - 1]) if alone else 0
         cuts = np.unique(joined[np.flatnonzero(np.diff(np.append((joined - first) // JOINED, -1)))])
@@ -166,15 +196,16 @@ class Encoder:
         special = {i: len(a.content.encode()) for i, a in self.tokenizer.get_added_tokens_decoder().items()}
         return np.array([special.get(i, len(self.tokenizer.id_to_token(i) or "")) for i in range(self.tokenizer.get_vocab_size())], np.int64)
 
-    def _remember(self, pieces: pa.Array, ids: np.ndarray, n: np.ndarray) -> None:
-        short = pc.binary_length(pieces).to_numpy(zero_copy_only=False) <= LONGEST
-        short &= np.cumsum(short) <= HELD
-        if len(self.known) + int(short.sum()) > HELD or len(self.flat) + int(n[short].sum()) > HELD_IDS:
-            self._forget()
-            short &= np.cumsum(np.where(short, n, 0)) <= HELD_IDS
-        self.known = pa.concat_arrays([self.known, pieces.filter(pa.array(short))])
-        self.flat = np.concatenate((self.flat, ids[np.repeat(short, n)]))
-        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(n[short])))
+    def _remember(self, pieces: pa.Array, pool: np.ndarray, ends: np.ndarray) -> None:
+        """Keeps the short ones of pieces; where they are too many, half as many as may be, and those that were met last."""
+        n = np.diff(ends)
+        keep = np.flatnonzero(pc.binary_length(pieces).to_numpy(zero_copy_only=False) <= LONGEST)
+        if len(keep) > HELD or int(n[keep].sum()) > HELD_IDS:
+            keep = keep[np.argsort(-self.met[keep], kind="stable")][: HELD // 2]
+            keep = np.sort(keep[np.cumsum(n[keep]) <= HELD_IDS // 2])
+        if len(keep) < len(n):
+            pieces, pool, ends, self.met = pieces.take(pa.array(keep)), pool[_runs(ends[keep], n[keep])], np.concatenate(([0], np.cumsum(n[keep]))), self.met[keep]
+        self.known, self.flat, self.ends = pieces, pool, ends
 
     def spans(self, texts: list[str]) -> list[np.ndarray]:
         """(tokens, 2): start and end of each token of each text in code points, the tokenizer's offsets.

@@ -185,3 +185,29 @@ def test_a_word_with_and_without_a_stop_is_one_piece():
     encoder = tokens.Encoder(PATH)
     encoder.encode([" word, word. word! word"])
     assert sorted(encoder.known.to_pylist()) == [b" word", b"!", b",", b"."]
+
+
+def test_a_word_is_one_piece_whatever_sign_digit_or_line_end_follows(plain):
+    encoder = tokens.Encoder(PATH)
+    texts = ["x word### word7 word\tword)", " word\n word é\nword 7word", "<|endoftext|>word<|<|endoftext|>\n\nword\n's 'll9 it's!'s", "мир, мир\nмир × 3×3÷é÷", " b ", "  x", " \n", "\n\nx \n y\n"]
+    assert split(encoder, texts) == [whole(plain, t) for t in texts]
+    encoder = tokens.Encoder(PATH)
+    encoder.encode([" word### word7 word\nword| мир, мир\n"])
+    assert sorted(encoder.known.to_pylist()) == sorted([b" word", b"word", b"###", b"7", b"\n", b"|", " мир".encode(), b","])
+
+
+def test_pieces_met_again_and_again_stay_in_a_full_table(monkeypatch):
+    monkeypatch.setattr(tokens, "HELD", 50)
+    e, texts = tokens.Encoder(PATH), []
+    batch = e._batch
+    e._batch = lambda x: texts.extend(x) or batch(x)
+    for k in range(0, 400, 20):
+        e.encode([" common" + "".join(f" word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(k, k + 20))])
+    assert sum(t.count(" common") for t in texts) == 1
+
+
+def test_what_a_worker_remembers_stays_small():
+    e = tokens.Encoder(PATH)
+    for k in range(6):
+        e.encode(["".join(f" {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576 % 26)}" for i in range(70_000 * k, 70_000 * (k + 1)))])
+    assert e.known.nbytes + e.flat.nbytes + e.ends.nbytes < 7_000_000
