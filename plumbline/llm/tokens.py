@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -91,18 +92,26 @@ class Encoder:
 
     def _batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts end to end, and how many each has."""
-        ids = [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.concatenate([*ids, np.zeros(0, self.dtype)]), np.fromiter(map(len, ids), np.int64, len(ids))
+        ids, n = array("I"), []
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids.fromlist(e.ids)
+            n.append(len(ids))
+        return np.array(ids).astype(self.dtype), np.diff(np.array([0, *n], np.int64))
+
+    @staticmethod
+    def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of texts end to end, as they lie there, and how many each has."""
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        data, offsets = texts.buffers()[2], np.frombuffer(texts.buffers()[1], np.int32 if texts.type == pa.string() else np.int64)
+        low = int(offsets[texts.offset])
+        return np.frombuffer(data, np.uint8)[low : low + int(sizes.sum())] if data else np.zeros(0, np.uint8), sizes
 
     def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and how many each has; null counts as empty."""
         texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("")
         if not self.by_piece:
             return self._batch(texts.to_pylist())
-        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-        data, offsets = texts.buffers()[2], np.frombuffer(texts.buffers()[1], np.int32 if texts.type == pa.string() else np.int64)
-        low = int(offsets[texts.offset])
-        b = np.frombuffer(data, np.uint8)[low : low + int(sizes.sum())] if data else np.zeros(0, np.uint8)
+        b, sizes = self._bytes(texts)
         begin = np.cumsum(sizes) - sizes
         cuts = np.append(self._cuts(b, begin[sizes > 0]), len(b))
         ids, counts, i = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)], 0
@@ -258,6 +267,28 @@ class Encoder:
                 out.append(np.stack((of[edge[:-1]], of[edge[1:] - 1] + 1), axis=1))
         return out
 
+    def sections(self, texts: pa.Array, cut_after: str) -> list[np.ndarray]:
+        """(text, number in the text, start and end in code points, tokens, tokens of the text) of each section of texts.
+
+        Whole texts are encoded. Where their tokens tile their bytes, the bytes of all texts are looked at side by side,
+        and code points are asked for at sections' edges and of tokens that cross one only; else text by text.
+        """
+        b, sizes = self._bytes(texts)
+        if self.tiling and int(sizes.max()) <= WHOLE:
+            ids, n = self._batch(texts.to_pylist())
+            edge = np.zeros(len(ids) + 1, np.int64)
+            np.cumsum(self.lengths[ids], out=edge[1:])
+            if (edge[np.cumsum(n)] == np.cumsum(sizes)).all() and (edge[1:] > edge[:-1]).all():
+                return _tiled_sections(b, sizes, edge, n, cut_after.encode())
+        out = []
+        for i, (text, spans) in enumerate(zip(own := texts.to_pylist(), self.spans(own))):
+            chars = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            cuts = np.concatenate(([0], np.flatnonzero(chars[:-1] == ord(cut_after)) + 1, [len(chars)]))
+            counts = attribute(spans[:, 0], spans[:, 1], cuts) if text else np.zeros(1, np.int64)
+            k = len(counts)
+            out.append((np.full(k, i), np.arange(k), cuts[:-1], cuts[1:], counts, np.full(k, counts.sum())))
+        return [np.concatenate(x).astype(np.int64) for x in zip(*out)]
+
     @staticmethod
     def _asked(e: Encoding) -> np.ndarray:
         return np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(e)).reshape(-1, 2)
@@ -279,6 +310,39 @@ def attribute(starts: np.ndarray, ends: np.ndarray, cuts: np.ndarray) -> np.ndar
     return np.bincount(best, minlength=n) if n else np.zeros(0, np.int64)
 
 
+def _tiled_sections(b: np.ndarray, sizes: np.ndarray, edge: np.ndarray, n: np.ndarray, cut: bytes) -> list[np.ndarray]:
+    """Encoder.sections of texts that lie end to end in b, with n tokens each; token t is b[edge[t] : edge[t + 1]]."""
+    end = np.cumsum(sizes)
+    begin = end - sizes
+    hit = b == cut[0]
+    for k in range(1, len(cut)):
+        hit[:-k] &= b[k:] == cut[k]
+        hit[-k:] = False
+    at = np.flatnonzero(hit) + len(cut)
+    text = np.searchsorted(end, at, "right")
+    inner = at > begin[np.minimum(text, len(end) - 1)]  # else it is where a text ends
+    at, text = at[inner & (text < len(end))], text[inner & (text < len(end))]
+    lo, of = np.concatenate((begin, at)), np.concatenate((np.arange(len(sizes)), text))
+    order = np.lexsort((lo, of))
+    lo, of = lo[order], of[order]
+    first = np.searchsorted(of, np.arange(len(sizes)))  # section of each text
+    hi = np.append(lo[1:], 0)
+    hi[np.append(first[1:], len(of)) - 1] = end
+    counts = np.searchsorted(edge[:-1], hi) - np.searchsorted(edge[:-1], lo)  # by where a token begins
+    seen = np.concatenate(([0], np.cumsum((b & 0xC0) != 0x80)))  # code points that begin before a byte
+    token = np.searchsorted(edge[:-1], at) - 1
+    for t in np.unique(token[edge[token + 1] > at]).tolist():
+        x, y = int(edge[t]), int(edge[t + 1])
+        i = int(np.searchsorted(lo, x, "right")) - 1
+        j = int(np.searchsorted(lo, y, "left"))
+        start, stop = seen[x + 1] - 1, seen[y]  # of part of a character, that character's
+        best = i + int(np.argmax(np.minimum(stop, seen[hi[i:j]]) - np.maximum(start, seen[lo[i:j]])))
+        counts[i] -= 1
+        counts[best] += 1
+    shift = seen[begin[of]]
+    return [of, np.arange(len(of)) - first[of], seen[lo] - shift, seen[hi] - shift, counts, n[of]]
+
+
 def section_counts(docs: DataFrame, tokenizer: str, *, cut_after: str = "\n") -> DataFrame:
     """(doc_id, section, char_start, char_end, n_tokens, doc_tokens): tokens of each section of each whole text.
 
@@ -288,26 +352,14 @@ def section_counts(docs: DataFrame, tokenizer: str, *, cut_after: str = "\n") ->
     a null doc_id, count row by row. A very long text goes by parts that give the same tokens. Needs doc_id and text;
     other columns, whatever their names, play no part. An empty table gives an empty result.
     """
-    cut = ord(cut_after)
+    if len(cut_after) != 1:
+        raise ValueError("cut_after is one character")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.at_path(tokenizer)
         for b in batches:
             for s in slices(b.column(1), WHOLE):
-                ids, own = b.column(0)[s.start : s.stop], b.column(1)[s.start : s.stop]
-                texts = own.fill_null("").to_pylist()
-                rows, number, lo, hi, n, total = [], [], [], [], [], []
-                for i, (text, spans) in enumerate(zip(texts, encoder.spans(texts))):
-                    chars = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-                    cuts = np.concatenate(([0], np.flatnonzero(chars[:-1] == cut) + 1, [len(chars)]))
-                    counts = attribute(spans[:, 0], spans[:, 1], cuts) if text else np.zeros(1, np.int64)
-                    rows.append(np.full(len(counts), i))
-                    number.append(np.arange(len(counts)))
-                    lo.append(cuts[:-1])
-                    hi.append(cuts[1:])
-                    n.append(counts)
-                    total.append(np.full(len(counts), counts.sum()))
-                cols = [np.concatenate(x).astype(np.int64) for x in (rows, number, lo, hi, n, total)]
-                yield pa.RecordBatch.from_arrays([pc.take(ids, pa.array(cols[0])), pa.array(cols[1].astype(np.int32)), *map(pa.array, cols[2:])], ["doc_id", "section", "char_start", "char_end", "n_tokens", "doc_tokens"])
+                of, number, *rest = encoder.sections(b.column(1)[s.start : s.stop].fill_null(""), cut_after)
+                yield pa.RecordBatch.from_arrays([pc.take(b.column(0)[s.start : s.stop], pa.array(of)), pa.array(number.astype(np.int32)), *map(pa.array, rest)], ["doc_id", "section", "char_start", "char_end", "n_tokens", "doc_tokens"])
 
     return arrow_map(docs.select("doc_id", F.col("text").cast("string")), run, f"doc_id {dict(docs.dtypes)['doc_id']}, section int, char_start long, char_end long, n_tokens long, doc_tokens long")

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -126,6 +127,42 @@ def test_sections(spark, plain):
     assert tokens.section_counts(df.limit(0), PATH).count() == 0
 
 
+def sections(encoder, texts, cut="\n"):
+    return list(zip(*(x.tolist() for x in encoder.sections(pa.array(texts, pa.string()).fill_null(""), cut))))
+
+
+def test_sections_of_a_slice_are_found_without_spans_of_each_text(plain, monkeypatch):
+    texts = ["", *ODD, "a\n\n\nb", "one\ntwo words\n", "é\n😀\nx", "\n", "", " \n \n  \n\tx", None, "日本\n\n\n語 \n"] * 2
+    e = tokens.Encoder(PATH)
+    monkeypatch.setattr(e, "spans", None)
+    want = [(i, *s) for i, t in enumerate(texts) for s in brute_sections(plain, t)]
+    assert sections(e, texts) == want
+    at = pa.array(["cut off", *texts, "cut off"])[1:-1].fill_null("")
+    assert list(zip(*(x.tolist() for x in e.sections(at, "\n")))) == want
+    assert sections(e, ["", None]) == [(0, 0, 0, 0, 0, 0), (1, 0, 0, 0, 0, 0)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("ab'1 \n\té日😀=-"))), min_size=1, max_size=5), st.sampled_from("\na=é日😀"))
+def test_sections_of_a_slice_are_those_of_single_texts(texts, cut):
+    e = tokens.Encoder.at_path(PATH)
+    got = sections(e, texts, cut)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(e, "tiling", False)  # so the library's offsets are asked for, text by text
+        assert got == sections(e, texts, cut)
+
+
+def test_sections_where_bytes_do_not_add_up_or_a_text_is_long(plain, monkeypatch):
+    texts = ["one\ntwo é\n\n", "", "three 日\n" * 30]
+    want = [(i, *s) for i, t in enumerate(texts) for s in brute_sections(plain, t)]
+    monkeypatch.setattr(tokens, "WHOLE", 100)
+    assert sections(tokens.Encoder(PATH), texts) == want
+    monkeypatch.undo()
+    e = tokens.Encoder(PATH)
+    e.lengths = e.lengths + 1
+    assert sections(e, texts) == want
+
+
 def test_boundary_rule():
     cuts = np.array([0, 4, 8])
     assert tokens.attribute(np.array([3, 3, 2]), np.array([5, 6, 6]), cuts).tolist() == [2, 1]  # a tie goes to the earlier one
