@@ -23,6 +23,11 @@ from pyspark.sql import functions as F
 #: A word: a maximal run of bytes other than space, tab and the four line controls; bytes.split() gives the same words.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
+#: Whether a query's shuffle files are removed at its end.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of one long that are sent to the tasks of a join with texts at most; about 30 MB with their hash table.
+SENT = 1 << 19
+
 _PACKAGE = Path(__file__).resolve().parents[1]
 #: Paths of intermediate tables that are still there.
 _paths: list[str] = []
@@ -58,9 +63,9 @@ def held() -> int:
     return len(_paths)
 
 
-def forget(spark: SparkSession, mark: int, keep: DataFrame) -> None:
-    """Removes the intermediate tables made since a mark, once all that reads them is written; keep's own files stay."""
-    files = keep.inputFiles()[:1]
+def forget(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
+    """Removes the intermediate tables made since a mark, once all that reads them is written; the files of those kept stay."""
+    files = [f for k in keep for f in k.inputFiles()[:1]]
     for path in _paths[mark:]:
         if not any(path.split("/plumbline/")[-1] in f for f in files):
             fs, at = _at(spark, path)
@@ -69,13 +74,30 @@ def forget(spark: SparkSession, mark: int, keep: DataFrame) -> None:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table: computed once, its lineage cut."""
+    """df as a written table: computed once, its lineage cut, its shuffle files gone.
+
+    Without the setting these stay until the driver happens to collect its garbage, so the disk that a chain of tables takes
+    would be the sum of its shuffles.
+    """
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLES_GO) if before is None else spark.conf.set(SHUFFLES_GO, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_few(rows: DataFrame) -> DataFrame:
+    """A written table of one narrow column, to be sent to the tasks of a join if it has SENT rows at most.
+
+    The join's other side, whole texts, isn't shuffled then. A larger table is joined as Spark plans it.
+    """
+    return F.broadcast(rows) if rows.count() <= SENT else rows
+
+
 def _ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once a Spark context."""
     sc = spark.sparkContext

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import arrow_map, slices, written
+from plumbline.llm.common import arrow_map, forget, held, slices, with_few, written
 from plumbline.llm.components import connected
 
 SIMILAR, SHINGLE = 0.8, 5
@@ -35,6 +36,8 @@ BLOCK = 2048
 #: Rows of groups looked at together in a task, and 64-bit parts of a bitmap.
 ROWS_AT_ONCE, LONGS = 1 << 20, 8
 BITMAP = [f"b{i}" for i in range(LONGS)]
+#: Rows of prefixes dealt out at a time, and into how many rounds at most; a round's shuffle goes before the next begins.
+ROUND_ROWS, ROUNDS = 1 << 24, 4
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -293,8 +296,9 @@ def similar_texts(docs: DataFrame, *, similar: float = SIMILAR, shingle: int = S
     Rows without words or doc_id have no part. Rows that share a doc_id are each looked at, and their links are its links;
     equal texts are linked as copies. Texts of any length have all their shingles looked at; a text of fewer words than a
     shingle is one shingle. Without a row there is no link. Extra columns, whatever their names, play no part. Sets are told
-    apart by 64 bits, and so are shingles.
+    apart by 64 bits, and so are shingles. Intermediate tables go as soon as nothing reads them any more.
     """
+    spark, mark = docs.sparkSession, held()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     share = max(1, docs.count() // SAMPLED)
     sample = _by_text(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).limit(2 * SAMPLED), _Sets(shingle), "key long, sh array<long>").dropDuplicates(["key"])
@@ -303,13 +307,18 @@ def similar_texts(docs: DataFrame, *, similar: float = SIMILAR, shingle: int = S
     found = _by_text(docs, _Sketches(shingle, similar, common), f"doc_id long, key long, n long, {', '.join(f'{b} long' for b in BITMAP)}, prefix array<long>")
     found = written(found, "overlap-sketches")
     own = written(found.groupBy("key").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", *BITMAP, "prefix"))), "overlap-keys")
+    ids = own.select("key", "least")
+    copies = found.select(F.col("doc_id").alias("u"), "key").join(ids, "key").where("u <> least").select("u", F.col("least").alias("v"))
+    copies = written(copies.distinct(), "overlap-copies")
+    forget(spark, mark, own, copies)
 
     def dealt(rows: DataFrame) -> DataFrame:
         rows = rows.select("s", "key", "n", "pos", "p0", "p1").repartition("s").sortWithinPartitions("s")
         return arrow_map(rows, _meetings(similar), "a long, b long, s long, key long, n long, pos long")
 
     def checked(pairs: DataFrame) -> DataFrame:
-        """(u, v) of the pairs that are similar."""
+        """(u, v) of the pairs that are similar, a written table."""
+        before = held()
         side = lambda p: own.select(F.col("key").alias(p), F.col("least").alias(f"{p}_doc"), F.col("n").alias(f"{p}_n"), *(F.col(b).alias(f"{p}_{b}") for b in BITMAP))
         differ = sum((F.bit_count(F.col(f"a_{b}").bitwiseXOR(F.col(f"b_{b}"))) for b in BITMAP), F.lit(0))
         may = differ <= F.lit((1 - similar) / (1 + similar)) * (F.col("a_n") + F.col("b_n")) + F.lit(1e-9)
@@ -319,25 +328,30 @@ def similar_texts(docs: DataFrame, *, similar: float = SIMILAR, shingle: int = S
         both_need = F.ceil((F.col("a_n") + F.col("b_n")) * F.lit(similar / (1 + similar)) - F.lit(1e-9))
         rest = F.greatest(F.col("a_n") - F.size("p"), F.col("b_n") - F.size("q"))  # of the set whose prefix ends first, what may be shared beyond it
         pairs = written(led.where(F.size(F.array_intersect("p", "q")) >= both_need - rest).select("a", "b", "a_doc", "b_doc"), "overlap-pairs")
-        ids = written(pairs.select(F.explode(F.array("a_doc", "b_doc")).alias("id")).distinct(), "overlap-ids")  # its size decides how it is joined
+        ids = with_few(written(pairs.select(F.explode(F.array("a_doc", "b_doc")).alias("id")).distinct(), "overlap-ids"))
         sets = _by_text(docs.join(ids, docs["doc_id"] == ids["id"], "left_semi"), _Sets(shingle), "key long, sh array<long>")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         one = written(sets.join(wanted, "key", "left_semi").dropDuplicates(["key"]), "overlap-one")
         both = pairs.join(one.select(F.col("key").alias("a"), F.col("sh").alias("x")), "a").join(one.select(F.col("key").alias("b"), F.col("sh").alias("y")), "b")
         alike = F.size(F.array_intersect("x", "y")) * F.lit(1 + similar) >= F.lit(similar) * (F.size("x") + F.size("y")) - F.lit(1e-9)
-        return both.where(alike).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        links = written(both.where(alike).select(F.col("a").alias("u"), F.col("b").alias("v")), "overlap-links")
+        forget(spark, before, links)
+        return links
 
     heads = [F.coalesce(F.get("prefix", F.lit(k)), F.lit(0).cast("long")).alias(f"p{k}") for k in (0, 1)]
     rows = own.select("key", "n", *heads, F.posexplode("prefix").alias("pos", "s")).withColumn("pos", F.col("pos").cast("long"))
-    first = written(dealt(rows), "overlap-first")
-    links = written(checked(first.where("a IS NOT NULL").select("a", "b")), "overlap-links")
+    n_rows = own.agg(F.sum(F.col("n") - F.ceil(F.col("n") * F.lit(similar) - F.lit(1e-9)) + 1)).first()[0] or 0
+    rounds = min(ROUNDS, -(-int(n_rows) // ROUND_ROWS)) or 1
+    dealt_out = [written(dealt(rows.where(F.pmod("s", F.lit(rounds)) == r)), "overlap-first") for r in range(rounds)]
+    first = reduce(DataFrame.unionByName, dealt_out)
+    links = checked(first.where("a IS NOT NULL").select("a", "b"))
     labels = connected(links).select(F.col("node").alias("key"), "root")
     large = first.where("s IS NOT NULL").select("s", "key", "n", "pos").join(labels, "key", "left")
     large = written(large.select("s", "key", "n", "pos", F.coalesce("root", "key").alias("comp")), "overlap-rest")
     mixed_groups = large.groupBy("s").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("s")
     rest = meeting_pairs(large.join(mixed_groups, "s", "left_semi"), own, similar)
-    links = links.unionByName(written(checked(rest), "overlap-links"))
-    ids = own.select("key", "least")
+    links = links.unionByName(checked(rest))
     out = links.join(ids.select(F.col("key").alias("u"), F.col("least").alias("lu")), "u").join(ids.select(F.col("key").alias("v"), F.col("least").alias("lv")), "v").select(F.col("lu").alias("u"), F.col("lv").alias("v"))
-    copies = found.select(F.col("doc_id").alias("u"), "key").join(ids, "key").where("u <> least").select("u", F.col("least").alias("v"))
-    return out.unionByName(copies).distinct()
+    out = written(out.unionByName(copies).distinct(), "overlap-texts")
+    forget(spark, mark, out)
+    return out

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import arrow_map, slices, written
+from plumbline.llm.common import arrow_map, forget, held, slices, with_few, written
 from plumbline.llm.components import connected
 
 SEED = 42
@@ -285,15 +285,20 @@ def keep_one(docs: DataFrame, more: DataFrame | None = None, **options) -> DataF
     (u, v) of doc_ids; documents are then one group if links of either kind join them. Null, empty and blank texts are
     copies of each other. Columns may have any names; an empty table stays empty.
     """
+    spark, mark = docs.sparkSession, held()
     found = written(near_duplicates(docs, **options).where("doc_id IS NOT NULL"), "simhash-found")
+    forget(spark, mark, found)
     dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct()
     if more is not None:
         roots = connected(found.select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")).unionByName(more))
-        dropped = written(roots.where("node <> root").select(F.col("node").alias("_other")).distinct(), "simhash-dropped")
+        dropped = roots.where("node <> root").select(F.col("node").alias("_other")).distinct()
+    dropped = with_few(written(dropped, "simhash-dropped"))
     own = docs.where("doc_id IS NOT NULL")
     own = own.join(dropped, own["doc_id"] == dropped["_other"], "left_anti")
     again = written(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "simhash-again")
+    forget(spark, mark, dropped, again)
     if again.isEmpty():
         return own
+    again = with_few(again)
     shared = own["doc_id"] == again["_again"]
     return own.join(again, shared, "left_anti").unionByName(own.join(again, shared, "left_semi").dropDuplicates(["doc_id"]))

@@ -1,7 +1,8 @@
+import os
 import random
 
 import corpus_pipeline
-from plumbline.llm import overlap
+from plumbline.llm import common, overlap
 from plumbline.llm.components import connected
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -127,3 +128,42 @@ def test_odd_rows(spark):
     rows = [(1, " ".join(base), 1, 1), (1, " ".join(near), 1, 1), (2, " ".join(near), 1, 1), (2, " ".join(near), 1, 1), (3, " ".join(long), 1, 1), (4, " ".join(other), 1, 1), (None, " ".join(long), 1, 1), (5, "one two", 1, 1), (6, "ONE  two", 1, 1)]
     links = overlap.similar_texts(spark.createDataFrame(rows, "doc_id long, text string, key long, n long"))
     assert {(x["node"], x["root"]) for x in connected(links).collect()} == {(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 5)}
+
+
+def test_rounds_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "ROUND_ROWS", 100)
+    monkeypatch.setattr(overlap, "FEW", 3)
+    test_groups_against_brute_force(spark)
+
+
+def shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {f for f in (str(x) for x in disk.getAllFiles().mkString("\n").split("\n")) if "/shuffle_" in f and f.endswith(".data")}
+
+
+def test_disk_is_given_back(spark):
+    """The tables that links are made of are gone once these are there, and so are the shuffles behind a table."""
+    docs, mark = spark.createDataFrame(planted(), "doc_id long, text string"), common.held()
+    links = overlap.similar_texts(docs)
+    assert common.held() == mark + 1 and links.count() > 90
+    before, was = shuffle_files(spark), spark.conf.get(common.SHUFFLES_GO, None)
+    table = common.written(docs.repartition("doc_id").groupBy("text").count(), "counts")
+    assert shuffle_files(spark) <= before and spark.conf.get(common.SHUFFLES_GO, None) == was
+    assert table.count() > 90
+
+
+def test_texts_are_not_shuffled_for_few_ids(spark, monkeypatch):
+    """Whatever Spark would broadcast by itself; very many ids are joined as Spark plans it, with the same result."""
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in planted()], DOCS)
+    stage, kept, plans = dict(corpus_pipeline.STAGES)["SimHash near-dedup"], [], []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for sent in (common.SENT, 0):
+            monkeypatch.setattr(common, "SENT", sent)
+            got = stage(spark, docs, "")
+            plans.append(got._jdf.queryExecution().executedPlan().toString())
+            kept.append(sorted(x["doc_id"] for x in got.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plans[0] and "SortMergeJoin" in plans[1]
+    assert kept[0] == kept[1] and len(kept[0]) < len(planted()) - 90
