@@ -31,8 +31,11 @@ SIMILAR, SHINGLE = 0.8, 5
 SAMPLED, COMMON = 5_000, 50_000
 #: Texts that meet by a shingle are all paired up to this number; beyond, most are linked by a few pairs first.
 FEW = 32
-#: Rows of a shingle's group that are compared with as many others in one go.
-BLOCK = 2048
+#: Rows of a shingle's group that are compared with as many others in one go; a size class of a group has MOST blocks at most,
+#: which are larger then, so a row stands in a bounded number of cells.
+BLOCK, MOST = 2048, 16
+#: Rows of cells that are dealt out at a time: so many a set, LEAST at least.
+CELLS, LEAST = 8, 1 << 20
 #: Rows of groups looked at together in a task, and 64-bit parts of a bitmap.
 ROWS_AT_ONCE, LONGS = 1 << 20, 8
 BITMAP = [f"b{i}" for i in range(LONGS)]
@@ -271,13 +274,17 @@ def meeting_pairs(rows: DataFrame, own: DataFrame, similar: float) -> DataFrame:
 
     rows: (s, key, n, pos, comp), a written table; own: (key, bitmap). A group is cut into size classes, of which only the
     same and neighbours can be similar, and these by a hash into blocks of about BLOCK rows; each two blocks that can hold a
-    pair are a cell of their own, so a group of very many rows is work of many tasks and none holds it.
+    pair are a cell of their own, so a group of very many rows is work of many tasks and none holds it. A row is copied to
+    each cell of its block, so cells are dealt out in rounds, and a round's shuffle goes before the next begins.
     """
     classed = rows.withColumn("c", F.floor(F.log("n") / F.lit(float(np.log(1 / similar)) * (1 + 1e-9))).cast("int"))
-    blocks = written(classed.groupBy("s", "c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "overlap-blocks")
+    blocks = written(classed.groupBy("s", "c").agg(F.least(F.ceil(F.count("*") / BLOCK), F.lit(MOST)).cast("int").alias("blocks")), "overlap-blocks")
     near = lambda d, name: blocks.select("s", (F.col("c") + d).alias("c"), F.col("blocks").alias(name))
     met = classed.join(near(0, "same"), ["s", "c"]).join(near(-1, "up"), ["s", "c"], "left").join(near(1, "down"), ["s", "c"], "left")
     met = met.join(own.select("key", *BITMAP), "key").withColumn("b", F.pmod(F.xxhash64("key"), F.col("same")).cast("int"))
+    met = written(met, "overlap-met")
+    n_rows = met.agg(F.sum(F.col("same") + F.coalesce("up", F.lit(0)) + F.coalesce("down", F.lit(0)))).first()[0] or 0
+    rounds = -(-n_rows // max(LEAST, CELLS * own.count())) or 1
     up_to = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
     cell = lambda c1, b1, c2, b2, side: F.struct(F.xxhash64("s", c1, b1, c2, b2).alias("cell"), side.cast("long").alias("side"))
     c, b = F.col("c"), F.col("b")
@@ -286,8 +293,13 @@ def meeting_pairs(rows: DataFrame, own: DataFrame, similar: float) -> DataFrame:
         F.transform(up_to("up"), lambda o: cell(c, b, c + 1, o, F.lit(0))),
         F.transform(up_to("down"), lambda o: cell(c - 1, o, c, b, F.lit(1))),
     )
-    dealt = met.select(F.explode(cells).alias("x"), "key", "n", "pos", "comp", *BITMAP).select("x.cell", "x.side", "key", "n", "pos", "comp", *BITMAP)
-    return arrow_map(dealt.repartition("cell").sortWithinPartitions("cell"), _cells(similar), "a long, b long")
+
+    def compared(r: int) -> DataFrame:
+        own_turn = F.filter(cells, lambda x: F.pmod(x["cell"], F.lit(rounds)) == r)
+        dealt = met.select(F.explode(own_turn).alias("x"), "key", "n", "pos", "comp", *BITMAP).select("x.cell", "x.side", "key", "n", "pos", "comp", *BITMAP)
+        return written(arrow_map(dealt.repartition("cell").sortWithinPartitions("cell"), _cells(similar), "a long, b long"), "overlap-compared")
+
+    return reduce(DataFrame.unionByName, [compared(r) for r in range(rounds)])
 
 
 def similar_texts(docs: DataFrame, *, similar: float = SIMILAR, shingle: int = SHINGLE) -> DataFrame:
@@ -322,8 +334,9 @@ def similar_texts(docs: DataFrame, *, similar: float = SIMILAR, shingle: int = S
         side = lambda p: own.select(F.col("key").alias(p), F.col("least").alias(f"{p}_doc"), F.col("n").alias(f"{p}_n"), *(F.col(b).alias(f"{p}_{b}") for b in BITMAP))
         differ = sum((F.bit_count(F.col(f"a_{b}").bitwiseXOR(F.col(f"b_{b}"))) for b in BITMAP), F.lit(0))
         may = differ <= F.lit((1 - similar) / (1 + similar)) * (F.col("a_n") + F.col("b_n")) + F.lit(1e-9)
-        pairs = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(may).select("a", "b", "a_doc", "b_doc", "a_n", "b_n")
-        first = own.select("key", "prefix")
+        pairs = written(pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(may).select("a", "b", "a_doc", "b_doc", "a_n", "b_n"), "overlap-near")
+        looked_at = with_few(written(pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct(), "overlap-near-keys"))
+        first = own.select("key", "prefix").join(looked_at, F.col("key") == F.col("_key"), "left_semi")
         led = pairs.join(first.select(F.col("key").alias("a"), F.col("prefix").alias("p")), "a").join(first.select(F.col("key").alias("b"), F.col("prefix").alias("q")), "b")
         both_need = F.ceil((F.col("a_n") + F.col("b_n")) * F.lit(similar / (1 + similar)) - F.lit(1e-9))
         rest = F.greatest(F.col("a_n") - F.size("p"), F.col("b_n") - F.size("q"))  # of the set whose prefix ends first, what may be shared beyond it

@@ -167,3 +167,21 @@ def test_texts_are_not_shuffled_for_few_ids(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" not in plans[0] and "SortMergeJoin" in plans[1]
     assert kept[0] == kept[1] and len(kept[0]) < len(planted()) - 90
+
+
+def test_cells_are_dealt_out_in_rounds(spark, monkeypatch):
+    """A group of many blocks: a row stands in MOST cells of its class at most, a round deals LEAST rows or so, no pair is lost."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(overlap, "BLOCK", 10)
+    monkeypatch.setattr(overlap, "MOST", 5)
+    monkeypatch.setattr(overlap, "LEAST", 2_000)
+    monkeypatch.setattr(overlap, "CELLS", 1)
+    bits = [F.xxhash64(F.when(F.col("id") < 20, F.floor(F.col("id") / 2)).otherwise(F.col("id")), F.lit(i)).alias(c) for i, c in enumerate(overlap.BITMAP)]
+    own = spark.range(1_000).select(F.col("id").alias("key"), *bits)
+    rows = spark.range(1_000).select(F.lit(7).cast("long").alias("s"), F.col("id").alias("key"), F.lit(200).cast("long").alias("n"), F.lit(0).cast("long").alias("pos"), F.col("id").alias("comp"))
+    made, write = {}, common.written
+    monkeypatch.setattr(overlap, "written", lambda df, name: made.setdefault(name, []).append(df) or write(df, name))
+    got = sorted(map(tuple, overlap.meeting_pairs(rows, own, 0.8).collect()))
+    assert got == [(2 * i, 2 * i + 1) for i in range(10)]
+    assert len(made["overlap-compared"]) == 3 and write(made["overlap-met"][0], "met").first()["same"] == 5
