@@ -36,6 +36,8 @@ FEW = 32
 BLOCK, MOST = 2048, 16
 #: Rows of cells that are dealt out at a time: so many a set, LEAST at least.
 CELLS, LEAST = 8, 1 << 20
+#: Pairs joined with their prefixes at a time, one for so many sets, and with their whole sets; the least numbers of either.
+LED, LED_LEAST, WHOLE, WHOLE_LEAST = 4, 1 << 17, 16, 1 << 15
 #: Rows of groups looked at together in a task, and 64-bit parts of a bitmap.
 ROWS_AT_ONCE, LONGS = 1 << 20, 8
 BITMAP = [f"b{i}" for i in range(LONGS)]
@@ -328,6 +330,13 @@ def similar_texts(docs: DataFrame, *, similar: float = SIMILAR, shingle: int = S
         rows = rows.select("s", "key", "n", "pos", "p0", "p1").repartition("s").sortWithinPartitions("s")
         return arrow_map(rows, _meetings(similar), "a long, b long, s long, key long, n long, pos long")
 
+    n_sets = own.count()
+
+    def in_turns(pairs: DataFrame, size: int, made, name: str) -> list[DataFrame]:
+        """made(pairs), written, about size pairs at a time: what a turn shuffles, long lists a pair, goes before the next."""
+        turns = -(-pairs.count() // size) or 1
+        return [written(made(pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(turns)) == r)), name) for r in range(turns)]
+
     def checked(pairs: DataFrame) -> DataFrame:
         """(u, v) of the pairs that are similar, a written table."""
         before = held()
@@ -337,19 +346,27 @@ def similar_texts(docs: DataFrame, *, similar: float = SIMILAR, shingle: int = S
         pairs = written(pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(may).select("a", "b", "a_doc", "b_doc", "a_n", "b_n"), "overlap-near")
         looked_at = with_few(written(pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct(), "overlap-near-keys"))
         first = own.select("key", "prefix").join(looked_at, F.col("key") == F.col("_key"), "left_semi")
-        led = pairs.join(first.select(F.col("key").alias("a"), F.col("prefix").alias("p")), "a").join(first.select(F.col("key").alias("b"), F.col("prefix").alias("q")), "b")
+
+        def led(some: DataFrame) -> DataFrame:
+            both = some.join(first.select(F.col("key").alias("a"), F.col("prefix").alias("p")), "a").join(first.select(F.col("key").alias("b"), F.col("prefix").alias("q")), "b")
+            return both.where(F.size(F.array_intersect("p", "q")) >= both_need - rest).select("a", "b", "a_doc", "b_doc")
+
         both_need = F.ceil((F.col("a_n") + F.col("b_n")) * F.lit(similar / (1 + similar)) - F.lit(1e-9))
         rest = F.greatest(F.col("a_n") - F.size("p"), F.col("b_n") - F.size("q"))  # of the set whose prefix ends first, what may be shared beyond it
-        pairs = written(led.where(F.size(F.array_intersect("p", "q")) >= both_need - rest).select("a", "b", "a_doc", "b_doc"), "overlap-pairs")
+        pairs = reduce(DataFrame.unionByName, in_turns(pairs, max(LED_LEAST, n_sets // LED), led, "overlap-pairs"))
         ids = with_few(written(pairs.select(F.explode(F.array("a_doc", "b_doc")).alias("id")).distinct(), "overlap-ids"))
         sets = _by_text(docs.join(ids, docs["doc_id"] == ids["id"], "left_semi"), _Sets(shingle), "key long, sh array<long>")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         one = written(sets.join(wanted, "key", "left_semi").dropDuplicates(["key"]), "overlap-one")
-        both = pairs.join(one.select(F.col("key").alias("a"), F.col("sh").alias("x")), "a").join(one.select(F.col("key").alias("b"), F.col("sh").alias("y")), "b")
         alike = F.size(F.array_intersect("x", "y")) * F.lit(1 + similar) >= F.lit(similar) * (F.size("x") + F.size("y")) - F.lit(1e-9)
-        links = written(both.where(alike).select(F.col("a").alias("u"), F.col("b").alias("v")), "overlap-links")
-        forget(spark, before, links)
-        return links
+
+        def counted(some: DataFrame) -> DataFrame:
+            both = some.join(one.select(F.col("key").alias("a"), F.col("sh").alias("x")), "a").join(one.select(F.col("key").alias("b"), F.col("sh").alias("y")), "b")
+            return both.where(alike).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+        links = in_turns(pairs, max(WHOLE_LEAST, n_sets // WHOLE), counted, "overlap-links")
+        forget(spark, before, *links)
+        return reduce(DataFrame.unionByName, links)
 
     heads = [F.coalesce(F.get("prefix", F.lit(k)), F.lit(0).cast("long")).alias(f"p{k}") for k in (0, 1)]
     rows = own.select("key", "n", *heads, F.posexplode("prefix").alias("pos", "s")).withColumn("pos", F.col("pos").cast("long"))

@@ -185,3 +185,12 @@ def test_cells_are_dealt_out_in_rounds(spark, monkeypatch):
     got = sorted(map(tuple, overlap.meeting_pairs(rows, own, 0.8).collect()))
     assert got == [(2 * i, 2 * i + 1) for i in range(10)]
     assert len(made["overlap-compared"]) == 3 and write(made["overlap-met"][0], "met").first()["same"] == 5
+
+
+def test_pairs_are_checked_in_turns(spark, monkeypatch):
+    for name, value in {"LED": 10**6, "LED_LEAST": 60, "WHOLE": 10**6, "WHOLE_LEAST": 60}.items():
+        monkeypatch.setattr(overlap, name, value)
+    names, write = [], common.written
+    monkeypatch.setattr(overlap, "written", lambda df, name: names.append(name) or write(df, name))
+    test_groups_against_brute_force(spark)
+    assert names.count("overlap-pairs") > 2 and names.count("overlap-links") > 2
